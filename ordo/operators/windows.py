@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import CoMoments, Moments, Stat
 from ..plans.blocks import BLOCK, HOT, assign_blocks, order_number
-from ..plans.session import CONF_BROADCAST_ROWS, conf_int
+from ..plans.session import CONF_BROADCAST_ROWS, CONF_MAX_HOT_KEYS, conf_int, default_blocks
 
 Outputs = Mapping[str, Stat]
 _UNB = Window.unboundedPreceding
@@ -64,9 +64,10 @@ def running(
     end = -1 if lagged else 0
     mergeable = all(s.mergeable for s in outputs.values())
     if split_hot and mergeable:
-        tagged, split = assign_blocks(df, by, order[0], blocks)
+        n_blocks = blocks if blocks is not None else default_blocks(df.sparkSession)
+        tagged, split = assign_blocks(df, by, order[0], n_blocks)
         if split:
-            return _blocked_running(tagged, outputs, by, order, end)
+            return _blocked_running(tagged, outputs, by, order, end, n_blocks)
     if not by and not mergeable:
         raise ValueError(
             "key-less running statistic that is not mergeable would run in one task; "
@@ -169,7 +170,8 @@ def _merge_mean(n_a, m_a, n_b, m_b):
     return F.when(n_b == 0, m_a).when(n_a == 0, m_b).otherwise(m_a + (m_b - m_a) * n_b / n)
 
 
-def _blocked_running(d: DataFrame, outputs: Outputs, by: list[str], order: list[str], end: int) -> DataFrame:
+def _blocked_running(d: DataFrame, outputs: Outputs, by: list[str], order: list[str], end: int,
+                     blocks_used: int) -> DataFrame:
     spark = d.sparkSession
     keys = by + [BLOCK]
     singles, pairs = _moment_inputs(outputs)
@@ -237,9 +239,12 @@ def _blocked_running(d: DataFrame, outputs: Outputs, by: list[str], order: list[
 
     # the prefix table has at most (hot keys x blocks) rows; broadcast it only
     # when that bound is under the configured limit, else shuffle-join.
+    # rows <= (hot keys) x (blocks); hot keys <= maxHotKeys by construction, so
+    # the bound is known without running a job
     bound = conf_int(spark, CONF_BROADCAST_ROWS, 2_000_000)
-    n_prefix = prefix.count()
-    joined = d.join(F.broadcast(prefix) if n_prefix <= bound else prefix, keys, "left")
+    n_keys = conf_int(spark, CONF_MAX_HOT_KEYS, 1000) if by else 1
+    max_rows = n_keys * (blocks_used or 1)
+    joined = d.join(F.broadcast(prefix) if max_rows <= bound else prefix, keys, "left")
 
     # 3. in-block running window, merged with the prefix
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(_UNB, end)

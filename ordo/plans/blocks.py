@@ -70,19 +70,21 @@ def bucket_of(value: Column, bounds: Sequence[float]) -> Column:
 def hot_keys(df: DataFrame, by: Sequence[str]) -> DataFrame | None:
     """Keys whose row count exceeds the hot threshold (size-bounded table).
 
-    Returns ``None`` when no key is hot, so callers keep the plain plan.
+    One small job computes the total and the largest key count from the
+    per-key counts (a partial+final aggregate); when no key is above the
+    threshold it returns ``None`` and callers keep the plain plan.
     """
     spark = df.sparkSession
     max_hot = conf_int(spark, CONF_MAX_HOT_KEYS, 1000)
     min_rows = conf_int(spark, CONF_HOT_ROWS, 2_000_000)
     counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n")).first()[0] or 0
+    total, largest = counts.agg(F.sum("_n"), F.max("_n")).first()
+    total, largest = total or 0, largest or 0
     threshold = max(min_rows, -(-total // max_hot))
-    hot = counts.filter(F.col("_n") > threshold).select(*by)
-    # at most total/threshold <= max_hot keys: safe to broadcast
-    if hot.limit(1).count() == 0:
+    if largest <= threshold:
         return None
-    return hot
+    # at most total/threshold <= max_hot keys: safe to broadcast
+    return counts.filter(F.col("_n") > threshold).select(*by)
 
 
 def assign_blocks(
