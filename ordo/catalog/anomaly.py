@@ -23,7 +23,7 @@ def _scored(spark, sf, n_trees=25, height=15, window=250):
 def hst_test_then_train(spark, sf):
     """Min-max scaling -> half-space trees (25 trees, height 15, window 250) ->
     PR-AUC / ROC-AUC / max F1 over every lineitem row."""
-    return M.curve_metrics(_scored(spark, sf), "label", "hst_score")
+    return M.curve_metrics(_scored(spark, sf), "label", "hst_score", checkpoint=True)
 
 
 @query("hst_scores")

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import Stat
+from ..plans.session import cut_lineage
 from .windows import _as_list, running
 
 
@@ -261,7 +262,7 @@ def roc_auc_binned(df: DataFrame, y_true: str, score: str, n_thresholds: int = 1
     return g.select(*by, (-area).alias("roc_auc"))
 
 
-def score_curve_points(df: DataFrame, y_true: str, score: str, by=None) -> DataFrame:
+def score_curve_points(df: DataFrame, y_true: str, score: str, by=None, checkpoint: bool = False) -> DataFrame:
     """One row per distinct score (descending threshold) with cumulative
     true/false positives at ``score >= threshold``."""
     by = _as_list(by)
@@ -269,17 +270,21 @@ def score_curve_points(df: DataFrame, y_true: str, score: str, by=None) -> DataF
     g = df.groupBy(*by, F.col(score).cast("double").alias("thr")).agg(
         F.count(F.when(y, 1)).cast("double").alias("pos"), F.count(F.when(~y, 1)).cast("double").alias("neg"))
     g = g.withColumn("_desc", -F.col("thr"))
+    if checkpoint:
+        # the score table feeds the block planning jobs and the final job;
+        # a reliable checkpoint keeps an expensive scorer from re-running
+        g = cut_lineage(g)
     g = running(g, {"tps": Stat.of("sum", "pos"), "fps": Stat.of("sum", "neg")}, by=by, order="_desc")
     return g.drop("_desc")
 
 
-def curve_metrics(df: DataFrame, y_true: str, score: str, by=None) -> DataFrame:
+def curve_metrics(df: DataFrame, y_true: str, score: str, by=None, checkpoint: bool = False) -> DataFrame:
     """Exact PR-AUC (trapezoid over recall, precision), ROC-AUC and the
     maximum F1 with its precision, recall and threshold."""
     by, keyless = _group_keys(by)
     if keyless:
         df = df.withColumn("_g", F.lit(0))
-    pts = score_curve_points(df, y_true, score, by)
+    pts = score_curve_points(df, y_true, score, by, checkpoint)
     tot = pts.groupBy(*by).agg(F.sum("pos").alias("P"), F.sum("neg").alias("Nn"))
     # one row per group: bounded by the number of groups, joined on the key
     pts = pts.join(tot, by, "inner")
