@@ -47,3 +47,21 @@ def threshold_quantile(spark, sf):
     """Flag values above the running 90% quantile of the user's values so far."""
     e = T(spark, sf, "events").select("event_id", "user_id", "value")
     return A.threshold_quantile(e, "value", 0.9, "user_id", "event_id").select("event_id", "user_id", "is_anomaly")
+
+
+@query("drift_page_hinkley")
+def drift_page_hinkley(spark, sf):
+    """Page-Hinkley drift flags on each user's event values."""
+    from ..operators import drift as D
+
+    e = T(spark, sf, "events").select("event_id", "user_id", "value")
+    return D.detect_drift(e, "value", "user_id", "event_id", detector="page_hinkley", threshold=200.0)
+
+
+@query("drift_ddm")
+def drift_ddm(spark, sf):
+    """DDM on each user's error stream (an 'error' event counts as a miss)."""
+    from ..operators import drift as D
+
+    e = T(spark, sf, "events").select("event_id", "user_id", (F.col("event_type") == "error").cast("double").alias("miss"))
+    return D.detect_drift(e, "miss", "user_id", "event_id", detector="ddm")
