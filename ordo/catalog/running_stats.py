@@ -185,3 +185,36 @@ def agg_state_grouped(spark, sf):
     out = windows.grouped(li, outs, by=["l_returnflag", "l_linestatus"])
     exact = {"l_returnflag", "l_linestatus", "l_quantity_count", "l_quantity_min", "l_quantity_max"}
     return out.select(*[F.col(c) if c in exact else q6(c).alias(c) for c in out.columns])
+
+
+_COV_COLS = ["l_discount", "l_quantity", "l_tax"]
+
+
+@query(
+    "cov_matrix",
+    sql="SELECT l_returnflag, a, b, " + Q6("cov") + " AS cov FROM ("
+    + " UNION ALL ".join(
+        f"SELECT l_returnflag, '{a}' AS a, '{b}' AS b, covar_samp({a}, {b}) AS cov FROM lineitem GROUP BY 1"
+        for i, a in enumerate(_COV_COLS) for b in _COV_COLS[i:])
+    + ")",
+)
+def cov_matrix(spark, sf):
+    """Covariance matrix of three lineitem columns per return flag (long form)."""
+    li = T(spark, sf, "lineitem").select("l_returnflag", *_COV_COLS)
+    out = windows.cov_matrix(li, _COV_COLS, by="l_returnflag")
+    return out.select("l_returnflag", "a", "b", q6("cov").alias("cov"))
+
+
+@query(
+    "projection_ops",
+    sql="SELECT o_orderkey AS ev_o_orderkey, o_totalprice AS ev_price, o_orderstatus AS ev_o_orderstatus FROM orders",
+)
+def projection_ops(spark, sf):
+    """Select, discard, rename and prefix on the orders table."""
+    from ..operators import compose as C
+
+    o = T(spark, sf, "orders")
+    o = C.select(o, "o_orderkey", "o_totalprice", "o_orderstatus", "o_custkey")
+    o = C.discard(o, "o_custkey")
+    o = C.rename(o, {"o_totalprice": "price", "missing_col": "ignored"})
+    return C.prefix(o, "ev_")

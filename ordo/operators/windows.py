@@ -300,3 +300,23 @@ def _blocked_running(d: DataFrame, outputs: Outputs, by: list[str], order: list[
     out = out.withColumns(finals)
     base = [c for c in d.columns if c not in (BLOCK, HOT) and c not in finals]
     return out.select(*base, *finals)
+
+
+def cov_matrix(df: DataFrame, cols: Sequence[str], by: Sequence[str] | str | None = None, ddof: int = 1) -> DataFrame:
+    """Long-form covariance matrix: one aggregate pass computes every pair
+    (sorted names, i <= j, variance on the diagonal), then ``stack``."""
+    from ..functions.stats import Stat as _Stat
+
+    by = _as_list(by)
+    names = sorted(cols)
+    outs = {}
+    pairs = []
+    for i, a in enumerate(names):
+        for b in names[i:]:
+            key = f"_cov_{len(pairs)}"
+            outs[key] = _Stat.of("cov", a, b, ddof=ddof)
+            pairs.append((a, b, key))
+    g = grouped(df, outs, by)
+    stack = "stack({}, {}) as (a, b, cov)".format(
+        len(pairs), ", ".join(f"'{a}', '{b}', `{k}`" for a, b, k in pairs))
+    return g.selectExpr(*[f"`{c}`" for c in by], stack)
