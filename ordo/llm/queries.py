@@ -8,14 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import bpe, html_text, langid, licenses, quality, secrets, sharding
+from . import bpe, decontaminate, html_text, jaccard, langid, licenses, quality, secrets, sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontamination": lambda spark, d: decontaminate.leaked_documents(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op3_html_extraction": lambda spark, d: html_text.extract_pages(table(spark, d, "pages")),
     "op4_sharding": lambda spark, d: sharding.shard_documents(table(spark, d, "documents")),
     "op5_secret_scans": lambda spark, d: secrets.scan_documents(table(spark, d, "documents")),
     "op6_quality_rules": lambda spark, d: quality.judge_documents(table(spark, d, "documents")),
     "op7_license_scans": lambda spark, d: licenses.scan_documents(table(spark, d, "documents")),
+    "op8_jaccard_join": lambda spark, d: jaccard.jaccard_components(table(spark, d, "documents")),
     "op9_bpe": lambda spark, d: bpe.bpe_encode(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json")),
     "op10_language_id": lambda spark, d: langid.identify_documents(table(spark, d, "documents")),
 }

@@ -134,6 +134,41 @@ def find_spans(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, id_col: s
     return joined.withColumn("spans", spans).drop("_text", "_key", "_kinds")
 
 
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
+    """``docs`` with every span of a secret replaced by ``mark``; overlapping spans become one.
+
+    Texts without secrets (null ones too) stay as they are.
+    """
+
+    def merged(spans: Column) -> Column:
+        nothing = F.array().cast("array<struct<a:bigint,z:bigint>>")
+
+        def step(acc: Column, s: Column) -> Column:
+            last = F.element_at(acc, -1)
+            plain = F.struct(s["a"].alias("a"), s["z"].alias("z"))
+            joint = F.struct(last["a"].alias("a"), F.greatest(last["z"], s["z"]).alias("z"))
+            return (
+                F.when(F.size(acc) == 0, F.array(plain))
+                .when(s["a"] < last["z"], F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(joint)))
+                .otherwise(F.concat(acc, F.array(plain)))
+            )
+
+        return F.aggregate(spans, nothing, step)
+
+    def rebuilt(spans: Column, text: Column) -> Column:
+        def gap(s: Column, i: Column) -> Column:
+            start = F.when(i == 0, F.lit(0)).otherwise(F.get(spans, i - 1)["z"])
+            return F.substring(text, (start + 1).cast("int"), (s["a"] - start).cast("int"))
+
+        tail = F.substring(text, (F.element_at(spans, -1)["z"] + 1).cast("int"), F.char_length(text))
+        return F.array_join(F.concat(F.transform(spans, gap), F.array(tail)), mark)
+
+    found = find_spans(docs.withColumnRenamed("spans", "__spans"), BASE + MORE, id_col, text_col)
+    text = F.col(text_col)
+    clean = F.when(F.size("spans") > 0, let(merged(F.col("spans")), lambda m: rebuilt(m, text))).otherwise(text)
+    return found.withColumn(text_col, clean).drop("spans").withColumnRenamed("__spans", "spans").select(*docs.columns)
+
+
 def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
 
