@@ -12,14 +12,16 @@ Small sets use parts of one feature each; for larger ones the number of parts
 puts a set with too few non-empty parts some seven standard deviations out of
 reach (a job that met one would stop with an error, not lose a link).
 
-Signatures travel packed, 14 bytes each, to ranges of the signature space; a
-shared one yields its classes.  The least class of a signature is
-compared with the others (a star, linear in the group); components of those
-links are found, and only classes of different components that still share a
-signature are compared then.  A signature with many components (a passage
-that many documents quote) is left out for classes that keep more than k
-other parts, which loses nothing; the classes that do not keep so many probe
-just as many of their wide signatures as the bound asks for.
+Signatures travel packed, 13 bytes each, to ranges of the signature space,
+where those with two or more classes are found and counted.  A class can spare
+as many of its N signatures as it has beyond k + 1, and spares the most common
+ones; the others, as far as any other class has them, are its probes.  Classes
+without a probe have no partner.  So neither common shingles nor passages that
+many documents quote make candidates.
+
+Each probe is compared with the least class of its signature (a star, linear
+in the group); components of those links are found, and only then each probe
+with the classes of other components that have its signature.
 
 Candidates are verified by exact set intersection.  Nothing is capped.
 """
@@ -40,8 +42,8 @@ from .shingles import mix, shingle_sets
 
 SINGLE = 256  # sets below this size use one feature per part
 LEAST = 4  # smaller sets link with equal ones only
-WIDE = 16  # components beyond which a signature is wide
 LEAST_RANGE_BITS = 10
+LOW_BYTES = 5  # of a signature that travel beside its range; a clash only adds a candidate
 BROADCAST_CLASSES = 500_000
 INSTANCE = np.uint64(63)  # low bits of a signature: its instance
 
@@ -140,7 +142,7 @@ def packed_signatures(docs: DataFrame, width: int, percent: int, range_bits: int
         fresh = np.insert((sig[1:] != sig[:-1]) | (cid[1:] != cid[:-1]), 0, True)
         sig, cid = sig[fresh], cid[fresh].astype("<i8")
         slot = (sig >> np.uint64(64 - range_bits)).astype(np.int32)
-        low = sig.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+        low = sig.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :LOW_BYTES]
         starts = np.flatnonzero(np.insert(slot[1:] != slot[:-1], 0, True))
         ends = np.append(starts[1:], len(sig))
         blobs = [low[a:z].tobytes() + cid[a:z].tobytes() for a, z in zip(starts.tolist(), ends.tolist(), strict=True)]
@@ -167,17 +169,17 @@ def packed_signatures(docs: DataFrame, width: int, percent: int, range_bits: int
 
 
 def shared_signatures(packed: DataFrame, n_tasks: int) -> DataFrame:
-    """(sig, cid, rep) of every signature that two or more classes have; rep is the least of them."""
+    """(sig, cid, rep, n) of every signature that n > 1 classes have; rep is the least of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sigs, cids = [], []
         for batch in batches:
             for slot, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                n = len(blob) // 14
+                n = len(blob) // (LOW_BYTES + 8)
                 low = np.zeros((n, 8), np.uint8)
-                low[:, :6] = np.frombuffer(blob, np.uint8, 6 * n).reshape(n, 6)
-                sigs.append(low.view("<u8").ravel() | np.uint64(slot) << np.uint64(48))
-                cids.append(np.frombuffer(blob, "<i8", n, 6 * n))
+                low[:, :LOW_BYTES] = np.frombuffer(blob, np.uint8, LOW_BYTES * n).reshape(n, LOW_BYTES)
+                sigs.append(low.view("<u8").ravel() | np.uint64(slot) << np.uint64(8 * LOW_BYTES))
+                cids.append(np.frombuffer(blob, "<i8", n, LOW_BYTES * n))
         if not sigs:
             return
         sig, cid = np.concatenate(sigs), np.concatenate(cids)
@@ -195,14 +197,14 @@ def shared_signatures(packed: DataFrame, n_tasks: int) -> DataFrame:
         sig, cid = sig[fresh], cid[fresh]
         first = np.flatnonzero(np.insert(sig[1:] != sig[:-1], 0, True))
         counts = np.diff(np.append(first, len(sig)))
-        rep, many = np.repeat(cid[first], counts), np.repeat(counts > 1, counts)
+        rep, n = np.repeat(cid[first], counts), np.repeat(counts, counts)
         for lo in range(0, len(sig), 1 << 18):
             part = slice(lo, lo + (1 << 18))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x[part][many[part]]) for x in (sig.view(np.int64), cid, rep)], names=["sig", "cid", "rep"]
+                [pa.array(x[part][n[part] > 1]) for x in (sig.view(np.int64), cid, rep, n)], names=["sig", "cid", "rep", "n"]
             )
 
-    return packed.repartition(n_tasks, "range").mapInArrow(run, "sig long, cid long, rep long")
+    return packed.repartition(n_tasks, "range").mapInArrow(run, "sig long, cid long, rep long, n long")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -227,24 +229,26 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return found.join(F.broadcast(wanted) if few else wanted, "cid", "left_semi").dropDuplicates(["cid"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough: sizes first, then exact intersection."""
-    sizes = sets.select("cid", F.size("hashes").alias("n"))
-    sized = pairs.join(sizes.toDF("a", "m"), "a").join(sizes.toDF("b", "n"), "b")
-    near = sized.filter(100 * F.least("m", "n") >= percent * F.greatest("m", "n"))
+def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough, by exact intersection."""
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "wanted")
+    sets = materialize(sets_of(docs, wanted, width), "sets")
     both = F.size(F.array_intersect("x", "y"))
-    met = near.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    return met.filter(100 * both >= percent * (F.col("m") + F.col("n") - both)).select("a", "b")
+    met = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    return met.filter(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
+
 
+def probes_of(shared: DataFrame, kinds: DataFrame) -> DataFrame:
+    """The rows of ``shared`` that their classes cannot spare, with the class's size.
 
-def probing(placed: DataFrame, members: DataFrame, wide: DataFrame) -> DataFrame:
-    """(sig, cid) of the wide signatures that classes cannot spare, the least wide ones."""
-    spare = members.groupBy("cid").agg(F.first("spare_band").alias("band"), F.first("spare_window").alias("window"))
-    held = placed.join(wide, "sig").join(spare, "cid")
+    The most common signatures are spared; those that no other class has are
+    not among the rows and count as kept.
+    """
     number = F.col("sig").bitwiseAND(int(INSTANCE))
-    place = F.row_number().over(Window.partitionBy("cid", number).orderBy(F.desc("n_comps"), "sig"))
-    spared = F.when(number % 2 == 0, F.col("band")).otherwise(F.col("window"))
-    return held.withColumn("_place", place).filter(F.col("_place") > spared).select("sig", "cid")
+    place = F.row_number().over(Window.partitionBy("cid", number).orderBy(F.desc("n"), "sig"))
+    spared = F.when(number % 2 == 0, F.col("spare_band")).otherwise(F.col("spare_window"))
+    held = shared.join(kinds, "cid").withColumn("_place", place).filter(F.col("_place") > spared)
+    return held.select("sig", "cid", "rep", "size")
 
 
 def candidate_links(docs: DataFrame, members: DataFrame, width: int, percent: int, n_tasks: int) -> DataFrame:
@@ -252,32 +256,31 @@ def candidate_links(docs: DataFrame, members: DataFrame, width: int, percent: in
     range_bits = max(LEAST_RANGE_BITS, (4 * n_tasks).bit_length())
     packed = packed_signatures(docs, width, percent, range_bits)
     shared = materialize(shared_signatures(packed, n_tasks), "signatures")
-    wanted = materialize(shared.select("cid").distinct(), "candidates")
-    sets = materialize(sets_of(docs, wanted, width), "sets")
-    stars = shared.filter("cid != rep").select(F.col("rep").alias("a"), F.col("cid").alias("b")).distinct()
-    links = materialize(verified(stars, sets, percent), "links")
-
-    labels = connected(links)
-    placed = shared.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("label", "cid"))
-    placed = materialize(placed.select("sig", "cid", "rep", "comp"), "placed")
-    # signatures whose classes are not all in one component, without those of two classes (compared already)
-    kinds = placed.groupBy("sig", "comp").agg(F.count(F.lit(1)).alias("n"))
-    kinds = kinds.groupBy("sig").agg(F.count(F.lit(1)).alias("n_comps"), F.sum("n").alias("n"))
-    open_ = materialize(kinds.filter("n_comps > 1 AND n > 2").select("sig", "n_comps"), "open")
-    narrow = placed.join(open_.filter(F.col("n_comps") <= WIDE).select("sig"), "sig")
-    wide = open_.filter(F.col("n_comps") > WIDE)
-    probes = probing(placed, members, wide)
-
-    def meet(left: DataFrame, right: DataFrame) -> DataFrame:
-        """Classes of different components with a signature in common, apart from stars."""
-        x = left.select("sig", F.col("cid").alias("a"), F.col("comp").alias("ca"), "rep")
-        y = right.select("sig", F.col("cid").alias("b"), F.col("comp").alias("cb"))
-        met = x.join(y, "sig").filter("a != b AND ca != cb AND a != rep AND b != rep")
-        return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-
-    rest = meet(narrow, narrow).union(meet(placed.join(probes, ["sig", "cid"]), placed))
-    rest = materialize(rest.distinct(), "rest")
-    return links.union(verified(rest, sets, percent))
+    kinds = members.groupBy("cid").agg(
+        F.first("n_shingles").alias("size"), F.first("spare_band").alias("spare_band"), F.first("spare_window").alias("spare_window")
+    )
+    probes = materialize(probes_of(shared, kinds), "probes")
+    sizes = kinds.select("cid", "size")
+    fits = f"100 * least(size, other) >= {percent} * greatest(size, other)"
+
+    stars = probes.filter("cid != rep").select(F.col("rep").alias("a"), F.col("cid").alias("b"), "size").distinct()
+    stars = stars.join(sizes.toDF("a", "other"), "a").filter(fits).select("a", "b")
+    links = materialize(verified(docs, materialize(stars, "stars"), width, percent), "links")
+
+    # classes of the probes' signatures, by component
+    labels = connected(links).withColumnRenamed("node", "cid")
+    rows = shared.join(probes.select("sig").distinct(), "sig", "left_semi").join(labels, "cid", "left").join(sizes, "cid")
+    rows = materialize(rows.select("sig", "cid", "size", F.coalesce("label", "cid").alias("comp")), "placed")
+    several = rows.groupBy("sig", "comp").agg(F.min("size").alias("low"), F.max("size").alias("high"))
+    several = several.join(several.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("sig"), "sig", "left_semi")
+    asking = probes.join(labels, "cid", "left").select("sig", F.col("cid").alias("a"), "rep", F.col("size").alias("m"), F.coalesce("label", "cid").alias("ca"))
+    # a probe is the smaller set of its pairs; first the components it has to meet, then their classes
+    met = asking.join(several.withColumnRenamed("comp", "cb"), "sig").filter(f"ca != cb AND high >= m AND {percent} * low <= 100 * m")
+    met = met.select("sig", "cb", "a", "rep", "m")
+    pairs = met.join(rows.select("sig", F.col("comp").alias("cb"), F.col("cid").alias("b"), "size"), ["sig", "cb"])
+    pairs = pairs.filter(f"size >= m AND {percent} * size <= 100 * m AND b != rep")
+    rest = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "rest")
+    return links if rest.isEmpty() else links.union(verified(docs, rest, width, percent))
 
 
 def _placed(source: DataFrame, width: int, percent: int, task_bytes: int) -> DataFrame:
@@ -285,7 +288,7 @@ def _placed(source: DataFrame, width: int, percent: int, task_bytes: int) -> Dat
     members = materialize(classes(source, width, percent), "members")
     n = members.agg(F.sum("n_shingles")).first()[0] or 0
     least = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n_tasks = max(least, int(n * 0.65 * 14 / task_bytes) + 1)
+    n_tasks = max(least, int(n * 0.65 * (LOW_BYTES + 8) / task_bytes) + 1)
     links = candidate_links(source, members.filter("cid IS NOT NULL"), width, percent, n_tasks)
     labels = materialize(connected(links), "labels")
     placed = members.join(labels.withColumnRenamed("node", "cid"), "cid", "left")
