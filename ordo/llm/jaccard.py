@@ -19,8 +19,8 @@ ones; the others, as far as any other class has them, are its probes.  Classes
 without a probe have no partner.  So neither common shingles nor passages that
 many documents quote make candidates.
 
-Each probe is compared with the least class of its signature (a star, linear
-in the group); components of those links are found, and only then each probe
+Each probe is compared with the most central class of its signature (a star,
+linear in the group); components of those links are found, and only then each probe
 with the classes of other components that have its signature.
 
 Candidates are verified by exact set intersection.  Nothing is capped.
@@ -42,6 +42,7 @@ from .shingles import mix, shingle_sets
 
 SINGLE = 256  # sets below this size use one feature per part
 LEAST = 4  # smaller sets link with equal ones only
+SINGLES = (2 * SINGLE.bit_length() - 4, 2 * SINGLE.bit_length() - 1)  # their instances: the band and the window above
 LEAST_RANGE_BITS = 10
 LOW_BYTES = 5  # of a signature that travel beside its range; a clash only adds a candidate
 BROADCAST_CLASSES = 500_000
@@ -92,7 +93,8 @@ def signatures(hashes: np.ndarray, percent: int) -> list[tuple[int, int, np.ndar
     """
     out = []
     for number, top, single in instances(len(hashes), percent):
-        k = most_diffs(len(hashes), top, percent)
+        # parts of one feature: a partner of at least this size holds all but k of the features
+        k = len(hashes) * (100 - percent) // (100 + percent) if single else most_diffs(len(hashes), top, percent)
         parts, contents = parts_of(hashes, top, single, percent)
         if len(parts) <= k:
             raise ValueError("a set has too few non-empty parts; raise the slack of parts_of")
@@ -169,7 +171,7 @@ def packed_signatures(docs: DataFrame, width: int, percent: int, range_bits: int
 
 
 def shared_signatures(packed: DataFrame, n_tasks: int) -> DataFrame:
-    """(sig, cid, rep, n) of every signature that n > 1 classes have; rep is the least of them."""
+    """(sig, cid, n) of every signature that n > 1 classes have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sigs, cids = [], []
@@ -197,14 +199,14 @@ def shared_signatures(packed: DataFrame, n_tasks: int) -> DataFrame:
         sig, cid = sig[fresh], cid[fresh]
         first = np.flatnonzero(np.insert(sig[1:] != sig[:-1], 0, True))
         counts = np.diff(np.append(first, len(sig)))
-        rep, n = np.repeat(cid[first], counts), np.repeat(counts, counts)
+        n = np.repeat(counts, counts)
         for lo in range(0, len(sig), 1 << 18):
             part = slice(lo, lo + (1 << 18))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(x[part][n[part] > 1]) for x in (sig.view(np.int64), cid, rep, n)], names=["sig", "cid", "rep", "n"]
+                [pa.array(x[part][n[part] > 1]) for x in (sig.view(np.int64), cid, n)], names=["sig", "cid", "n"]
             )
 
-    return packed.repartition(n_tasks, "range").mapInArrow(run, "sig long, cid long, rep long, n long")
+    return packed.repartition(n_tasks, "range").mapInArrow(run, "sig long, cid long, n long")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -238,17 +240,26 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> Dat
     return met.filter(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
-def probes_of(shared: DataFrame, kinds: DataFrame) -> DataFrame:
-    """The rows of ``shared`` that their classes cannot spare, with the class's size.
+def ranked(shared: DataFrame, kinds: DataFrame, percent: int) -> DataFrame:
+    """``shared`` with what is known of its class: size, number of shared signatures, and whether it is a probe.
 
     The most common signatures are spared; those that no other class has are
-    not among the rows and count as kept.
+    not among the rows and count as kept.  With parts of one feature a partner
+    shares at least ``percent`` of a class's features, so classes that share
+    fewer with all others together have none.
     """
     number = F.col("sig").bitwiseAND(int(INSTANCE))
-    place = F.row_number().over(Window.partitionBy("cid", number).orderBy(F.desc("n"), "sig"))
+    one = Window.partitionBy("cid", number)
     spared = F.when(number % 2 == 0, F.col("spare_band")).otherwise(F.col("spare_window"))
-    held = shared.join(kinds, "cid").withColumn("_place", place).filter(F.col("_place") > spared)
-    return held.select("sig", "cid", "rep", "size")
+    rows = shared.join(kinds, "cid").withColumns(
+        {
+            "held": F.count(F.lit(1)).over(one),
+            "common": F.sum("n").over(one) / F.col("size"),
+            "probe": F.row_number().over(one.orderBy(F.desc("n"), "sig")) > spared,
+            "single": number.isin(*SINGLES),
+        }
+    )
+    return rows.filter(f"NOT single OR 100 * held >= {percent} * size").select("sig", "cid", "size", "held", "common", "probe", "single")
 
 
 def candidate_links(docs: DataFrame, members: DataFrame, width: int, percent: int, n_tasks: int) -> DataFrame:
@@ -259,27 +270,34 @@ def candidate_links(docs: DataFrame, members: DataFrame, width: int, percent: in
     kinds = members.groupBy("cid").agg(
         F.first("n_shingles").alias("size"), F.first("spare_band").alias("spare_band"), F.first("spare_window").alias("spare_window")
     )
-    probes = materialize(probes_of(shared, kinds), "probes")
-    sizes = kinds.select("cid", "size")
-    fits = f"100 * least(size, other) >= {percent} * greatest(size, other)"
-
-    stars = probes.filter("cid != rep").select(F.col("rep").alias("a"), F.col("cid").alias("b"), "size").distinct()
-    stars = stars.join(sizes.toDF("a", "other"), "a").filter(fits).select("a", "b")
+    rows = materialize(ranked(shared, kinds, percent), "ranked")
+    fits = f"{percent} * greatest(x.size, y.size) <= 100 * least(x.size, y.size)"
+    # with parts of one feature the intersection is at most what either class shares with others
+    may = f"(NOT x.single OR {100 + percent} * least(x.held, y.held) >= {percent} * (x.size + y.size))"
+
+    # the centre of a signature: of an original and its edited copies that is the original
+    centre = rows.filter("probe").groupBy("sig").agg(F.max(F.struct("common", "cid", "size", "held")).alias("c"))
+    centre = materialize(centre.select("sig", "c.cid", "c.size", "c.held"), "centres")
+    stars = rows.filter("probe").alias("x").join(centre.alias("y"), "sig").filter(f"x.cid != y.cid AND {fits} AND {may}")
+    stars = stars.select(F.col("y.cid").alias("a"), F.col("x.cid").alias("b")).distinct()
     links = materialize(verified(docs, materialize(stars, "stars"), width, percent), "links")
 
     # classes of the probes' signatures, by component
     labels = connected(links).withColumnRenamed("node", "cid")
-    rows = shared.join(probes.select("sig").distinct(), "sig", "left_semi").join(labels, "cid", "left").join(sizes, "cid")
-    rows = materialize(rows.select("sig", "cid", "size", F.coalesce("label", "cid").alias("comp")), "placed")
-    several = rows.groupBy("sig", "comp").agg(F.min("size").alias("low"), F.max("size").alias("high"))
-    several = several.join(several.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("sig"), "sig", "left_semi")
-    asking = probes.join(labels, "cid", "left").select("sig", F.col("cid").alias("a"), "rep", F.col("size").alias("m"), F.coalesce("label", "cid").alias("ca"))
-    # a probe is the smaller set of its pairs; first the components it has to meet, then their classes
-    met = asking.join(several.withColumnRenamed("comp", "cb"), "sig").filter(f"ca != cb AND high >= m AND {percent} * low <= 100 * m")
-    met = met.select("sig", "cb", "a", "rep", "m")
-    pairs = met.join(rows.select("sig", F.col("comp").alias("cb"), F.col("cid").alias("b"), "size"), ["sig", "cb"])
-    pairs = pairs.filter(f"size >= m AND {percent} * size <= 100 * m AND b != rep")
-    rest = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "rest")
+    placed = rows.join(centre.select("sig", F.col("cid").alias("rep")), "sig").join(labels, "cid", "left")
+    placed = materialize(placed.withColumn("comp", F.coalesce("label", "cid")).drop("label", "common"), "placed")
+    several = placed.groupBy("sig", "comp").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.max("held").alias("held"))
+    mixed = several.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("sig")
+    several = several.join(mixed, "sig", "left_semi").select("sig", F.col("comp").alias("other"), "low", "high", F.col("held").alias("most"))
+    # a probe is the smaller set of its pairs: first the components it has to meet, then their classes
+    asking = placed.filter("probe").join(several, "sig").filter(
+        f"comp != other AND high >= size AND {percent} * low <= 100 * size"
+        f" AND (NOT single OR {100 + percent} * least(held, most) >= {2 * percent} * size)"
+    )
+    answering = placed.select("sig", F.col("comp").alias("other"), "cid", "size", "held", "single")
+    met = asking.alias("x").join(answering.alias("y"), ["sig", "other"]).filter(f"y.size >= x.size AND y.cid != x.rep AND {fits} AND {may}")
+    pairs = met.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
+    rest = materialize(pairs, "rest")
     return links if rest.isEmpty() else links.union(verified(docs, rest, width, percent))
 
 
