@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import bpe, decontaminate, html_text, jaccard, langid, licenses, quality, secrets, sharding
+from . import bpe, decontaminate, html_text, jaccard, langid, licenses, quality, secrets, sharding, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": lambda spark, d: suffixes.remove_repeats(table(spark, d, "documents")),
     "op2_decontamination": lambda spark, d: decontaminate.leaked_documents(table(spark, d, "documents"), table(spark, d, "benchmark")),
     "op3_html_extraction": lambda spark, d: html_text.extract_pages(table(spark, d, "pages")),
     "op4_sharding": lambda spark, d: sharding.shard_documents(table(spark, d, "documents")),
