@@ -133,7 +133,7 @@ def classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, key long, n_shingles long, cid long, spare_band int, spare_window int")
 
 
-def packed_signatures(docs: DataFrame, width: int, percent: int, range_bits: int, block: int = 1 << 20) -> DataFrame:
+def packed_signatures(docs: DataFrame, width: int, percent: int, range_bits: int, block: int = 1 << 19) -> DataFrame:
     """(range, pairs): signatures and classes packed as bytes, by range of the signature."""
 
     def emit(sigs: list[np.ndarray], cids: list[np.ndarray]) -> pa.RecordBatch:
@@ -220,7 +220,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                     ids.append(class_id(hashes))
                     sets.append(hashes.view(np.int64))
                     n += len(hashes)
-                if n >= 1 << 19:
+                if n >= 1 << 18:
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["cid", "hashes"])
                     ids, sets, n = [], [], 0
             if ids:

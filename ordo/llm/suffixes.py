@@ -10,7 +10,8 @@ somewhere else, in the same document or another.
    their gram; an anchor that occurs once rules out all its windows, and one
    whose whole surroundings occur again settles them all.
 2. *Column-wise construction.*  What is left are short segments around
-   anchors whose surroundings differ (edges of repeats, edits).  Segments of
+   anchors whose surroundings differ (edges of repeats, edits), and of those
+   only the ones that share a stretch almost as long as a window.  Segments of
    equal anchors go to one task, and a Burrows-Wheeler transform of each such
    collection is built column by column: every round inserts the next symbol,
    from the right, of every segment at once, at the place that the symbol
@@ -26,7 +27,10 @@ as the longest document has bytes, each a pass over the whole collection.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +42,7 @@ from .shingles import BYTE_CODES, mix, powers
 
 GRAM = 100
 SLICE = 1 << 20
+STEP = 25  # a window holds its anchor and one of these stretches of the rest, in steps
 RANGE_BITS = 10
 CHUNK = 2_000  # segments whose transform is built together
 BROADCAST_KEYS = 500_000
@@ -49,20 +54,22 @@ class Runs:
     """The runs of windows with one anchor, of one text."""
 
     def __init__(self, text: np.ndarray, length: int):
-        first, last, gram, span = [], [], [], []
+        first, last, at, gram, span = [], [], [], [], []
         step = SLICE - length
         for lo in range(0, max(1, len(text) - length + 1), step):
             part = text[lo : lo + SLICE]
             if lo + SLICE < len(text):
                 part = part[: step + length - 1]
             if len(part) >= length:
-                s, e, g, h = self._slice(part, length)
+                s, e, p, g, h = self._slice(part, length)
                 first.append(s + lo)
                 last.append(e + lo)
+                at.append(p + lo)
                 gram.append(g)
                 span.append(h)
         none = [np.zeros(0, np.int64)]
         self.first, self.last = np.concatenate(first or none), np.concatenate(last or none)
+        self.at = np.concatenate(at or none)
         self.gram, self.span = np.concatenate(gram or none).astype(np.uint64), np.concatenate(span or none).astype(np.uint64)
 
     @staticmethod
@@ -86,7 +93,7 @@ class Runs:
         at = anchor[first]
         whole = (sums[last + length] - sums[first]) * down[first]
         shape = ((last - first) * 4096 + (at - first)).astype(np.uint64)
-        return first, last, grams[at], mix(mix(whole) + shape)
+        return first, last, at, grams[at], mix(mix(whole) + shape)
 
 
 def text_bytes(value: str | None) -> np.ndarray:
@@ -151,11 +158,11 @@ def judged(packed: DataFrame, n_tasks: int) -> DataFrame:
 
 
 def segments(docs: DataFrame, length: int) -> DataFrame:
-    """(gram, key, run, known, bytes): what has to be compared window by window; docs have ``runs``."""
+    """(gram, key, run, known, at, bytes): what has to be compared window by window; docs have ``runs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [], [])
             for key, value, marks in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 text = text_bytes(value.as_py())
                 runs = Runs(text, length)
@@ -163,14 +170,14 @@ def segments(docs: DataFrame, length: int) -> DataFrame:
                     if mark["kind"] != WHOLE:
                         i = mark["run"]
                         piece = text[runs.first[i] : runs.last[i] + length].tobytes()
-                        for column, x in zip(out, (int(runs.gram[i].view(np.int64)), key, i, mark["kind"] == MODEL, piece), strict=True):
+                        for column, x in zip(out, (int(runs.gram[i].view(np.int64)), key, i, mark["kind"] == MODEL, int(runs.at[i] - runs.first[i]), piece), strict=True):
                             column.append(x)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary()), strict=True)],
-                names=["gram", "key", "run", "known", "bytes"],
+                [pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.binary()), strict=True)],
+                names=["gram", "key", "run", "known", "at", "bytes"],
             )
 
-    return docs.select("key", "text", "runs").mapInArrow(run, "gram long, key long, run int, known boolean, bytes binary")
+    return docs.select("key", "text", "runs").mapInArrow(run, "gram long, key long, run int, known boolean, at int, bytes binary")
 
 
 def _spread(old: np.ndarray, kept: np.ndarray, spots: np.ndarray, value) -> np.ndarray:
@@ -247,17 +254,38 @@ def repeated_windows(texts: list[bytes], known: np.ndarray, length: int) -> Iter
         yield int(segment), np.sort(start[again & (owner == segment)])
 
 
+def promising(group: list[tuple], length: int) -> list[tuple]:
+    """Of the segments of one anchor, those that may hold a window of another one.
+
+    A window has ``length - GRAM`` bytes beside the anchor, so among stretches
+    that reach ``STEP`` times a bytes to the left and the rest but one step to
+    the right, one lies within it: that stretch must occur twice.
+    """
+    rest = length - GRAM - STEP
+    counts: Counter = Counter()
+    held = []
+    for *_, at, piece in group:
+        own = {
+            (left, piece[at - left : at + GRAM + rest - left])
+            for left in range(0, rest + 1, STEP)
+            if at >= left and at + GRAM + rest - left <= len(piece)
+        }
+        counts.update(own)
+        held.append(own)
+    return [row for row, own in zip(group, held, strict=True) if any(counts[x] > 1 for x in own)]
+
+
 def compared(pieces: DataFrame, length: int, n_tasks: int) -> DataFrame:
     """(key, run, windows): the windows of a run, counted from its first, that occur elsewhere."""
 
-    def chunks(rows: list[tuple]) -> Iterator[list[tuple]]:
-        """Rows of whole anchors, about ``CHUNK`` at a time."""
+    def chunks(rows: Iterator[tuple]) -> Iterator[list[tuple]]:
+        """Promising rows of whole anchors, about ``CHUNK`` at a time."""
         chunk: list[tuple] = []
-        for row in rows:
-            if len(chunk) >= CHUNK and row[0] != chunk[-1][0]:
+        for _, group in groupby(rows, key=itemgetter(0)):
+            chunk += promising(list(group), length)
+            if len(chunk) >= CHUNK:
                 yield chunk
                 chunk = []
-            chunk.append(row)
         if chunk:
             yield chunk
 
@@ -269,7 +297,7 @@ def compared(pieces: DataFrame, length: int, n_tasks: int) -> DataFrame:
         for chunk in chunks(rows_of(batches)):
             keys, runs, windows = [], [], []
             known = np.array([r[3] for r in chunk])
-            for i, starts in repeated_windows([r[4] for r in chunk], known, length):
+            for i, starts in repeated_windows([r[5] for r in chunk], known, length):
                 keys.append(chunk[i][1])
                 runs.append(chunk[i][2])
                 windows.append(starts.astype(np.int32))
