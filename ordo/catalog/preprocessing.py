@@ -94,19 +94,19 @@ _LI_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate",
     sql=f"""
 SELECT {", ".join(_LI_KEY)},
   l_quantity > 25.0 AS q_bin,
-  {Q6("l_discount / sqrt(l_discount * l_discount + l_tax * l_tax)")} AS d_norm,
-  {Q6("l_tax / sqrt(l_discount * l_discount + l_tax * l_tax)")} AS t_norm,
+  {Q6("l_discount / nullif(sqrt(l_discount * l_discount + l_tax * l_tax), 0)")} AS d_norm,
+  {Q6("l_tax / nullif(sqrt(l_discount * l_discount + l_tax * l_tax), 0)")} AS t_norm,
   {Q6("l_discount * l_discount")} AS "l_discount*l_discount",
   {Q6("l_discount * l_tax")} AS "l_discount*l_tax",
   {Q6("l_tax * l_tax")} AS "l_tax*l_tax",
   {Q6("l_quantity * l_discount")} AS "l_quantity*l_discount",
   least(greatest(l_extendedprice / 1000.0, 5.0), 50.0) AS price_clipped
-FROM lineitem WHERE l_discount + l_tax > 0
+FROM lineitem
 """,
 )
 def row_transforms(spark, sf):
     """Binarizer, L2 row normaliser, degree-2 polynomial, product features, clipping."""
-    li = T(spark, sf, "lineitem").select(*_LI_KEY).filter(F.col("l_discount") + F.col("l_tax") > 0)
+    li = T(spark, sf, "lineitem").select(*_LI_KEY)
     li = li.withColumn("q_bin", F.col("l_quantity")).withColumns({"d_norm": F.col("l_discount"), "t_norm": F.col("l_tax")})
     li = P.binarize(li, ["q_bin"], threshold=25.0)
     li = P.normalize_row(li, ["d_norm", "t_norm"], order=2)
@@ -183,11 +183,11 @@ SELECT o_orderkey,
       "THEN (o_totalprice / 1000.0 - avg(o_totalprice / 1000.0) OVER w) / sqrt(var_samp(o_totalprice / 1000.0) OVER w) "
       "ELSE 0.0 END")} AS y_scaled
 FROM orders
-WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 """,
 )
 def target_standardize(spark, sf):
-    """Target scaled by earlier targets' mean/std per customer (no leakage)."""
+    """Target scaled for training by the customer's mean/std, its own row included."""
     o = T(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate", (F.col("o_totalprice") / 1000.0).alias("y"))
     out = P.target_standardize(o, "y", "o_custkey", ["o_orderdate", "o_orderkey"], name="y_scaled")
     return out.select("o_orderkey", q6("y_scaled").alias("y_scaled"))

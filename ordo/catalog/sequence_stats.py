@@ -112,14 +112,14 @@ e AS (SELECT e.event_id, e.user_id, e.event_type, r.rk,
                        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c
       FROM events e JOIN r ON e.user_id = r.user_id AND e.event_type = r.event_type)
 SELECT event_id, user_id,
-  arg_max(CASE WHEN rk <= 3 THEN event_type END, CASE WHEN rk <= 3 THEN c * 1000000 - rk END) OVER ({_RUN})
+  arg_max(CASE WHEN rk > 0 THEN event_type END, CASE WHEN rk > 0 THEN c * 1000000 - rk END) OVER ({_RUN})
     AS event_type_mode
 FROM e
 """,
 )
 def running_mode(spark, sf):
-    """Mode of the event type per user, counting only the first 3 types seen."""
-    out = sequence.running_mode(_events(spark, sf, "event_type"), "event_type", "user_id", "event_id", k=3)
+    """Mode of the event type per user, all types counted."""
+    out = sequence.running_mode(_events(spark, sf, "event_type"), "event_type", "user_id", "event_id")
     return out.select("event_id", "user_id", "event_type_mode")
 
 

@@ -53,6 +53,7 @@ def progressive_metric(df: DataFrame, y_true: str, y_pred: str, time_col: str, i
     err = {
         "mae": F.abs(F.col(y_true) - F.col(y_pred)),
         "mse": (F.col(y_true) - F.col(y_pred)) ** 2,
+        "rmse": (F.col(y_true) - F.col(y_pred)) ** 2,
         "accuracy": (F.col(y_true) == F.col(y_pred)).cast("double"),
     }[metric]
     d = d.withColumn("_err", err.cast("double"))

@@ -129,11 +129,18 @@ def clip(df: DataFrame, col: str, lo: float, hi: float) -> DataFrame:
     return df.withColumn(col, F.least(F.greatest(F.col(col), F.lit(lo)), F.lit(hi)))
 
 
-def target_standardize(df: DataFrame, y: str, by, order, name: str | None = None) -> DataFrame:
-    """Target scaled with the running mean / sample std of earlier targets
-    (the supervised side learns after predicting: current row excluded)."""
+def target_standardize(df: DataFrame, y: str, by, order, name: str | None = None, inverse: str | None = None) -> DataFrame:
+    """Target scaled for training: mean and sample std include the current row.
+
+    ``inverse`` names a column of scaled predictions; it is mapped back with
+    the statistics of the rows before (what is known when predicting).
+    """
     name = name or f"{y}_scaled"
-    d = running(df, {"_ordo_ym": Stat.of("mean", y), "_ordo_yv": Stat.of("var", y, ddof=1)}, by=by, order=order,
-                lagged=True)
-    return d.withColumn(name, safe_div(F.col(y) - F.col("_ordo_ym"), F.sqrt(F.col("_ordo_yv")))).drop(
-        "_ordo_ym", "_ordo_yv")
+    stats = {"_ordo_ym": Stat.of("mean", y), "_ordo_yv": Stat.of("var", y, ddof=1)}
+    d = running(df, stats, by=by, order=order)
+    d = d.withColumn(name, safe_div(F.col(y) - F.col("_ordo_ym"), F.sqrt(F.col("_ordo_yv")))).drop(*stats)
+    if inverse:
+        d = running(d, stats, by=by, order=order, lagged=True)
+        back = F.col(inverse) * F.sqrt(F.coalesce("_ordo_yv", F.lit(0.0))) + F.coalesce("_ordo_ym", F.lit(0.0))
+        d = d.withColumn(f"{inverse}_unscaled", back).drop(*stats)
+    return d

@@ -77,8 +77,11 @@ def running_entropy(df: DataFrame, on: str, by, order, name: str | None = None)
     return d.withColumn(name, F.greatest(h, F.lit(0.0))).drop("_ordo_c", "_ordo_t", "_ordo_one", "_ordo_s", "_ordo_n")
 
 
-def running_mode(df: DataFrame, on: str, by, order, k: int = 25, name: str | None = None) -> DataFrame:
-    """Most frequent value so far; ties go to the value seen first."""
+def running_mode(df: DataFrame, on: str, by, order, k: int = -1, name: str | None = None) -> DataFrame:
+    """Most frequent value so far; ties go to the value seen first.
+
+    All values count; ``k`` restricts that to the first ``k`` distinct ones.
+    """
     by, order = _as_list(by), _as_list(order)
     name = name or f"{on}_mode"
     pos = "_ordo_pos"
@@ -92,10 +95,14 @@ def running_mode(df: DataFrame, on: str, by, order, k: int = 25, name: str | Non
     d = d.join(firsts, [*by, on], "left")
     d = row_number(d, [*by, on], order, "_ordo_c")
     eligible = F.col("_ordo_rank") <= F.lit(k) if k != -1 else F.lit(True)
-    # larger count wins; on equal counts the earlier first-seen position wins
-    key = F.when(eligible, F.struct(F.col("_ordo_c"), (-F.col("_ordo_rank")).alias("r"), F.col(on).alias("v")))
+    # larger count wins; on equal counts the earlier first-seen position wins: among the rows that
+    # reach the largest count so far, the value with the least first position
     w = _window(by, order).rowsBetween(_UNB, 0)
-    d = d.withColumn(name, F.max(key).over(w)["v"])
+    d = d.withColumn("_ordo_top", F.max(F.when(eligible, F.col("_ordo_c"))).over(w))
+    reached = F.when(eligible & (F.col("_ordo_c") == F.col("_ordo_top")), F.struct(F.col("_ordo_fpos"), F.col(on).alias("v")))
+    # a row's count is the top of its time exactly while its value leads; a new top starts a new race
+    race = _window([*by, "_ordo_top"], order).rowsBetween(_UNB, 0)
+    d = d.withColumn(name, F.min(reached).over(race)["v"]).drop("_ordo_top")
     return d.drop(pos, "_ordo_fpos", "_ordo_rank", "_ordo_c")
 
 

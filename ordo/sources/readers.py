@@ -29,8 +29,9 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
         df = df.withColumns({c: F.col(c).cast(t) for c, t in converters.items()})
     if parse_dates:
         df = df.withColumns({c: F.to_timestamp(F.col(c), fmt) for c, fmt in parse_dates.items()})
-    if drop_nones:
-        df = df.dropna(how="any")
+    if drop_nones and schema is None:
+        # an empty field is absent from its row; the fixed columns carry that as NULL, rows stay
+        df = df.withColumns({c: F.nullif(F.col(c), F.lit("")) for c, kind in df.dtypes if kind == "string"})
     if fraction < 1.0:
         df = df.sample(withReplacement=False, fraction=fraction, seed=seed)
     if isinstance(target, (list, tuple)):
