@@ -44,7 +44,7 @@ GRAM = 100
 SLICE = 1 << 20
 STEP = 25  # a window holds its anchor and one of these stretches of the rest, in steps
 RANGE_BITS = 10
-CHUNK = 2_000  # segments whose transform is built together
+CHUNK = 250  # segments whose transform is built together
 BROADCAST_KEYS = 500_000
 RECORD = np.dtype([("gram", "<u8"), ("span", "<u8"), ("key", "<i8"), ("run", "<u4")])
 SINGLE, WHOLE, MODEL = 0, 1, 2  # a run to compare, one that occurs again as a whole, and one of the latter to compare with
