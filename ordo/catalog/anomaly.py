@@ -65,3 +65,41 @@ def drift_ddm(spark, sf):
 
     e = T(spark, sf, "events").select("event_id", "user_id", (F.col("event_type") == "error").cast("double").alias("miss"))
     return D.detect_drift(e, "miss", "user_id", "event_id", detector="ddm")
+
+
+def _user_drift(spark, sf, detector, on="value", **params):
+    from ..operators import drift as D
+
+    e = T(spark, sf, "events").select(
+        "event_id", "user_id", "value", (F.col("event_type") == "error").cast("double").alias("miss"))
+    return D.detect_drift(e, on, "user_id", "event_id", detector=detector, **params)
+
+
+@query("drift_eddm")
+def drift_eddm(spark, sf):
+    """Distances of errors on each user's error stream."""
+    return _user_drift(spark, sf, "eddm", "miss")
+
+
+@query("drift_hddm_a")
+def drift_hddm_a(spark, sf):
+    """Two-sided Hoeffding test of means on each user's error stream."""
+    return _user_drift(spark, sf, "hddm_a", "miss", two_sided_test=True)
+
+
+@query("drift_hddm_w")
+def drift_hddm_w(spark, sf):
+    """Hoeffding test of weighted means on each user's error stream."""
+    return _user_drift(spark, sf, "hddm_w", "miss")
+
+
+@query("drift_adwin")
+def drift_adwin(spark, sf):
+    """Adaptive windows over each user's event values."""
+    return _user_drift(spark, sf, "adwin")
+
+
+@query("drift_kswin")
+def drift_kswin(spark, sf):
+    """Kolmogorov-Smirnov windows over each user's event values."""
+    return _user_drift(spark, sf, "kswin", window_size=40, stat_size=15)

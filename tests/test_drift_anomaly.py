@@ -1,25 +1,79 @@
 """Drift kernels: golden behaviour on a two-segment stream; HST = online HST."""
 
 import numpy as np
+import pytest
 
 from ordo.operators import drift as D
 from ordo.operators.anomaly import hst_leaves, hst_score_window, hst_trees
 
 
-def test_page_hinkley_detects_mean_shift():
-    rng = np.random.default_rng(12345)
-    stream = np.concatenate([rng.integers(0, 2, 1000), rng.integers(4, 8, 1000)])
-    det = D.PageHinkley()
-    hits = [i for i, x in enumerate(stream) if det.step(float(x))[0]]
-    assert hits and 1000 <= hits[0] < 1100
+def _mean_shift():
+    np.random.seed(12345)
+    return np.concatenate((np.random.randint(2, size=1000), np.random.randint(8, size=1000))).astype(float)
 
 
-def test_ddm_detects_error_rate_increase():
-    rng = np.random.default_rng(7)
-    stream = np.concatenate([rng.random(1000) < 0.1, rng.random(1000) < 0.6]).astype(float)
-    det = D.DDM()
-    hits = [i for i, x in enumerate(stream) if det.step(float(x))[0]]
-    assert hits and hits[0] >= 1000
+def _error_rates():
+    np.random.seed(12345)
+    return np.concatenate([np.random.binomial(1, 0.2, 1000), np.random.binomial(1, 0.8, 1000)]).astype(float)
+
+
+def _abrupt():
+    np.random.seed(12345)
+    return np.concatenate([np.random.normal(m, 0.1, 500) > 0 for m in (0.0, 0.25, 0.0, 0.25)]).astype(float)
+
+
+# fixed values: published drift positions on these three streams
+GOLDEN = [
+    ("adwin", {}, _mean_shift, [1055, 1087, 1215]),
+    ("ddm", {}, _error_rates, [1049]),
+    ("eddm", {}, _error_rates, [681, 848, 983, 1042, 1089]),
+    ("hddm_a", {}, _error_rates, [1047]),
+    ("hddm_a", {"two_sided_test": True}, _abrupt, [531, 1015, 1545]),
+    ("hddm_w", {}, _error_rates, [1018]),
+    ("hddm_w", {"two_sided_test": True}, _abrupt, [507, 1508]),
+    ("kswin", {"alpha": 0.0001, "window_size": 200, "stat_size": 100}, _mean_shift, [1043, 1143]),
+    ("page_hinkley", {}, _mean_shift, [1020, 1991]),
+]
+
+
+@pytest.mark.parametrize("name, params, stream, expected", GOLDEN)
+def test_drift_positions(name, params, stream, expected):
+    assert np.flatnonzero(D.DETECTORS[name](**params).scan(stream())[0]).tolist() == expected
+
+
+@pytest.mark.parametrize("name", D.DETECTORS)
+def test_scan_does_not_depend_on_batches(name):
+    xs = _mean_shift() if name in ("adwin", "kswin", "page_hinkley") else _abrupt()
+    whole, det = D.DETECTORS[name]().scan(xs), D.DETECTORS[name]()
+    parts = [np.concatenate(p) for p in zip(*[det.scan(xs[i : i + 7]) for i in range(0, len(xs), 7)], strict=True)]
+    assert np.array_equal(whole[0], parts[0]) and np.array_equal(whole[1], parts[1])
+    assert np.allclose(whole[2], parts[2], equal_nan=True)
+
+
+def test_detect_drift_by_key_with_nulls_and_stream(spark, tmp_path):
+    from ordo.streaming.drift import detect_drift_stream
+
+    xs = _mean_shift()
+    rows = [(k, i, None if k == "b" and i % 10 == 0 else float(x)) for k in ("a", "b", None) for i, x in enumerate(xs)]
+    df = spark.createDataFrame(rows, "k string, i long, x double")
+    got = D.detect_drift(df, "x", "k", "i", detector="page_hinkley").toPandas()
+    assert len(got) == len(rows)
+    for key in ("a", None):
+        mine = got[got.k.isna() if key is None else got.k == key].sort_values("i")
+        assert mine[mine.drift].i.tolist() == [1020, 1991]
+    b = got[got.k == "b"].sort_values("i")
+    expected = D.PageHinkley().scan(np.array([np.nan if i % 10 == 0 else x for i, x in enumerate(xs)]))
+    assert b.drift.tolist() == expected[0].tolist()
+    assert b.estimate.isna().tolist() == [i % 10 == 0 for i in range(len(xs))]
+
+    for part in range(4):  # four files, so state is carried over triggers
+        df.filter(f"k = 'a' and i >= {part * 500} and i < {part * 500 + 500}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    sdf = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    run = (detect_drift_stream(sdf, "x", "k", "i", detector="page_hinkley").writeStream.format("parquet")
+           .option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start())
+    run.awaitTermination()
+    flags = spark.read.parquet(str(tmp_path / "out")).toPandas().sort_values("i")
+    assert flags[flags.drift].i.tolist() == [1020, 1991]
 
 
 def test_hst_window_scores_equal_online_algorithm():
