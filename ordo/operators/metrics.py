@@ -133,11 +133,8 @@ def binary_metrics(df: DataFrame, y_true: str, y_pred: str, pos_val="1", weight:
     tn = F.col("diag") - tp
     p = _div(tp, tp + fp)
     r = _div(tp, tp + fn)
-    nn = tp + tn + fp + fn
-    nn = F.when(nn == 0, F.lit(1.0)).otherwise(nn)
-    s = (tp + fn) / nn
-    pp = (tp + fp) / nn
-    mcc = _div(tp / nn - s * pp, F.sqrt(pp * s * (1 - s) * (1 - pp)))
+    margins = (tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)
+    mcc = _div(tp * tn - fp * fn, F.sqrt(margins))
     return agg.select(*by, p.alias("precision"), r.alias("recall"), _fbeta(p, r, beta).alias("fbeta"),
                       _div(tp, tp + fp + fn).alias("jaccard"), mcc.alias("mcc"))
 
@@ -159,20 +156,17 @@ def clustering_metrics(df: DataFrame, y_true: str, y_pred: str, by=None, beta: f
                                          F.count(F.lit(1)).alias("kk")), by, "inner")
     cell_agg = cells.groupBy(*by).agg(
         F.sum(F.col("nij") * F.col("nij")).alias("s2"),
-        F.sum(F.col("nij") * F.col("b")).alias("fp_raw"),
-        F.sum(F.col("nij") * F.col("a")).alias("fn_raw"),
         F.sum(F.col("nij") * (F.log(F.col("nij")) - F.log(F.col("a") * F.col("b")))).alias("mi_raw"),
         F.sum(F.col("nij") * F.log(F.col("nij"))).alias("nlnn"),
     )
     t = cell_agg.join(tot, by, "inner")
     N = F.col("N")
-    s2 = F.col("s2")
-    tp = s2 - N
-    fp = F.col("fp_raw") - s2
-    fn = F.col("fn_raw") - s2
-    tn = N * N - (fp + fn) - s2
-    rand = _div(tp + tn, N * (N - 1), 1.0)
-    ari = _div(2.0 * (tp * tn - fn * fp), (tp + fn) * (fn + tn) + (tp + fp) * (fp + tn), 1.0)
+    # pairs of rows: all of them, those in one true class, in one cluster, in both
+    pairs = N * (N - 1) / 2
+    in_class, in_cluster, in_both = ((F.col(c) - N) / 2 for c in ("sa2", "sb2", "s2"))
+    rand = _div(pairs - in_class - in_cluster + 2 * in_both, pairs, 1.0)
+    chance = in_class * in_cluster
+    ari = _div(pairs * in_both - chance, pairs * (in_class + in_cluster) / 2 - chance, 1.0)
     mi = F.col("mi_raw") / N + F.log(N)
     h_true = F.log(N) - F.col("alna") / N
     h_pred = F.log(N) - F.col("blnb") / N
@@ -183,7 +177,7 @@ def clustering_metrics(df: DataFrame, y_true: str, y_pred: str, by=None, beta: f
     vb = _div((1 + beta) * hom * com, beta * hom + com)
     one_each = ((F.col("kc") == 1) & (F.col("kk") == 1))
     nmi = F.when(one_each, F.lit(1.0)).otherwise(mi / F.greatest((h_true + h_pred) / 2, F.lit(2.220446049250313e-16)))
-    fm = F.sqrt(_div(tp, F.col("sa2") - N)) * F.sqrt(_div(tp, F.col("sb2") - N))
+    fm = F.sqrt(_div(in_both, in_class)) * F.sqrt(_div(in_both, in_cluster))
     out = t.select(*by, rand.alias("rand"), ari.alias("adjusted_rand"), mi.alias("mutual_info"),
                    nmi.alias("normalized_mutual_info"), hom.alias("homogeneity"), com.alias("completeness"),
                    vb.alias("v_measure"), fm.alias("fowlkes_mallows"))
@@ -239,27 +233,36 @@ def cross_entropy(df: DataFrame, y_true: str, proba_map: str, by=None) -> DataFr
 
 
 def roc_auc_binned(df: DataFrame, y_true: str, score: str, n_thresholds: int = 10, by=None) -> DataFrame:
-    """ROC AUC over ``n_thresholds`` evenly spaced thresholds (ends nudged by
-    1e-7), positive when score > threshold, trapezoid over (fpr, tpr).
-    One aggregate pass computes all thresholds' counts."""
-    by = _as_list(by)
-    ths = [i / (n_thresholds - 1) for i in range(n_thresholds)]
-    ths[0] -= 1e-7
-    ths[-1] += 1e-7
-    y = F.col(y_true).cast("boolean")
-    s = F.col(score).cast("double")
-    aggs = []
-    for i, t in enumerate(ths):
-        hit = s > F.lit(t)
-        aggs += [F.count(F.when(y & hit, 1)).alias(f"tp{i}"), F.count(F.when(~y & hit, 1)).alias(f"fp{i}"),
-                 F.count(F.when(y & ~hit, 1)).alias(f"fn{i}"), F.count(F.when(~y & ~hit, 1)).alias(f"tn{i}")]
-    g = (df.groupBy(*by) if by else df.groupBy()).agg(*aggs)
-    tpr = [_div(F.col(f"tp{i}"), F.col(f"tp{i}") + F.col(f"fn{i}")) for i in range(n_thresholds)]
-    fpr = [_div(F.col(f"fp{i}"), F.col(f"fp{i}") + F.col(f"tn{i}")) for i in range(n_thresholds)]
-    area = F.lit(0.0)
-    for i in range(1, n_thresholds):
-        area = area + (fpr[i] - fpr[i - 1]) * (tpr[i] + tpr[i - 1]) / 2
-    return g.select(*by, (-area).alias("roc_auc"))
+    """ROC AUC by trapezoids between ``n_thresholds`` even thresholds over [0, 1].
+
+    The end thresholds lie 1e-7 outside, so that 0 and 1 fall inside.  Each
+    row's bin is the number of thresholds below its score; one aggregate counts
+    positives and negatives per bin, and the area adds up each bin's negatives
+    times the positives above it, half of its own included.  Rows without a
+    score or label are passed over; 0 without positives or negatives.
+    """
+    by, keyless = _group_keys(by)
+    if keyless:
+        df = df.withColumn("_g", F.lit(0))
+    steps = n_thresholds - 1
+    s, y = F.col(score).cast("double"), F.col(y_true).cast("boolean")
+    # thresholds strictly inside (0, 1) below the score; the division decides at the borders
+    inner = F.least(F.greatest(F.ceil(s * steps) - 1, F.lit(0)), F.lit(steps - 1))
+    inner = (inner - ((inner > 0) & ~(s > inner / steps)).cast("int")
+             + ((inner < steps - 1) & (s > (inner + 1) / steps)).cast("int"))
+    place = F.when(F.isnan(s), n_thresholds).otherwise((s > -1e-7).cast("int") + inner + (s > 1 + 1e-7).cast("int"))
+    bins = (df.filter(s.isNotNull() & y.isNotNull()).groupBy(*by, place.cast("int").alias("_bin"))
+            .agg(F.count(F.when(y, 1)).alias("_pos"), F.count(F.when(~y, 1)).alias("_neg")))
+    # at most n_thresholds + 1 rows a key from here on
+    above = F.coalesce(F.sum("_pos").over(Window.partitionBy(*by).orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.col("_bin").between(1, steps)
+    out = bins.withColumn("_above", above).groupBy(*by).agg(
+        F.sum(F.when(inside, F.col("_neg") * (F.col("_above") + F.col("_pos") / 2)).otherwise(0.0)).alias("_area"),
+        F.sum("_pos").alias("_p"), F.sum("_neg").alias("_n"))
+    area = _div(F.col("_area"), F.col("_p").cast("double") * F.col("_n"))
+    if keyless:  # one row also for an empty table
+        return out.agg(F.coalesce(F.max(area), F.lit(0.0)).alias("roc_auc"))
+    return out.select(*by, area.alias("roc_auc"))
 
 
 def score_curve_points(df: DataFrame, y_true: str, score: str, by=None, checkpoint: bool = False) -> DataFrame:
