@@ -7,11 +7,10 @@ or a short bounded frame:
 * ``running_n_unique`` – exact distinct count = running sum of first-seen flags.
 * ``running_entropy``  – H = ln n − S/n with S the running sum of
   c·ln c − (c−1)·ln(c−1), c the value's count at that row.
-* ``running_mode``     – max over (count so far, earliest first-seen) pairs;
-  only the first ``k`` distinct values of a key are counted.
+* ``running_mode``     – max over (count so far, earliest first-seen) pairs.
 * ``ew_mean`` / ``ew_var`` – the exponential recurrence unrolled into
-  row-number blocks of K rows, K chosen so older weights fall below double
-  precision; each row needs its block and the previous block only.
+  row-number blocks of K rows; a row needs its block and the decayed totals of
+  earlier blocks, sent ahead as far as doubles can tell their weight from zero.
 * ``shift``, ``link``, ``autocorr``, ``mad`` – lags and nested windows.
 """
 
@@ -158,39 +157,62 @@ def autocorr(df: DataFrame, on: str, by, order, lag: int = 1, name: str | None =
 
 
 def _ew_block_size(alpha: float) -> int:
+    """Rows of a block: weights fall to about 2^-60 within it."""
     r = 1.0 - alpha
     if r <= 0.0:
         return 1
-    # weights r**K fall below 2**-60 of the newest term: beyond double precision
     return max(2, int(math.ceil(60 * math.log(2) / -math.log(r))) + 1)
 
 
-def _ew_columns(df: DataFrame, cols: dict[str, Column], by, order, alpha: float) -> DataFrame:
-    """Append the exponentially weighted mean of each expression in ``cols``."""
+def _ew_reach(alpha: float, block: int) -> int:
+    """Blocks after which a weight times any double is zero in doubles (2^1024 * 2^-2100)."""
+    r = 1.0 - alpha
+    return 1 if r <= 0.0 else int(math.ceil(2100 * math.log(2) / (-math.log(r) * block))) + 1
+
+
+def _ew_columns(df: DataFrame, cols: dict[str, Column], by, order, alpha: float, restart_at_zero: bool = True) -> DataFrame:
+    """Append the exponentially weighted mean of each expression in ``cols``.
+
+    ``restart_at_zero``: leading zeros do not start the mean, the first other
+    value does with full weight.
+    """
     by, order = _as_list(by), _as_list(order)
     r = 1.0 - alpha
     K = _ew_block_size(alpha)
     d = row_number(df, by, order, "_ordo_rn")
     rn = F.col("_ordo_rn")
+    starts = {f"_ordo_f{i}": F.lit(1) for i in range(len(cols))}
+    if restart_at_zero:
+        first = d.groupBy(*by).agg(*[F.min(F.when(e != 0, rn)).alias(f) for f, e in zip(starts, cols.values(), strict=True)])
+        d = d.join(first, by, "left") if by else d.crossJoin(F.broadcast(first))  # keyless: one row
+        starts = {f: F.coalesce(F.col(f), F.lit(1)) for f in starts}
     d = d.withColumn("_ordo_b", F.floor((rn - 1) / K).cast("long"))
     d = d.withColumn("_ordo_off", rn - 1 - F.col("_ordo_b") * K)  # 0..K-1 inside the block
-    w_first = F.when(rn == 1, F.lit(1.0)).otherwise(F.lit(alpha))
-    yk = {f"_ordo_y{i}": w_first * expr * F.pow(F.lit(r), -F.col("_ordo_off")) for i, expr in enumerate(cols.values())}
+    # weights as of the block's last row: at most 1, so that no value overflows
+    last = F.lit(K - 1)
+    yk = {
+        f"_ordo_y{i}": F.when(rn == start, F.lit(1.0)).otherwise(F.lit(alpha)) * expr * F.pow(F.lit(r), last - F.col("_ordo_off"))
+        for i, (expr, start) in enumerate(zip(cols.values(), starts.values(), strict=True))
+    }
     d = d.withColumns(yk)
     keys = [*by, "_ordo_b"]
-    # totals of each block, attached to the *next* block
-    tot = d.groupBy(*keys).agg(*[F.sum(c).alias(f"{c}_tot") for c in yk])
-    tot = tot.withColumn("_ordo_b", F.col("_ordo_b") + 1)
+    # a block's total, decayed, for each later block that can tell it from zero
+    tot = d.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in yk])
+    ahead = F.explode(F.sequence(F.lit(1), F.lit(_ew_reach(alpha, K)))).alias("_ordo_j")
+    tot = tot.select(*keys, *yk, ahead)
+    decay = F.pow(F.lit(r), (F.col("_ordo_j") - 1) * F.lit(K))
+    tot = tot.groupBy(*by, (F.col("_ordo_b") + F.col("_ordo_j")).alias("_ordo_b")).agg(
+        *[F.sum(F.col(c) * decay).alias(f"{c}_tot") for c in yk])
     d = d.join(tot, keys, "left")
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(_UNB, 0)
     outs = {}
     for i, out in enumerate(cols):
         y = f"_ordo_y{i}"
-        cur = F.sum(y).over(w) * F.pow(F.lit(r), F.col("_ordo_off"))
-        prev = F.coalesce(F.col(f"{y}_tot"), F.lit(0.0)) * F.pow(F.lit(r), F.col("_ordo_off") + K)
+        cur = F.sum(y).over(w) * F.pow(F.lit(r), F.col("_ordo_off") - last)
+        prev = F.coalesce(F.col(f"{y}_tot"), F.lit(0.0)) * F.pow(F.lit(r), F.col("_ordo_off") + 1)
         outs[out] = cur + prev
     d = d.withColumns(outs)
-    drop = ["_ordo_rn", "_ordo_b", "_ordo_off", *yk, *[f"{c}_tot" for c in yk]]
+    drop = ["_ordo_rn", "_ordo_b", "_ordo_off", *yk, *[f"{c}_tot" for c in yk], *[f"_ordo_f{i}" for i in range(len(cols))]]
     return d.drop(*drop)
 
 

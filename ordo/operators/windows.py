@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import CoMoments, Moments, Stat
 from ..plans.blocks import BLOCK, HOT, assign_blocks, order_number
-from ..plans.session import CONF_BROADCAST_ROWS, CONF_MAX_HOT_KEYS, conf_int, default_blocks
+from ..plans.session import CONF_BROADCAST_ROWS, conf_int
 
 Outputs = Mapping[str, Stat]
 _UNB = Window.unboundedPreceding
@@ -64,10 +64,9 @@ def running(
     end = -1 if lagged else 0
     mergeable = all(s.mergeable for s in outputs.values())
     if split_hot and mergeable:
-        n_blocks = blocks if blocks is not None else default_blocks(df.sparkSession)
-        tagged, split = assign_blocks(df, by, order[0], n_blocks)
-        if split:
-            return _blocked_running(tagged, outputs, by, order, end, n_blocks)
+        tagged, pairs = assign_blocks(df, by, order[0], blocks)
+        if pairs:
+            return _blocked_running(tagged, outputs, by, order, end, pairs)
     if not by and not mergeable:
         raise ValueError(
             "key-less running statistic that is not mergeable would run in one task; "
@@ -171,7 +170,7 @@ def _merge_mean(n_a, m_a, n_b, m_b):
 
 
 def _blocked_running(d: DataFrame, outputs: Outputs, by: list[str], order: list[str], end: int,
-                     blocks_used: int) -> DataFrame:
+                     max_rows: int) -> DataFrame:
     spark = d.sparkSession
     keys = by + [BLOCK]
     singles, pairs = _moment_inputs(outputs)
@@ -237,13 +236,9 @@ def _blocked_running(d: DataFrame, outputs: Outputs, by: list[str], order: list[
         })
     prefix = part.select(*keys, *[v.alias(k) for k, v in pre.items()])
 
-    # the prefix table has at most (hot keys x blocks) rows; broadcast it only
-    # when that bound is under the configured limit, else shuffle-join.
-    # rows <= (hot keys) x (blocks); hot keys <= maxHotKeys by construction, so
-    # the bound is known without running a job
+    # the prefix table has at most (hot keys x blocks) rows, counted when the
+    # blocks were planned; broadcast it only below the configured limit
     bound = conf_int(spark, CONF_BROADCAST_ROWS, 2_000_000)
-    n_keys = conf_int(spark, CONF_MAX_HOT_KEYS, 1000) if by else 1
-    max_rows = n_keys * (blocks_used or 1)
     joined = d.join(F.broadcast(prefix) if max_rows <= bound else prefix, keys, "left")
 
     # 3. in-block running window, merged with the prefix

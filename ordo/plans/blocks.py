@@ -5,11 +5,12 @@ places a whole key in one task, so a key holding a third of the rows (or a
 window with no key at all) becomes a single straggler.  These helpers split
 such *hot* keys into order-range blocks:
 
-1. ``hot_keys`` finds keys above a row threshold.  The threshold is at least
-   ``total / maxHotKeys`` so the hot table has a proven size bound and can be
-   broadcast.
+1. ``hot_keys`` finds keys above a fixed number of rows, whatever the table's
+   size.  The hot table is broadcast below ``maxHotKeys`` keys and joined by a
+   shuffle above.
 2. ``order_bounds`` takes approximate quantiles of the primary order column
-   (a distributed sketch; only ``blocks - 1`` numbers reach the driver).
+   (a distributed sketch; only ``blocks - 1`` numbers reach the driver).  There
+   are as many blocks as the largest key has multiples of that number of rows.
 3. ``assign_blocks`` tags hot rows with their range block, cold rows with 0.
 
 Per (key, block) partial states are then small, get a prefix over blocks and
@@ -28,7 +29,8 @@ from .session import CONF_HOT_ROWS, CONF_MAX_HOT_KEYS, conf_int, default_blocks
 
 BLOCK = "_ordo_blk"
 HOT = "_ordo_hot"
-
+#: Rows of one key that one task takes in order, unless ``ordo.hotKeyRows`` says otherwise.
+ROWS_PER_TASK = 2_000_000
 
 
 def _epoch_ntz() -> Column:
@@ -45,6 +47,10 @@ def order_number(df: DataFrame, name: str) -> Column:
         return F.unix_micros(c)
     if isinstance(dtype, T.DateType):
         return F.unix_date(c).cast("long")
+    if isinstance(dtype, (T.StringType, T.BinaryType)):
+        # the first six bytes as a number: never falls where the string rises
+        data = c if isinstance(dtype, T.BinaryType) else F.encode(c, "UTF-8")
+        return F.conv(F.rpad(F.hex(F.substring(data, 1, 6)), 12, "0"), 16, 10).cast("double")
     return c.cast("double")
 
 
@@ -59,52 +65,62 @@ def order_bounds(df: DataFrame, order_col: str, blocks: int, rel_err: float = 0.
 
 
 def bucket_of(value: Column, bounds: Sequence[float]) -> Column:
-    """Index of the range ``value`` falls in: number of cut points below it."""
+    """Index of the range ``value`` falls in: number of cut points below it.
+
+    A binary search over a constant array, in expressions; null falls in 0.
+    """
     if not bounds:
         return F.lit(0)
-    arr = F.array(*[F.lit(float(b)) for b in bounds])
-    # count cut points strictly below the value; runs inside codegen
-    return F.size(F.filter(arr, lambda b: b < value.cast("double"))).cast("int")
-
-
-def hot_keys(df: DataFrame, by: Sequence[str]) -> DataFrame | None:
-    """Keys whose row count exceeds the hot threshold (size-bounded table).
-
-    One small job computes the total and the largest key count from the
-    per-key counts (a partial+final aggregate); when no key is above the
-    threshold it returns ``None`` and callers keep the plain plan.
+    cuts = F.split(F.lit(",".join(repr(float(b)) for b in bounds)), ",").cast("array<double>")
+    steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
+    v = value.cast("double")
+    return F.aggregate(
+        F.array(*[F.lit(k) for k in steps]),
+        F.lit(0),
+        lambda at, k: F.when((at + k <= len(bounds)) & (F.get(cuts, at + k - 1) < v), at + k).otherwise(at),
+    )
+
+
+def hot_keys(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, int, int] | None:
+    """Keys with more rows than one task should take, how many they are, and the rows of the largest.
+
+    One small job counts the hot keys from the per-key counts (a partial and
+    final aggregate); without any it returns ``None`` and callers keep the
+    plain plan.
     """
     spark = df.sparkSession
-    max_hot = conf_int(spark, CONF_MAX_HOT_KEYS, 1000)
-    min_rows = conf_int(spark, CONF_HOT_ROWS, 2_000_000)
-    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    total, largest = counts.agg(F.sum("_n"), F.max("_n")).first()
-    total, largest = total or 0, largest or 0
-    threshold = max(min_rows, -(-total // max_hot))
-    if largest <= threshold:
+    bound = conf_int(spark, CONF_HOT_ROWS, ROWS_PER_TASK)
+    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > bound)
+    keys, largest = counts.agg(F.count(F.lit(1)), F.max("_n")).first()
+    if not keys:
         return None
-    # at most total/threshold <= max_hot keys: safe to broadcast
-    return counts.filter(F.col("_n") > threshold).select(*by)
+    hot = counts.select(*by)
+    return (F.broadcast(hot) if keys <= conf_int(spark, CONF_MAX_HOT_KEYS, 1000) else hot), keys, largest
 
 
 def assign_blocks(
     df: DataFrame, by: Sequence[str], order_col: str, blocks: int | None = None
-) -> tuple[DataFrame, bool]:
+) -> tuple[DataFrame, int]:
     """Add ``BLOCK`` (0 for cold keys) and ``HOT`` columns.
 
-    Returns the tagged frame and whether any key was split.  With no key the
-    whole frame is one hot group and is always split.
+    Returns the tagged frame and a bound on its (hot key, block) pairs, 0 if
+    nothing was split.  With no key the whole frame is one hot group and is
+    always split.
     """
     spark = df.sparkSession
     n_blocks = blocks if blocks is not None else default_blocks(spark)
     if by:
-        hot = hot_keys(df, by)
-        if hot is None or n_blocks <= 1:
-            return df.withColumn(BLOCK, F.lit(0)).withColumn(HOT, F.lit(False)), False
-        tagged = df.join(F.broadcast(hot.withColumn(HOT, F.lit(True))), list(by), "left")
+        found = hot_keys(df, by)
+        if found is None or n_blocks <= 1:
+            return df.withColumn(BLOCK, F.lit(0)).withColumn(HOT, F.lit(False)), 0
+        hot, keys, largest = found
+        tagged = df.join(hot.withColumn(HOT, F.lit(True)), list(by), "left")
         tagged = tagged.withColumn(HOT, F.coalesce(F.col(HOT), F.lit(False)))
     else:
         tagged = df.withColumn(HOT, F.lit(True))
-    bounds = order_bounds(df, order_col, n_blocks)
+        keys, largest = 1, df.count() if blocks is None else 0
+    if blocks is None:
+        n_blocks = max(n_blocks, -(-largest // conf_int(spark, CONF_HOT_ROWS, ROWS_PER_TASK)))
+    bounds = order_bounds(df, order_col, n_blocks, min(0.001, 1 / (4 * n_blocks)))
     blk = F.when(F.col(HOT), bucket_of(order_number(df, order_col), bounds)).otherwise(F.lit(0))
-    return tagged.withColumn(BLOCK, blk), True
+    return tagged.withColumn(BLOCK, blk), keys * n_blocks

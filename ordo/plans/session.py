@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 # Tunables read from the session (``spark.conf``) so a job can be resized
 # without code changes.  Defaults target a local test box; on a cluster set
 # them with ``--conf``.
-CONF_BLOCKS = "ordo.blocks"  # order-range blocks a hot key is split into
+CONF_BLOCKS = "ordo.blocks"  # least order-range blocks a hot key is split into
 CONF_HOT_ROWS = "ordo.hotKeyRows"  # rows above which one key counts as hot
-CONF_MAX_HOT_KEYS = "ordo.maxHotKeys"  # bound on the hot-key table (broadcast)
+CONF_MAX_HOT_KEYS = "ordo.maxHotKeys"  # hot keys up to which their table is broadcast
 CONF_BROADCAST_ROWS = "ordo.broadcastRows"  # row bound for a checked broadcast
 
 
@@ -62,7 +62,7 @@ def conf_int(spark: SparkSession, key: str, default: int) -> int:
 
 def default_blocks(spark: SparkSession) -> int:
     par = spark.sparkContext.defaultParallelism
-    return conf_int(spark, CONF_BLOCKS, max(8, min(1024, 4 * par)))
+    return conf_int(spark, CONF_BLOCKS, max(8, 4 * par))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

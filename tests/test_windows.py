@@ -81,3 +81,37 @@ def test_time_rolling_exclusive_lower_bound(spark):
     out = windows.time_rolling(df, {"s": Stat.of("sum", "y")}, period_us=1_000_000, time_col="ts")
     got = [r.s for r in out.orderBy("us").collect()]
     assert got == [1.0, 2.0, 4.0]
+
+
+def test_key_less_running_over_a_string_order(spark):
+    rows = [(c + d, 1.0) for c in "zaéb" for d in ("", "x", "long tail", "long tale")]
+    df = spark.createDataFrame(rows, "t string, y double")
+    out = windows.running(df, {"n": Stat.of("count", "y")}, order="t", blocks=5).collect()
+    places = {t: i + 1 for i, (t, _) in enumerate(sorted(rows, key=lambda r: r[0].encode()))}
+    assert {r.t: r.n for r in out} == places
+
+
+@pytest.mark.parametrize("alpha", [0.5, 0.05, 0.999])
+def test_ew_mean_keeps_all_history_and_restarts_at_zero(spark, alpha):
+    from ordo.operators import sequence
+
+    xs = [0.0, 0.0, 5.0, 1e300, *[1e-9] * 1500, 3.0]
+    df = spark.createDataFrame([(i, "k", x) for i, x in enumerate(xs)], "i long, k string, x double")
+    got = {r.i: r.m for r in sequence.ew_mean(df, "x", "k", "i", alpha=alpha, name="m").collect()}
+    mean = 0.0
+    for i, x in enumerate(xs):
+        mean = alpha * x + (1 - alpha) * mean if mean else x
+        assert math.isclose(got[i], mean, rel_tol=1e-6, abs_tol=1e-300), i
+
+
+def test_binned_auc_equals_the_definition(spark):
+    from ordo.operators import metrics
+
+    rows = [(i % 3 == 0, (i * 7 % 21) / 20) for i in range(200)] + [(True, None), (None, 0.5), (True, 1.0), (False, 0.0)]
+    df = spark.createDataFrame(rows, "y boolean, s double")
+    known = [(y, s) for y, s in rows if y is not None and s is not None]
+    cuts = [-1e-7, *[i / 9 for i in range(1, 9)], 1 + 1e-7]
+    pos, neg = sum(y for y, _ in known), sum(not y for y, _ in known)
+    points = [(sum(not y and s > c for y, s in known) / neg, sum(y and s > c for y, s in known) / pos) for c in cuts]
+    area = sum((a[0] - b[0]) * (a[1] + b[1]) / 2 for a, b in zip(points, points[1:], strict=False))
+    assert math.isclose(metrics.roc_auc_binned(df, "y", "s").first().roc_auc, area, abs_tol=1e-12)
