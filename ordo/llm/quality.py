@@ -154,3 +154,39 @@ def judge_documents(
         base_failed.alias("base_failed"),
         (~base_failed & ~host_failed).alias("kept"),
     )
+
+
+def oracle_sql(host_limit: float = 0.8) -> str:
+    """The rows of :func:`judge_documents` with its defaults, in DuckDB SQL over ``documents``."""
+    names = list(RULES)
+    fails = ", ".join(f"CAST(count(*) FILTER (WHERE {rule}) AS DOUBLE) AS {name}" for name, rule in RULES.items())
+    moments = ", ".join(f"avg({k} / n) AS m_{k}, var_pop({k} / n) AS v_{k}" for k in names)
+    strengths = ", ".join(f"least(greatest(m_{k} * (1 - m_{k}) / greatest(v_{k}, 1e-12) - 1, 1.0), 1e6) AS s_{k}" for k in names)
+    worst = ", ".join(f"({k} + m_{k} * s_{k}) / (n + s_{k})" for k in names)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source AS host, coalesce(text, '') AS t FROM documents),
+s AS (SELECT rid, doc_id, host, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w,
+        length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+        list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines
+      FROM d),
+p AS (SELECT rid, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM s),
+g AS (SELECT rid, i, x || ' ' || lead(x, 1) OVER a || ' ' || lead(x, 2) OVER a AS gram FROM p
+      WINDOW a AS (PARTITION BY rid ORDER BY i)),
+f AS (SELECT rid, i, gram IS NOT NULL AND count(*) OVER (PARTITION BY rid, gram) > 1 AS twice FROM g),
+c AS (SELECT rid, twice OR coalesce(lag(twice, 1) OVER a, false) OR coalesce(lag(twice, 2) OVER a, false) AS covered FROM f
+      WINDOW a AS (PARTITION BY rid ORDER BY i)),
+r AS (SELECT rid, count(*) FILTER (WHERE covered) AS n_repeat_words FROM c GROUP BY rid),
+m AS (SELECT doc_id, host, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+        CAST(n_symbols AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+        CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, CAST(len(lines) AS BIGINT) AS n_lines
+      FROM s LEFT JOIN r USING (rid)),
+h AS (SELECT host, count(*) AS n, {fails} FROM m WHERE host IS NOT NULL GROUP BY host),
+mo AS (SELECT {moments} FROM h),
+st AS (SELECT *, {strengths} FROM mo),
+bad AS (SELECT host, true AS host_failed FROM h, st WHERE greatest({worst}, 0.0) > {host_limit}),
+j AS (SELECT m.*, ({RULES['too_short']}) OR ({RULES['repeats_itself']}) AS base_failed, coalesce(host_failed, false) AS host_failed
+      FROM m LEFT JOIN bad USING (host))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT host_failed AS kept
+FROM j
+"""

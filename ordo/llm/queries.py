@@ -23,4 +23,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": lambda spark, d: langid.identify_documents(table(spark, d, "documents")),
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_quality_rules": quality.oracle_sql()}

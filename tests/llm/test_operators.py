@@ -145,6 +145,19 @@ def test_bad_hosts_lose_their_documents(spark):
     assert all(got[i] for i in range(50)) and not got[999] and got[998]
 
 
+def test_quality_sql_gives_the_same_rows(spark):
+    import duckdb
+
+    rows = [(i, "\n".join(RNG.choice([prose(9), "again and again", "", " \t", "# $"]) for _ in range(RNG.randint(1, 25))), f"h{i % 7}") for i in range(80)]
+    rows += [(100 + i, "too short", "bad") for i in range(60)] + [(999, prose(80), "bad"), (998, prose(80), None)] + [(i, t, None) for i, t in ODD]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    db = duckdb.connect()
+    db.register("documents", docs.toPandas().astype({"doc_id": "Int64"}))
+    want = collections.Counter(db.execute(quality.oracle_sql()).fetchall())
+    assert collections.Counter(tuple(r) for r in quality.judge_documents(docs).collect()) == want
+    assert any(not r[-1] and not r[-2] for r in want)
+
+
 def test_licenses(shape):
     texts = ["Released under the MIT License.", "the Apache\nLicense, Version 2.0 and CC-BY, cc by", "MITLicense mit_license gnu general public license", "SPDX-License-Identifier: BSD-3-Clause"]
     rows = [(i, prose(4) + " " + t) for i, t in enumerate(texts)] + ODD
