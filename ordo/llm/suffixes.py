@@ -43,10 +43,11 @@ from .shingles import BYTE_CODES, mix, powers
 GRAM = 100
 SLICE = 1 << 20
 STEP = 25  # a window holds its anchor and one of these stretches of the rest, in steps
-RANGE_BITS = 10
+LEAST_RANGE_BITS = 10
 CHUNK = 250  # segments whose transform is built together
 BROADCAST_KEYS = 500_000
 RECORD = np.dtype([("gram", "<u8"), ("span", "<u8"), ("key", "<i8"), ("run", "<u4")])
+RUN, SEVERAL, DECIDED = np.uint32((1 << 30) - 1), np.uint32(1 << 30), np.uint32(1 << 31)  # parts of a record's run
 SINGLE, WHOLE, MODEL = 0, 1, 2  # a run to compare, one that occurs again as a whole, and one of the latter to compare with
 
 
@@ -100,12 +101,24 @@ def text_bytes(value: str | None) -> np.ndarray:
     return np.frombuffer((value or "").encode("utf-8", "surrogatepass"), np.uint8)
 
 
-def anchors(docs: DataFrame, length: int, block: int = 1 << 18) -> DataFrame:
-    """(range, records): the runs of all texts, packed, by range of their anchor's hash."""
+def anchors(docs: DataFrame, length: int, range_bits: int, block: int = 1 << 18) -> DataFrame:
+    """(range, records): the runs of all texts, packed, by range of their anchor's hash.
+
+    Of runs with equal surroundings in a block only the first goes to its
+    anchor's range, marked ``SEVERAL``.  The others occur again as a whole
+    whatever else there is; they are marked ``DECIDED`` and spread evenly.  So
+    a passage that very many texts share sends one record a block.
+    """
 
     def emit(held: list[np.ndarray]) -> pa.RecordBatch:
         rows = np.concatenate(held)
-        slot = (rows["gram"] >> np.uint64(64 - RANGE_BITS)).astype(np.int32)
+        rows = rows[np.lexsort((rows["span"], rows["gram"]))]
+        same = (rows["gram"][1:] == rows["gram"][:-1]) & (rows["span"][1:] == rows["span"][:-1])
+        decided, first = np.insert(same, 0, False), np.append(same, False)
+        first &= ~decided
+        spread = mix(rows["key"].view(np.uint64) + rows["run"].astype(np.uint64))
+        slot = (np.where(decided, spread, rows["gram"]) >> np.uint64(64 - range_bits)).astype(np.int32)
+        rows["run"] |= np.where(decided, DECIDED, np.where(first, SEVERAL, np.uint32(0)))
         order = np.argsort(slot, kind="stable")
         rows, slot = rows[order], slot[order]
         starts = np.flatnonzero(np.insert(slot[1:] != slot[:-1], 0, True))
@@ -134,25 +147,32 @@ def anchors(docs: DataFrame, length: int, block: int = 1 << 18) -> DataFrame:
 def judged(packed: DataFrame, n_tasks: int) -> DataFrame:
     """(key, run, kind) of the runs whose anchor occurs again."""
 
+    def marks(keys: np.ndarray, runs: np.ndarray, kinds: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(keys), 1 << 18):
+            part = slice(lo, lo + (1 << 18))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys[part]), pa.array(runs[part].astype(np.int32)), pa.array(kinds[part].astype(np.int32))], names=["key", "run", "kind"]
+            )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [np.frombuffer(b, RECORD) for batch in batches for b in batch.column(1).to_pylist()]
         if not rows:
             return
         rows = np.concatenate(rows)
-        order = np.lexsort((rows["run"], rows["key"], rows["span"], rows["gram"]))
-        rows = rows[order]
-        new_gram = np.insert(rows["gram"][1:] != rows["gram"][:-1], 0, True)
-        new_span = new_gram | np.insert(rows["span"][1:] != rows["span"][:-1], 0, True)
+        done = rows["run"] & DECIDED > 0
+        yield from marks(rows["key"][done], rows["run"][done] & RUN, np.full(int(done.sum()), WHOLE))
+        rows = rows[~done]
+        several, number = (rows["run"] & SEVERAL > 0).astype(np.int64), rows["run"] & RUN
+        order = np.lexsort((number, rows["key"], rows["span"], rows["gram"]))
+        rows, number, weight = rows[order], number[order], 1 + several[order]
+        new_gram = np.insert(rows["gram"][1:] != rows["gram"][:-1], 0, True)[: len(rows)]
+        new_span = new_gram | np.insert(rows["span"][1:] != rows["span"][:-1], 0, True)[: len(rows)]
         of_gram, of_span = np.cumsum(new_gram) - 1, np.cumsum(new_span) - 1
-        in_gram, in_span = np.bincount(of_gram), np.bincount(of_span)
+        in_gram, in_span = np.bincount(of_gram, weight), np.bincount(of_span, weight)
         spans_of = np.bincount(of_gram[new_span])  # different surroundings of each anchor
         kind = np.where(in_span[of_span] == 1, SINGLE, np.where(new_span & (spans_of[of_gram] > 1), MODEL, WHOLE))
-        keep = np.flatnonzero(in_gram[of_gram] > 1)
-        for lo in range(0, len(keep), 1 << 18):
-            at = keep[lo : lo + (1 << 18)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rows["key"][at]), pa.array(rows["run"][at].astype(np.int32)), pa.array(kind[at].astype(np.int32))], names=["key", "run", "kind"]
-            )
+        keep = in_gram[of_gram] > 1
+        yield from marks(rows["key"][keep], number[keep], kind[keep])
 
     return packed.repartition(n_tasks, "range").mapInArrow(run, "key long, run int, kind int")
 
@@ -350,7 +370,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n_bytes = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_tasks = max(least, n_bytes // 50 * RECORD.itemsize // task_bytes + 1)
-    marks = materialize(judged(anchors(source, length), n_tasks), "runs")
+    range_bits = max(LEAST_RANGE_BITS, (4 * n_tasks).bit_length())
+    marks = materialize(judged(anchors(source, length, range_bits), n_tasks), "runs")
     by_doc = materialize(
         marks.distinct().groupBy("key").agg(F.collect_list(F.struct("run", "kind")).alias("runs")), "marked"
     )
