@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import bpe, decontaminate, html_text, jaccard, langid, licenses, quality, secrets, sharding, suffixes
+from . import bpe, decontaminate, html_text, jaccard, langid, licenses, oracles, quality, secrets, sharding, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": lambda spark, d: suffixes.remove_repeats(table(spark, d, "documents")),
@@ -23,4 +23,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": lambda spark, d: langid.identify_documents(table(spark, d, "documents")),
 }
 
-ORACLES: dict[str, str] = {"op6_quality_rules": quality.oracle_sql()}
+ORACLES: dict[str, str] = dict(oracles.ORACLES)
