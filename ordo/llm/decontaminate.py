@@ -1,12 +1,13 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Benchmark items are cut into word n-grams.  One pass over the documents counts
-in how many of them each n-gram occurs; the rarer half of every item's n-grams
-(and all that are rare outright) become its seeds.  A second pass looks the
-seeds up in every document: each hit joins a passage with an item, hits of an
+Benchmark items are cut into word n-grams, and every one of them is a seed,
+however common: a leak makes its own n-grams common.  One pass looks the seeds
+up in every document: each hit joins a passage with an item; items that have
+too few words in common with the document to reach the limit go; hits of an
 item close to one another share a window, and the item is aligned with that
 window word by word (local alignment, linear gaps).  A passage whose score
-reaches the limit is a leak, whole, edited or partial.
+reaches the limit is a leak, whole, edited or partial.  The verdict on a
+document depends on it and the item alone, not on the other documents.
 
 The benchmark goes to the tasks in blocks of at most ``block_words`` words, so
 what is broadcast has a fixed bound and a larger benchmark takes more passes.
@@ -17,7 +18,7 @@ quotes nor a very long text gathers anywhere.
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,12 +46,12 @@ def grams(words: np.ndarray, width: int) -> np.ndarray:
 
 
 class Items:
-    """A block of benchmark items: word hashes and the n-grams that seed them."""
+    """A block of benchmark items: word hashes, and where each n-gram stands in which item."""
 
     def __init__(self, rows: list[tuple[int, str]], width: int):
-        self.ids, self.words, self.at = [], [], defaultdict(list)
+        self.ids, self.words = [], []
         self.widths: set[int] = set()
-        self.grams: list[np.ndarray] = []
+        found: list[np.ndarray] = []
         for item_id, text in rows:
             words, _ = word_hashes(np.frombuffer(normal(text).encode("utf-8", "surrogatepass"), np.uint8))
             if len(words):
@@ -58,19 +59,42 @@ class Items:
                 self.widths.add(n)
                 self.ids.append(item_id)
                 self.words.append(words)
-                self.grams.append(grams(words, n))
-
-    def all_grams(self) -> np.ndarray:
-        return np.unique(np.concatenate(self.grams)) if self.grams else np.zeros(0, np.uint64)
-
-    def choose(self, counts: dict[int, int], rare: int) -> np.ndarray:
-        """Seeds: of each item the rarer half of its n-grams, and every one that is rare outright."""
-        for i, found in enumerate(self.grams):
-            ranked = sorted(enumerate(found.tolist()), key=lambda g: (counts.get(g[1], 0), g[0]))
-            for rank, (place, gram) in enumerate(ranked):
-                if 2 * rank < max(len(ranked), 8) or counts.get(gram, 0) <= rare:
-                    self.at[gram].append((i, place))
-        return np.array(sorted(self.at), np.uint64)
+                found.append(grams(words, n))
+        none = np.zeros(0, np.uint64)
+        of_gram = np.concatenate([none, *found])
+        order = np.argsort(of_gram, kind="stable")
+        self.seeds, starts = np.unique(of_gram[order], return_index=True)
+        self.starts = np.append(starts, len(order))
+        self.item = np.repeat(np.arange(len(found)), [len(f) for f in found])[order]
+        self.place = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(f)) for f in found)])[order]
+        bags = [np.unique(w, return_counts=True) for w in self.words]
+        self.bag_words = np.concatenate([none, *(b[0] for b in bags)])
+        self.bag_counts = np.concatenate([np.zeros(0, np.int64), *(b[1] for b in bags)])
+        self.bag_starts = np.cumsum([0, *(len(b[0]) for b in bags)])
+        self.lengths = np.array([len(w) for w in self.words], np.int64)
+
+    def postings(self, places: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, place in text, place in item) of every hit, sorted."""
+        at = np.searchsorted(self.seeds, found)
+        n = self.starts[at + 1] - self.starts[at]
+        entry = spread(self.starts[at], n)
+        places, item, of = np.repeat(places, n), self.item[entry], self.place[entry]
+        order = np.lexsort((of, places, item))
+        return item[order], places[order], of[order]
+
+    def in_common(self, some: np.ndarray, text: np.ndarray) -> np.ndarray:
+        """How many words (repeats counted) each of some items has in common with a text."""
+        words, counts = np.unique(text, return_counts=True)
+        n = self.bag_starts[some + 1] - self.bag_starts[some]
+        entry = spread(self.bag_starts[some], n)
+        near = np.minimum(np.searchsorted(words, self.bag_words[entry]), len(words) - 1)
+        both = np.where(words[near] == self.bag_words[entry], np.minimum(counts[near], self.bag_counts[entry]), 0)
+        return np.add.reduceat(both, np.cumsum(n) - n)
+
+
+def spread(starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The ranges of ``n`` numbers from each start, one after the other."""
+    return np.repeat(starts - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
 def hits_in(texts: pa.Array, wanted: np.ndarray, widths: set[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -123,20 +147,18 @@ def passages(places: list[tuple[int, int]], length: int, n_words: int) -> list[t
 
 def leaks(words: np.ndarray, places: np.ndarray, found: np.ndarray, items: Items, limit: float) -> list[tuple[int, float, int, int]]:
     """(item, score, first word, end word) of the items that a text leaks."""
-    by_item: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for place, gram in zip(places.tolist(), found.tolist(), strict=True):
-        for i, of in items.at[gram]:
-            by_item[i].append((place, of))
+    item_of, at, of = items.postings(places, found)
+    some, starts = np.unique(item_of, return_index=True)
+    ends = np.append(starts[1:], len(item_of))
+    # no alignment matches more words than both have in common
+    likely = np.flatnonzero(items.in_common(some, words) / items.lengths[some] >= limit)
     out = []
-    for i, hits in by_item.items():
+    for i, start, end in zip(some[likely].tolist(), starts[likely].tolist(), ends[likely].tolist(), strict=True):
         item = items.words[i]
-        counts = Counter(item.tolist())
         best = (0.0, 0, 0)
-        for a, z in passages(hits, len(item), len(words)):
+        for a, z in passages(list(zip(at[start:end].tolist(), of[start:end].tolist(), strict=True)), len(item), len(words)):
             text = words[a:z]
-            # no alignment matches more words than both have in common
-            common = sum((Counter(text[np.isin(text, item)].tolist()) & counts).values())
-            if common >= limit * len(item):
+            if items.in_common(np.array([i]), text)[0] / len(item) >= limit:
                 best = max(best, (align(item, text) / (MATCH * len(item)), a, z))
         if best[0] >= limit:
             out.append((items.ids[i], *best))
@@ -152,7 +174,6 @@ def annotate(
     item_text_col: str = "text",
     width: int = 3,
     limit: float = 0.4,
-    rare: int = 8,
     block_words: int = 1_000_000,
 ) -> DataFrame:
     """All columns of ``docs`` plus ``leaks``: array of (item_id, score, first_word, end_word).
@@ -174,40 +195,20 @@ def annotate(
     for block in range(n_blocks):
         part = item_rows if n_blocks == 1 else item_rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == block)
         items = Items([(r["i"], r["t"]) for r in part.select("i", "t").collect()], width)  # at most about block_words words
-        wanted = items.all_grams()
-        if not len(wanted):
-            continue
-        counts = gram_counts(docs.select(F.col(text_col).alias("text")), wanted, items.widths)
-        seeds = items.choose(counts, rare)
-        out = _with_leaks(out, at, spark.sparkContext.broadcast((items, seeds)), limit)
+        if len(items.seeds):
+            out = _with_leaks(out, at, spark.sparkContext.broadcast(items), limit)
     return out.toDF(*names, "leaks")
 
 
-def gram_counts(docs: DataFrame, wanted: np.ndarray, widths: set[int]) -> dict[int, int]:
-    """In how many documents each wanted n-gram occurs (as many rows as n-grams, at most)."""
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(len(shared.value), np.int64)
-        for batch in batches:
-            for _, _, _, found in hits_in(batch.column(0), shared.value, widths):
-                n[np.searchsorted(shared.value, np.unique(found))] += 1
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["gram", "n"])
-
-    rows = docs.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    return {int(wanted[r["gram"]]): r["n"] for r in rows.collect()}
-
-
 def _with_leaks(docs: DataFrame, at: int, shared, limit: float) -> DataFrame:
     """Adds the leaks of one block of items to the last column."""
     schema = StructType([StructField(f.name, f.dataType) for f in docs.schema.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, seeds = shared.value
+        items = shared.value
         for batch in batches:
             found = batch.column(batch.num_columns - 1).to_pylist()
-            for row, words, places, hits in hits_in(batch.column(at), seeds, items.widths):
+            for row, words, places, hits in hits_in(batch.column(at), items.seeds, items.widths):
                 found[row] = (found[row] or []) + [
                     {"item_id": i, "score": s, "first_word": a, "end_word": z} for i, s, a, z in leaks(words, places, hits, items, limit)
                 ]

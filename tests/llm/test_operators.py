@@ -64,6 +64,16 @@ def test_leaks_whole_edited_and_none(spark, shape):
     assert decontaminate.leaked_documents(shape(rows), bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("copies", [8, 30])
+def test_half_an_item_leaks_however_often(spark, shape, copies):
+    item, other = prose(40), prose(40)
+    half = " ".join(item.split()[:20])
+    rows = [(k, prose(30) + " " + half + " " + prose(30)) for k in range(copies)] + [(500, prose(80))]
+    bench = spark.createDataFrame([(1, item), (2, other)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.score) for r in decontaminate.leaked_documents(shape(rows), bench).collect()}
+    assert {g[:2] for g in got} == {(k, 1) for k in range(copies)} and all(g[2] >= 0.5 for g in got)
+
+
 def test_main_text():
     page = (
         "<html><head><title>t</title><script>x()</script></head><body><nav><a>Home</a></nav><div class='cookie-notice'>We use "
