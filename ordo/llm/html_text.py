@@ -2,11 +2,14 @@
 
 The standard-library parser streams a page as events.  Block tags cut it into
 lines; each line knows its text, the tags seen since the line before, and the
-container it stands in.  The text-to-tag ratio per line is smoothed with a
+section it stands in.  The text-to-tag ratio per line is smoothed with a
 Gaussian and split into two clusters at the threshold halfway between their
-means (iterated); lines above it choose content regions: the ``article`` or
-``main`` they stand in, else their container.  All lines of a chosen region
-are kept, short ones too, so nothing of an article is dropped.
+means (iterated); lines above it choose the content region: all ``article``
+and ``main`` elements if one of the lines stands in one, else the innermost
+``div``, ``section`` or the like that holds all of them that are dense by
+themselves, not only by their neighbours.  All lines of the region are kept,
+short ones too (list items, table cells, quotations), and so are lines above
+the threshold beside it, so nothing of an article is dropped.
 
 Parts that are never content are skipped while parsing: scripts, styles,
 forms, navigation, asides, page headers and footers, and elements whose class,
@@ -36,7 +39,8 @@ BLOCKS = frozenset(
     "tr ul aside".split()
 )
 REGIONS = frozenset(("article", "main"))
-HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: Elements that can be the region of a page without ``article`` and ``main``.
+SECTIONS = REGIONS | frozenset(("body", "center", "div", "section"))
 #: Words of class, id or role that mark an element as no part of the article.
 NOT_CONTENT = frozenset(
     "ad ads adv advert advertisement adverts advertising sponsor sponsored sponsors promo promoted promotion "
@@ -73,36 +77,43 @@ def marked(attrs: list[tuple[str, str | None]], whole: bool = False) -> bool:
 
 
 class LineParser(HTMLParser):
-    """Collects lines (text, tags before it, region, container) from parser events."""
+    """Collects lines (text, tags before it, in a region or not, section) from parser events."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int]] = []
+        self.lines: list[tuple[str, int, bool, int]] = []
         self.open: list[tuple[str, int, bool]] = []  # tag, element number, skipped
         self.pieces: list[str] = []
         self.n_elements = 0
         self.tags = 0
         self.skipping = 0
-
-    def _container(self) -> tuple[int, int]:
-        # the outermost article, else the innermost main
-        region = next((n for tag, n, _ in self.open if tag == "article"), -1)
-        if region < 0:
-            region = next((n for tag, n, _ in reversed(self.open) if tag == "main"), -1)
-        # a paragraph or heading stands in its parent
-        holder = next((n for tag, n, _ in reversed(self.open) if tag in BLOCKS and tag != "p" and tag not in HEADINGS), 0)
-        return region, holder
+        self.regions = 0  # open articles and mains
+        self.sections = [0]  # open sections; 0: the page
+        self.parents: dict[int, int] = {}  # section around a section
+        self.last: dict[int, int] = {}  # last element in a closed section
+
+    def common_section(self, sections: list[int]) -> tuple[int, int]:
+        """First and last element of the innermost section that holds all of some."""
+        top, last = min(sections), max(sections)  # elements are numbered in the order of their start tags
+        while last > self.last.get(top, self.n_elements):
+            top = self.parents[top]
+        return top, self.last.get(top, self.n_elements)
 
     def end_line(self) -> None:
         if self.pieces:
             text = " ".join("".join(self.pieces).split())
             self.pieces = []
             if text:
-                self.lines.append((text, self.tags, *self._container()))
+                self.lines.append((text, self.tags, self.regions > 0, self.sections[-1]))
                 self.tags = 0
 
     def _pop(self) -> None:
-        self.skipping -= self.open.pop()[2]
+        tag, number, skipped = self.open.pop()
+        self.skipping -= skipped
+        self.regions -= tag in REGIONS
+        if tag in SECTIONS:
+            self.last[number] = self.n_elements
+            self.sections.pop()
 
     def handle_starttag(self, tag, attrs) -> None:
         self.tags += 1
@@ -120,14 +131,17 @@ class LineParser(HTMLParser):
         if tag in VOID:
             return
         self.n_elements += 1
-        in_region = any(t in REGIONS for t, _, _ in self.open)
         skipped = (
             tag in SKIPPED
-            or (tag == "header" and not in_region)
+            or (tag == "header" and not self.regions)
             or (tag not in ("html", "body") and marked(attrs, whole=tag in REGIONS))
         )
         self.open.append((tag, self.n_elements, skipped))
         self.skipping += skipped
+        self.regions += tag in REGIONS
+        if tag in SECTIONS:
+            self.parents[self.n_elements] = self.sections[-1]
+            self.sections.append(self.n_elements)
 
     def handle_endtag(self, tag) -> None:
         self.tags += 1
@@ -189,12 +203,13 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
         return ""
     ratio = np.array([len(text) / max(1, tags) for text, tags, _, _ in lines])
     score = smoothed(ratio, sigma)
-    chosen = score >= two_clusters(score)
-    regions = {region for (_, _, region, _), yes in zip(lines, chosen, strict=True) if yes and region >= 0}
-    if regions:
-        return "\n".join(text for text, _, region, _ in lines if region in regions)
-    holders = {holder for (_, _, _, holder), yes in zip(lines, chosen, strict=True) if yes}
-    return "\n".join(text for text, _, _, holder in lines if holder in holders)
+    cut = two_clusters(score)
+    chosen = score >= cut
+    if any(in_region and yes for (_, _, in_region, _), yes in zip(lines, chosen, strict=True)):
+        return "\n".join(text for text, _, in_region, _ in lines if in_region)
+    dense = chosen & (ratio >= cut)
+    first, last = parser.common_section([lines[i][3] for i in np.flatnonzero(dense if dense.any() else chosen)])
+    return "\n".join(text for (text, _, _, section), yes in zip(lines, chosen, strict=True) if yes or first <= section <= last)
 
 
 def extract_pages(

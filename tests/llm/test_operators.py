@@ -86,6 +86,19 @@ def test_main_text():
     assert html_text.main_text(plain) == ("word " * 40).strip() + "\nend"
 
 
+def test_main_text_keeps_short_parts_of_a_region():
+    long = ("word " * 40).strip()
+    parts = f"<p>{long}</p><ul><li>milk<li>two eggs</ul><p>{long}</p><table><tr><td>a<td>1<tr><td>b<td>2</table><blockquote>so it goes"
+    parts += f"</blockquote><dl><dt>k<dd>v</dl><figure><figcaption>cap</figcaption></figure><pre>x = 1</pre><div><div><p>end</div></div><p>{long}</p>"
+    want = "\n".join([long, "milk", "two eggs", long, "a", "1", "b", "2", "so it goes", "k", "v", "cap", "x = 1", "end", long])
+    menu = "<div><ul><li><a>Home</a><li><a>News</a><li><a>Shop</a></ul></div>"
+    for page in (f"<body>{menu}<div id=c>{parts}</div></body>", f"<body>{menu}<section><div>{parts}</div></section>"):
+        assert html_text.main_text(page) == want
+    page = f"<body>{menu}<main><p>intro</p><article><p>{long}</p></article><p>between</p><article><p>short</p></article></main>{menu}"
+    assert html_text.main_text(page) == f"intro\n{long}\nbetween\nshort"
+    assert html_text.main_text(f"<div>{menu}<div><div><p>{long}<p>{long}</div><ul><li>a<li>b<li>c<li>d</ul><div><p>{long}<p>{long}</div></div></div>") == "\n".join([long, long, *"abcd", long, long])
+
+
 def test_pages_keep_rows(spark):
     rows = [(1, "u", "<article><p>some text of a page</article>"), (1, "u", None), (None, None, ""), (2, "u", "<p>cut &am")]
     got = html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
