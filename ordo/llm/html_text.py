@@ -13,7 +13,11 @@ the threshold beside it, so nothing of an article is dropped.
 
 Parts that are never content are skipped while parsing: scripts, styles,
 forms, navigation, asides, page headers and footers, and elements whose class,
-id or role says advert, menu, notice, sidebar or comments.
+id or role says advert, menu, notice, sidebar or comments (a whole class name,
+or one put together of such words only).  On a page without another ``article``
+or ``main``, those inside a marked element or form are read (not among
+comments).  A page of which nothing is left is read again with marks and forms
+ignored.
 """
 
 from __future__ import annotations
@@ -49,7 +53,12 @@ NOT_CONTENT = frozenset(
     "toolbar comment comments commentlist disqus replies respond share sharing social related recommended "
     "search login contentinfo complementary pagination pager".split()
 )
+#: Of these, the words that mark what readers wrote; an ``article`` inside is a comment.
+COMMENTS = frozenset("comment comments commentlist disqus replies respond".split())
+#: Elements of a head; any other one ends it.
+IN_HEAD = frozenset("base basefont bgsound link meta noscript script style template title head".split())
 WORD = re.compile(r"[A-Za-z]+")
+SHOWN, MARKED, GONE = 0, 1, 2  # an element that is read, one whose class says no content, one that never is content
 CLOSED_BY = {
     "p": BLOCKS,
     "li": frozenset(("li",)),
@@ -63,30 +72,39 @@ CLOSED_BY = {
 CHUNK = 1 << 16
 
 
-def marked(attrs: list[tuple[str, str | None]], whole: bool = False) -> bool:
-    """Says an attribute that this is no content?  ``whole``: only by a whole class name."""
+def marked(attrs: list[tuple[str, str | None]], region: bool = False) -> int:
+    """Says an attribute that this is no content?  ``region``: of an article or main, only by a whole class name."""
+    found = SHOWN
     for name, value in attrs:
         if name in ("class", "id", "role") and value:
-            parted = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value).lower()
-            for word in value.lower().split() if whole else WORD.findall(parted):
-                if word in NOT_CONTENT:
-                    return True
+            for token in value.split():
+                parts = [token.lower()] if region else WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", token).lower())
+                if parts and NOT_CONTENT.issuperset(parts):
+                    found = max(found, MARKED if COMMENTS.isdisjoint(parts) else GONE)
         elif name in ("hidden",) or name == "aria-hidden" and value == "true":
-            return True
-    return False
+            return GONE
+    return found
 
 
 class LineParser(HTMLParser):
-    """Collects lines (text, tags before it, in a region or not, section) from parser events."""
+    """Collects lines (text, tags before it, in a region or not, section) from parser events.
 
-    def __init__(self) -> None:
+    ``inner``: the lines that stand in a region inside a marked element, as
+    places in ``lines``.  ``loose``: marks and forms are ignored.
+    """
+
+    def __init__(self, loose: bool = False) -> None:
         super().__init__(convert_charrefs=True)
+        self.loose = loose
+        self.inner: list[int] = []
         self.lines: list[tuple[str, int, bool, int]] = []
-        self.open: list[tuple[str, int, bool]] = []  # tag, element number, skipped
+        self.open: list[tuple[str, int, int, int]] = []  # tag, element number, SHOWN, MARKED or GONE, marked elements it puts aside
         self.pieces: list[str] = []
         self.n_elements = 0
         self.tags = 0
-        self.skipping = 0
+        self.gone = 0  # open elements that are GONE
+        self.marked = 0  # open elements that are MARKED, but those put aside
+        self.aside = 0  # marked elements around an open region inside them
         self.regions = 0  # open articles and mains
         self.sections = [0]  # open sections; 0: the page
         self.parents: dict[int, int] = {}  # section around a section
@@ -104,26 +122,38 @@ class LineParser(HTMLParser):
             text = " ".join("".join(self.pieces).split())
             self.pieces = []
             if text:
+                if self.aside:
+                    self.inner.append(len(self.lines))
                 self.lines.append((text, self.tags, self.regions > 0, self.sections[-1]))
                 self.tags = 0
 
     def _pop(self) -> None:
-        tag, number, skipped = self.open.pop()
-        self.skipping -= skipped
+        tag, number, kind, put_aside = self.open.pop()
+        self.gone -= kind == GONE
+        self.marked -= kind == MARKED
+        self.marked += put_aside
+        self.aside -= put_aside
         self.regions -= tag in REGIONS
         if tag in SECTIONS:
             self.last[number] = self.n_elements
             self.sections.pop()
 
+    def _end_head(self) -> None:
+        while any(t == "head" for t, *_ in self.open):
+            self._pop()
+
     def handle_starttag(self, tag, attrs) -> None:
         self.tags += 1
+        if tag == "body" or self.open and self.open[-1][0] == "head" and tag not in IN_HEAD:
+            self.end_line()
+            self._end_head()
         if tag in BLOCKS or tag in SKIPPED:
             self.end_line()
             while self.open and tag in CLOSED_BY.get(self.open[-1][0], ()):
                 self._pop()
             # an unclosed inline element does not outlive its paragraph
-            inline = [i for i, (t, _, _) in enumerate(self.open) if t == "p"]
-            if inline and tag in BLOCKS and not any(t in BLOCKS for t, _, _ in self.open[inline[-1] + 1 :]):
+            inline = [i for i, (t, *_) in enumerate(self.open) if t == "p"]
+            if inline and tag in BLOCKS and not any(t in BLOCKS for t, *_ in self.open[inline[-1] + 1 :]):
                 while len(self.open) > inline[-1]:
                     self._pop()
         if tag == "br":
@@ -131,13 +161,21 @@ class LineParser(HTMLParser):
         if tag in VOID:
             return
         self.n_elements += 1
-        skipped = (
-            tag in SKIPPED
-            or (tag == "header" and not self.regions)
-            or (tag not in ("html", "body") and marked(attrs, whole=tag in REGIONS))
-        )
-        self.open.append((tag, self.n_elements, skipped))
-        self.skipping += skipped
+        kind = SHOWN
+        if tag == "form":
+            kind = SHOWN if self.loose else MARKED  # some sites wrap whole pages in one
+        elif tag in SKIPPED or tag == "header" and not self.regions:
+            kind = GONE
+        elif tag not in ("html", "body"):
+            kind = marked(attrs, tag in REGIONS)
+            if self.loose and (kind == MARKED or not any(name in ("hidden", "aria-hidden") for name, _ in attrs)):
+                kind = SHOWN
+        # an article or main is read even inside a marked element
+        put_aside = self.marked if tag in REGIONS and kind == SHOWN else 0
+        self.open.append((tag, self.n_elements, kind, put_aside))
+        self.gone += kind == GONE
+        self.marked += (kind == MARKED) - put_aside
+        self.aside += put_aside
         self.regions += tag in REGIONS
         if tag in SECTIONS:
             self.parents[self.n_elements] = self.sections[-1]
@@ -161,7 +199,9 @@ class LineParser(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_data(self, data) -> None:
-        if not self.skipping:
+        if self.open and self.open[-1][0] == "head" and data.strip():
+            self._end_head()  # text is no part of a head either
+        if not self.gone and not self.marked:
             self.pieces.append(data)
 
 
@@ -189,15 +229,27 @@ def two_clusters(values: np.ndarray) -> float:
     return min(cut, float(values.max()))
 
 
-def main_text(html: str | None, sigma: float = 1.0) -> str:
-    """Main text of one page, its blocks joined by newlines; empty if none."""
-    if not html:
-        return ""
-    parser = LineParser()
+def parsed(html: str, loose: bool = False) -> LineParser:
+    parser = LineParser(loose)
     for at in range(0, len(html), CHUNK):
         parser.feed(html[at : at + CHUNK])
     parser.close()
     parser.end_line()
+    inner = set(parser.inner)
+    if any(in_region and i not in inner for i, (_, _, in_region, _) in enumerate(parser.lines)):
+        parser.lines = [line for i, line in enumerate(parser.lines) if i not in inner]
+        inner = set()
+    parser.inner = sorted(inner)
+    return parser
+
+
+def main_text(html: str | None, sigma: float = 1.0) -> str:
+    """Main text of one page, its blocks joined by newlines; empty if none."""
+    if not html:
+        return ""
+    parser = parsed(html)
+    if not parser.lines:
+        parser = parsed(html, loose=True)
     lines = parser.lines
     if not lines:
         return ""
@@ -205,7 +257,9 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     score = smoothed(ratio, sigma)
     cut = two_clusters(score)
     chosen = score >= cut
-    if any(in_region and yes for (_, _, in_region, _), yes in zip(lines, chosen, strict=True)):
+    regions = {in_region for (_, _, in_region, _), yes in zip(lines, chosen, strict=True) if yes}
+    # an article inside a marked element does not displace other text
+    if regions == {True} or True in regions and not parser.inner:
         return "\n".join(text for text, _, in_region, _ in lines if in_region)
     dense = chosen & (ratio >= cut)
     first, last = parser.common_section([lines[i][3] for i in np.flatnonzero(dense if dense.any() else chosen)])

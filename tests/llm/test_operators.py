@@ -99,6 +99,24 @@ def test_main_text_keeps_short_parts_of_a_region():
     assert html_text.main_text(f"<div>{menu}<div><div><p>{long}<p>{long}</div><ul><li>a<li>b<li>c<li>d</ul><div><p>{long}<p>{long}</div></div></div>") == "\n".join([long, long, *"abcd", long, long])
 
 
+def test_main_text_of_marked_wrappers_and_open_heads():
+    long = ("word " * 40).strip()
+    wrappers = ("class='content with-sidebar'", "id='layout-nav-left'", "class='search-result'", "class='content sidebar'", "class='notice'", "role=search")
+    for attrs in wrappers:
+        assert html_text.main_text(f"<body><nav>a b</nav><div {attrs}><article><p>{long}<p>end</article></div>") == f"{long}\nend"
+        assert html_text.main_text(f"<body><nav>a b</nav><div {attrs}><p>{long}<p>end</div>") == f"{long}\nend"
+    assert html_text.main_text(f"<body><form id=f><nav>a b</nav><p>{long}<p>end</form>") == f"{long}\nend"
+    assert html_text.main_text(f"<body><form id=f><nav>a b</nav><article><p>{long}<p>end</article></form><p>2020") == f"{long}\nend"
+    for head in ("<head><meta charset=x><title>t</title><style>p{}</style>", "<head><title>t</title>"):
+        for body in ("<body>", ""):
+            assert html_text.main_text(f"<html>{head}{body}<p>{long}<p>end") == f"{long}\nend"
+    assert html_text.main_text("<head><title>t</title>just text") == "just text"
+    # comments and teasers do not come in beside an article
+    article, teaser = f"<article><p>{long}<p>end</article>", f"<article><p>{long} teaser</article>"
+    assert html_text.main_text(f"{article}<div class=related>{teaser}</div><ol class=comments><li>{teaser}</ol>") == f"{long}\nend"
+    assert html_text.main_text(f"<div><p>{long}<p>end</div><div id=comments>{teaser}</div>") == f"{long}\nend"
+
+
 def test_pages_keep_rows(spark):
     rows = [(1, "u", "<article><p>some text of a page</article>"), (1, "u", None), (None, None, ""), (2, "u", "<p>cut &am")]
     got = html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
