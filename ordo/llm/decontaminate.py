@@ -9,8 +9,9 @@ window word by word (local alignment, linear gaps).  A passage whose score
 reaches the limit is a leak, whole, edited or partial.  The verdict on a
 document depends on it and the item alone, not on the other documents.
 
-The benchmark goes to the tasks in blocks of at most ``block_words`` words, so
-what is broadcast has a fixed bound and a larger benchmark takes more passes.
+The benchmark goes to the tasks in blocks of at most ``block_words`` words (or
+of one longer item), so what is broadcast has a fixed bound and a larger
+benchmark takes more passes.  Equal items travel once, with their number.
 Documents never leave their task, so neither an item that a third of them
 quotes nor a very long text gathers anywhere.
 """
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -48,16 +49,17 @@ def grams(words: np.ndarray, width: int) -> np.ndarray:
 class Items:
     """A block of benchmark items: word hashes, and where each n-gram stands in which item."""
 
-    def __init__(self, rows: list[tuple[int, str]], width: int):
-        self.ids, self.words = [], []
+    def __init__(self, rows: list[tuple[int, str, int]], width: int):
+        self.ids, self.words, self.copies = [], [], []
         self.widths: set[int] = set()
         found: list[np.ndarray] = []
-        for item_id, text in rows:
+        for item_id, text, copies in rows:
             words, _ = word_hashes(np.frombuffer(normal(text).encode("utf-8", "surrogatepass"), np.uint8))
             if len(words):
                 n = min(width, len(words))
                 self.widths.add(n)
                 self.ids.append(item_id)
+                self.copies.append(copies)
                 self.words.append(words)
                 found.append(grams(words, n))
         none = np.zeros(0, np.uint64)
@@ -161,7 +163,7 @@ def leaks(words: np.ndarray, places: np.ndarray, found: np.ndarray, items: Items
             if items.in_common(np.array([i]), text)[0] / len(item) >= limit:
                 best = max(best, (align(item, text) / (MATCH * len(item)), a, z))
         if best[0] >= limit:
-            out.append((items.ids[i], *best))
+            out += [(items.ids[i], *best)] * items.copies[i]
     return sorted(out)
 
 
@@ -184,22 +186,62 @@ def annotate(
     are reported each; repeated rows and null ids stay as they are; an empty
     benchmark leaks nothing and an empty table gives no rows.
     """
-    item_rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).alias("t"), F.size(F.split(F.coalesce(F.col(item_text_col), F.lit("")), r"[\\s\\W_]+")).alias("n"))
-    total = item_rows.agg(F.sum("n")).first()[0] or 0
-    n_blocks = max(1, -(-total // block_words))
+    item_rows = distinct_items(benchmark, item_col, item_text_col)
     leak = "array<struct<item_id:bigint,score:double,first_word:int,end_word:int>>"
     names, at = docs.columns, docs.columns.index(text_col)
     spark = docs.sparkSession
     out = docs.toDF(*[f"c{i}" for i in range(len(names))]).withColumn("leaks", F.array().cast(leak))
 
-    for block in range(n_blocks):
-        part = item_rows if n_blocks == 1 else item_rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == block)
-        items = Items([(r["i"], r["t"]) for r in part.select("i", "t").collect()], width)  # at most about block_words words
+    for n_buckets, first, last, n_words in blocks(item_rows, block_words):
+        rows = item_rows.filter(bucket(n_buckets).between(first, last)).select("i", "t", "copies", "n").collect()
+        assert sum(r["n"] for r in rows) == n_words, "the benchmark changed while it was read"
+        items = Items([(r["i"], r["t"], r["copies"]) for r in rows], width)
         if len(items.seeds):
             out = _with_leaks(out, at, spark.sparkContext.broadcast(items), limit)
     return out.toDF(*names, "leaks")
 
 
+def distinct_items(benchmark: DataFrame, item_col: str, text_col: str) -> DataFrame:
+    """(i, t, copies, n): distinct items that have words, how often each occurs, and its number of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [len(normal(t.as_py()).split()) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n, pa.int64())], names=["i", "t", "copies", "n"])
+
+    rows = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t")).groupBy("i", "t").agg(F.count("*").alias("copies"))
+    return rows.mapInArrow(run, "i long, t string, copies long, n long").filter("n > 0")
+
+
+def bucket(n: int) -> Column:
+    return F.pmod(F.xxhash64("i", "t"), F.lit(n))
+
+
+def blocks(item_rows: DataFrame, block_words: int) -> list[tuple[int, int, int, int]]:
+    """(number of buckets, first and last bucket, words) of every block of items.
+
+    Items are dealt to buckets by hash, so many that none has more words than
+    a block or than one item; a block is a run of buckets.
+    """
+    total, longest = item_rows.agg(F.sum("n"), F.max("n")).first()
+    if not total:
+        return []
+    most = max(block_words, longest)
+    n = 1 if total <= most else 8 * -(-total // most)
+    while True:
+        found = sorted((r["b"], r["n"]) for r in item_rows.groupBy(bucket(n).alias("b")).agg(F.sum("n").alias("n")).collect())
+        if all(words <= most for _, words in found):
+            break
+        n *= 2
+    out: list[tuple[int, int, int, int]] = []
+    for b, words in found:
+        if out and out[-1][3] + words <= most:
+            out[-1] = (n, out[-1][1], b, out[-1][3] + words)
+        else:
+            out.append((n, b, b, words))
+    return out
+
+
 def _with_leaks(docs: DataFrame, at: int, shared, limit: float) -> DataFrame:
     """Adds the leaks of one block of items to the last column."""
     schema = StructType([StructField(f.name, f.dataType) for f in docs.schema.fields])

@@ -74,6 +74,19 @@ def test_half_an_item_leaks_however_often(spark, shape, copies):
     assert {g[:2] for g in got} == {(k, 1) for k in range(copies)} and all(g[2] >= 0.5 for g in got)
 
 
+def test_blocks_of_items_are_bounded(spark, shape):
+    texts = ["".join(RNG.choice("БГДЖЗИЛ") for _ in range(5)) for _ in range(400)]
+    items = [(k, " ".join(RNG.choice(texts) for _ in range(25))) for k in range(40)] + [(90, "NO LOWER CASE " * 5)] + [(91, "same item of five words")] * 30
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = decontaminate.distinct_items(bench, "item_id", "text")
+    assert {r.i: (r.copies, r.n) for r in rows.collect()} == {k: (1, 25) for k in range(40)} | {90: (1, 15), 91: (30, 5)}
+    found = decontaminate.blocks(rows, 200)
+    assert len(found) > 4 and sum(b[3] for b in found) == 40 * 25 + 20 and all(b[3] <= 200 for b in found)
+    assert all(a[2] < b[1] for a, b in zip(found, found[1:]))
+    got = decontaminate.leaked_documents(shape([(5, items[3][1]), (6, "the same item of five words")]), bench, block_words=400).collect()
+    assert sorted((r.doc_id, r.item_id) for r in got) == [(5, 3)] + [(6, 91)] * 30
+
+
 def test_main_text():
     page = (
         "<html><head><title>t</title><script>x()</script></head><body><nav><a>Home</a></nav><div class='cookie-notice'>We use "
