@@ -2,7 +2,8 @@
 
 A text is lower-cased (A-Z) and cut into words; the words joined by single
 spaces are what the rules read.  A rule is a regular expression over those
-words with a label, a priority and a keyword.  The keywords found among a
+words with a label, a priority and keywords, of which every text that
+it matches has one as a word.  The keywords found among a
 text's words (one hash look-up per word) decide which rules run at all; texts
 without a keyword run none.  Detections are word intervals; one that lies
 inside another of higher priority, or inside a longer one of the same
@@ -30,7 +31,7 @@ BASE: tuple[tuple[str, str], ...] = (
     ("mit license", "mit"),
 )
 
-#: Licenses by family: label, a keyword that every text of it has, its name as
+#: Licenses by family: label, keywords (every text of it has one), its name as
 #: a regular expression over words, and its versions.
 FAMILIES: tuple[tuple[str, str, str, tuple[str, ...]], ...] = (
     ("gpl", "gpl", r"(?:gnu )?gpl", ("1", "2", "3")),
@@ -44,7 +45,7 @@ FAMILIES: tuple[tuple[str, str, str, tuple[str, ...]], ...] = (
     ("mit", "mit", r"mit", ()),
     ("mit-x11", "x11", r"(?:mit )?x11", ()),
     ("bsd", "bsd", r"bsd", ()),
-    ("bsd-2-clause", "bsd", r"(?:bsd 2 clause|simplified bsd|freebsd)", ()),
+    ("bsd-2-clause", "bsd freebsd", r"(?:bsd 2 clause|simplified bsd|freebsd)", ()),
     ("bsd-3-clause", "bsd", r"(?:bsd 3 clause|new bsd|modified bsd|revised bsd)", ()),
     ("bsd-4-clause", "bsd", r"(?:bsd 4 clause|original bsd)", ()),
     ("isc", "isc", r"isc", ()),
@@ -97,9 +98,12 @@ FAMILIES: tuple[tuple[str, str, str, tuple[str, ...]], ...] = (
     ("vim", "vim", r"vim license", ()),
     ("mulan", "mulan", r"mulan (?:psl|permissive software license)", ("1", "2")),
     ("blueoak", "oak", r"blue oak model license", ("1 0 0",)),
-    ("openrail", "openrail", r"(?:creativeml )?open ?rail(?: m)?", ()),
+    ("openrail", "openrail rail", r"(?:creativeml )?open ?rail(?: m)?", ()),
 )
 
+#: Families whose name and version are also written as one word, as in "gplv2".
+JOINED = frozenset(("gpl", "lgpl", "agpl"))
+
 #: Notices that are hand-written sentences of a license text: label, keyword, pattern.
 NOTICES: tuple[tuple[str, str, str], ...] = (
     ("mit", "granted", r"permission is hereby granted free of charge to any person obtaining a copy"),
@@ -127,30 +131,40 @@ NOTICES: tuple[tuple[str, str, str], ...] = (
 
 
 def rules() -> list[tuple[str, str, int, str]]:
-    """The ordered rules: label, keyword, priority (higher wins), pattern.
+    """The ordered rules: label, keywords, priority (higher wins), pattern.
 
     Each family gives a tag rule, a grant rule, a name rule, and a rule per
     version; notices come first.
     """
     out = [(label, keyword, 5, pattern) for label, keyword, pattern in NOTICES]
+    tag = "spdx license identifier"
+    grant = r"(?:released|licensed|distributed|available|published|covered)(?: \S+)? (?:under|by) (?:the )?(?:terms of the )?"
     for label, keyword, name, versions in FAMILIES:
         plain = r" licen[cs]e" if "licen" not in name and name not in ("cc by", "cc0") else ""
         loose = f"{name}(?: licen[cs]e)?"
-        out.append((label, keyword, 4, f"spdx license identifier {loose}(?: \\d)*(?: only| or later)?"))
+        out.append((label, keyword, 4, f"{tag} {loose}(?: \\d)*(?: only| or later)?"))
         out += [(f"{label}-{v.replace(' ', '.')}", keyword, 3, f"{loose}(?: version)? v?{v}(?! \\d)") for v in versions]
-        out.append((label, keyword, 2, f"(?:released|licensed|distributed|available|published|covered)(?: \\S+)? (?:under|by) (?:the )?(?:terms of the )?{loose}"))
+        out.append((label, keyword, 2, f"{grant}{loose}"))
         out.append((label, keyword, 1, name + plain))
+        if keyword in JOINED:
+            digits = "".join(sorted({v[0] for v in versions}))
+            words = " ".join(f"{keyword}{v}{d}" for d in digits for v in ("", "v"))
+            one = f"{name}v?[{digits}](?: \\d)*(?: licen[cs]e)?"
+            out.append((label, words, 4, f"{tag} {one}(?: only| or later)?"))
+            out += [(f"{label}-{v.replace(' ', '.')}", words, 3, f"{name}v?{v}{'' if ' ' in v else '(?: 0)?'}(?! \\d)(?: licen[cs]e)?") for v in versions]
+            out.append((label, words, 2, f"{grant}{one}"))
     return out
 
 
 def rule_table(rows: list[tuple[str, str, int, str]]) -> Column:
     """The rules by keyword, as one constant map."""
     by: dict[str, list[Column]] = {}
-    for label, keyword, priority, pattern in rows:
+    for label, keyword, priority, pattern in rows:  # a rule that two words open finds the same intervals twice
         rule = F.struct(
             F.lit(label).alias("label"), F.lit(priority).alias("priority"), F.lit(f"(?<![^ ])(?:{pattern})(?![^ ])").alias("pattern")
         )
-        by.setdefault(keyword, []).append(rule)
+        for word in keyword.split(" "):
+            by.setdefault(word, []).append(rule)
     return F.create_map(*[x for k, v in by.items() for x in (F.lit(k), F.array(*v))])
 
 
@@ -214,7 +228,7 @@ def scan_documents(
     columns are ignored; an empty table gives no rows.
     """
     table_rows = rules()
-    keys = F.array(*[F.lit(k) for k in sorted({r[1] for r in table_rows})])
+    keys = F.array(*[F.lit(k) for k in sorted({word for r in table_rows for word in r[1].split(" ")})])
     table = rule_table(table_rows)
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
 

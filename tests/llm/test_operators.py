@@ -224,6 +224,35 @@ def test_licenses(shape):
     assert len(licenses.rules()) > 200
 
 
+def samples(parsed):
+    """Texts that a parsed pattern matches, one at least of every alternative."""
+    out = [""]
+    for kind, x in parsed:
+        name = str(kind)
+        if name == "BRANCH":
+            more = [t for branch in x[1] for t in samples(branch)]
+        elif name == "SUBPATTERN":
+            more = samples(x[3])
+        elif name == "MAX_REPEAT":
+            more = [""] * (x[0] == 0) + samples(x[2])
+        elif name == "IN":
+            more = [chr(v) if str(k) == "LITERAL" else "1" for k, v in x]
+        else:
+            more = [chr(x)] if name == "LITERAL" else [""]
+            assert name in ("LITERAL", "ASSERT_NOT")
+        out = [a + b for a in out for b in more]
+    return out
+
+
+def test_every_alternative_opens_its_license_rule(shape):
+    for label, keywords, _, pattern in licenses.rules():
+        for text in samples(re._parser.parse(pattern)):
+            assert set(text.split()) & set(keywords.split()), (label, keywords, text)
+    texts = {"FreeBSD License": "bsd-2-clause", "licensed under Open RAIL-M": "openrail", "GPLv2": "gpl-2", "under GPLv3+": "gpl-3", "LGPLv2.1": "lgpl-2.1", "LGPLv3": "lgpl-3", "GNU AGPLv3": "agpl-3", "covered by the GPL2": "gpl,gpl-2"}
+    got = {r.doc_id: (r.labels, r.n_base) for r in licenses.scan_documents(shape(list(enumerate(texts)))).collect()}
+    assert got == {i: (labels, 0) for i, labels in enumerate(texts.values())}
+
+
 def plain_components(rows):
     sets = []
     for _, t in rows:
