@@ -9,8 +9,9 @@ more than k non-empty parts at least one is equal in both: a signature is the
 content of one part.  A set of size a emits only the first ``m(a)`` parts,
 which suffices because m grows with size and k is bounded by the smaller set.
 Small sets use parts of one feature each; for larger ones the number of parts
-puts a set with too few non-empty parts some seven standard deviations out of
-reach (a job that met one would stop with an error, not lose a link).
+makes a set with too few non-empty parts rare: the chance is 5e-7 for a set of
+256 features, 5e-8 for 264, 6e-10 for 512.  A job that meets one deals the
+features anew, by another hash and to more parts, so no link is lost.
 
 Signatures travel packed, 13 bytes each, to ranges of the signature space,
 where those with two or more classes are found and counted.  A class can spare
@@ -46,6 +47,7 @@ SINGLES = (2 * SINGLE.bit_length() - 4, 2 * SINGLE.bit_length() - 1)  # their in
 LEAST_RANGE_BITS = 10
 LOW_BYTES = 5  # of a signature that travel beside its range; a clash only adds a candidate
 BROADCAST_CLASSES = 500_000
+ATTEMPTS = 8  # ways to deal the features to parts
 INSTANCE = np.uint64(63)  # low bits of a signature: its instance
 
 
@@ -67,11 +69,11 @@ def most_diffs(size: int, top: int, percent: int) -> int:
     return (size + partner) * (100 - percent) // (100 + percent)
 
 
-def parts_of(hashes: np.ndarray, top: int, single: bool, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def parts_of(hashes: np.ndarray, top: int, single: bool, percent: int, attempt: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Numbers and contents of the non-empty parts that a set emits in one instance."""
     if single:
         return np.zeros(len(hashes), np.uint64), hashes
-    slack = 1.5 + 24 / math.sqrt(top)
+    slack = (1.5 + 24 / math.sqrt(top)) * (1 + attempt)
     share = (100 - percent) / percent  # k is at most this times the smaller size
     n = math.ceil(slack * (share * top + 1))
     m = min(n, math.ceil(slack * (share * len(hashes) + 1)))
@@ -85,19 +87,19 @@ def parts_of(hashes: np.ndarray, top: int, single: bool, percent: int) -> tuple[
     return full.astype(np.uint64), np.add.reduceat(mix(hashes[:end]), bounds[full])
 
 
-def signatures(hashes: np.ndarray, percent: int) -> list[tuple[int, int, np.ndarray]]:
+def signatures(hashes: np.ndarray, percent: int, attempt: int = 0) -> list[tuple[int, int, np.ndarray]]:
     """(instance, bound k, signatures) of a set.
 
-    A set whose non-empty parts do not exceed k would not be covered; that is
-    made as good as impossible by the number of parts, and checked here.
+    A set with no more than k signatures is not covered; ``attempt`` deals the
+    features in another way, the same for all sets of a job.
     """
+    if attempt:
+        hashes = np.sort(mix(hashes ^ mix(np.array([attempt], np.uint64))))
     out = []
     for number, top, single in instances(len(hashes), percent):
         # parts of one feature: a partner of at least this size holds all but k of the features
         k = len(hashes) * (100 - percent) // (100 + percent) if single else most_diffs(len(hashes), top, percent)
-        parts, contents = parts_of(hashes, top, single, percent)
-        if len(parts) <= k:
-            raise ValueError("a set has too few non-empty parts; raise the slack of parts_of")
+        parts, contents = parts_of(hashes, top, single, percent, attempt)
         spread = mix(mix(contents + parts * np.uint64(0x9E3779B97F4A7C15)) + np.uint64(number))
         out.append((number, k, spread & ~INSTANCE | np.uint64(number)))
     return out
@@ -109,11 +111,11 @@ def class_id(hashes: np.ndarray) -> int:
     return int(mix(np.array([total + np.uint64(len(hashes))]))[0] >> np.uint64(1))
 
 
-def classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
+def classes(docs: DataFrame, width: int, percent: int, attempt: int = 0) -> DataFrame:
     """doc_id, key, n_shingles, cid (null for an empty set), and how many parts the class can spare.
 
     ``spare_band`` and ``spare_window``: non-empty parts beyond k + 1 in the
-    band and in the window around a border.
+    band and in the window around a border; negative if there are too few.
     """
     names = ["doc_id", "key", "n_shingles", "cid", "spare_band", "spare_window"]
 
@@ -124,7 +126,7 @@ def classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
             for row, hashes in shingle_sets(batch.column(1), width):
                 sizes[row] = len(hashes)
                 ids[row] = class_id(hashes) if len(hashes) else None
-                for number, k, sigs in signatures(hashes, percent) if len(hashes) >= LEAST else ():
+                for number, k, sigs in signatures(hashes, percent, attempt) if len(hashes) >= LEAST else ():
                     spare[number % 2, row] = len(sigs) - k - 1
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(sizes), pa.array(ids, pa.int64()), pa.array(spare[0]), pa.array(spare[1])], names=names
@@ -133,7 +135,7 @@ def classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, key long, n_shingles long, cid long, spare_band int, spare_window int")
 
 
-def packed_signatures(docs: DataFrame, width: int, percent: int, range_bits: int, block: int = 1 << 19) -> DataFrame:
+def packed_signatures(docs: DataFrame, width: int, percent: int, range_bits: int, block: int = 1 << 19, attempt: int = 0) -> DataFrame:
     """(range, pairs): signatures and classes packed as bytes, by range of the signature."""
 
     def emit(sigs: list[np.ndarray], cids: list[np.ndarray]) -> pa.RecordBatch:
@@ -157,7 +159,7 @@ def packed_signatures(docs: DataFrame, width: int, percent: int, range_bits: int
                 if len(hashes) < LEAST:
                     continue
                 cid = class_id(hashes)
-                for _, _, found in signatures(hashes, percent):
+                for _, _, found in signatures(hashes, percent, attempt):
                     sigs.append(found)
                     cids.append(np.full(len(found), cid))
                     n += len(found)
@@ -262,10 +264,10 @@ def ranked(shared: DataFrame, kinds: DataFrame, percent: int) -> DataFrame:
     return rows.filter(f"NOT single OR 100 * held >= {percent} * size").select("sig", "cid", "size", "held", "common", "probe", "single")
 
 
-def candidate_links(docs: DataFrame, members: DataFrame, width: int, percent: int, n_tasks: int) -> DataFrame:
+def candidate_links(docs: DataFrame, members: DataFrame, width: int, percent: int, n_tasks: int, attempt: int = 0) -> DataFrame:
     """Verified links (a, b) between classes that give all components."""
     range_bits = max(LEAST_RANGE_BITS, (4 * n_tasks).bit_length())
-    packed = packed_signatures(docs, width, percent, range_bits)
+    packed = packed_signatures(docs, width, percent, range_bits, attempt=attempt)
     shared = materialize(shared_signatures(packed, n_tasks), "signatures")
     kinds = members.groupBy("cid").agg(
         F.first("n_shingles").alias("size"), F.first("spare_band").alias("spare_band"), F.first("spare_window").alias("spare_window")
@@ -303,11 +305,17 @@ def candidate_links(docs: DataFrame, members: DataFrame, width: int, percent: in
 
 def _placed(source: DataFrame, width: int, percent: int, task_bytes: int) -> DataFrame:
     """members (doc_id, key, n_shingles, cid) with ``comp``, the class label of the component (null without words)."""
-    members = materialize(classes(source, width, percent), "members")
-    n = members.agg(F.sum("n_shingles")).first()[0] or 0
+    for attempt in range(ATTEMPTS):
+        members = materialize(classes(source, width, percent, attempt), "members")
+        n, spare = members.agg(F.sum("n_shingles"), F.min(F.least("spare_band", "spare_window"))).first()
+        if n is None or spare >= 0:
+            break
+    else:
+        raise ValueError("a set has too few non-empty parts however its features are dealt")
+    n = n or 0
     least = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n_tasks = max(least, int(n * 0.65 * (LOW_BYTES + 8) / task_bytes) + 1)
-    links = candidate_links(source, members.filter("cid IS NOT NULL"), width, percent, n_tasks)
+    links = candidate_links(source, members.filter("cid IS NOT NULL"), width, percent, n_tasks, attempt)
     labels = materialize(connected(links), "labels")
     placed = members.join(labels.withColumnRenamed("node", "cid"), "cid", "left")
     return placed.withColumn("comp", F.coalesce("label", "cid")).drop("label")

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from ordo.llm import bpe, decontaminate, html_text, jaccard, langid, licenses, quality, secrets, sharding, suffixes
@@ -289,6 +290,19 @@ def test_jaccard_matches_brute_force(shape):
     assert sorted(kept) == sorted([smallest[c] for c in set(label) if any(s and x == c for s, x in zip(sets, label, strict=True))] + [i for (i, _), s in zip(rows, sets, strict=True) if not s])
 
 
+def test_jaccard_of_a_set_with_too_few_parts(shape):
+    text = prose(4).split()
+    while len(text) < 264:  # every shingle hash in the upper half, where a set of 260 has no parts
+        tries = [RNG.choice(VOCAB) for _ in range(40)]
+        found = jaccard.shingle_sets(pa.array([" ".join([*text[-4:], w]) for w in tries]))
+        text.append(next(tries[i] for i, h in found if int(h[0]) >> 60 > 8))
+    hashes = next(h for _, h in jaccard.shingle_sets(pa.array([" ".join(text)])))
+    assert any(len(sigs) <= k for _, k, sigs in jaccard.signatures(hashes, 80))
+    rows = [(1, " ".join(text)), (2, " ".join([*text[:-1], "other"])), (3, " ".join([*text[:130], "other", *text[131:]])), (4, prose(264)), (5, "")]
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(shape(rows)).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
+
+
 def test_jaccard_edges(shape):
     got = jaccard.jaccard_components(shape([(None, "a b c d e f"), (None, "a b c d e f"), (7, "A b c d e f"), (None, "q")])).collect()
     assert sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in got) == [(-1, 1, -1), (-1, 2, 7), (-1, 2, 7), (7, 2, 7)]
