@@ -10,7 +10,7 @@ from ordo.functions.stats import Stat
 from ordo.operators import windows
 from ordo.plans import session as S
 
-from conftest import SF001
+from paths import SF001
 
 
 def _frame(df, cols):
