@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import bpe, decontaminate, html_text, jaccard, langid, licenses, oracles, quality, secrets, sharding, suffixes
+from . import bpe, decontaminate, html_text, jaccard, langid, licenses, merkle, oracles, quality, secrets, sharding, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": lambda spark, d: suffixes.remove_repeats(table(spark, d, "documents")),
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": lambda spark, d: jaccard.jaccard_components(table(spark, d, "documents")),
     "op9_bpe": lambda spark, d: bpe.bpe_encode(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json")),
     "op10_language_id": lambda spark, d: langid.identify_documents(table(spark, d, "documents")),
+    "op11_merkle_manifest": lambda spark, d: merkle.manifest_documents(table(spark, d, "documents")),
 }
 
 ORACLES: dict[str, str] = dict(oracles.ORACLES)
