@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import bpe, decontaminate, html_text, jaccard, langid, licenses, merkle, oracles, quality, secrets, sharding, suffixes
+from . import bpe, decontaminate, html_text, jaccard, langid, lexical, licenses, merkle, oracles, quality, secrets, sharding, suffixes, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": lambda spark, d: suffixes.remove_repeats(table(spark, d, "documents")),
@@ -22,6 +22,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe": lambda spark, d: bpe.bpe_encode(table(spark, d, "documents"), public_tokenizers.path("byte_bpe_50k.json")),
     "op10_language_id": lambda spark, d: langid.identify_documents(table(spark, d, "documents")),
     "op11_merkle_manifest": lambda spark, d: merkle.manifest_documents(table(spark, d, "documents")),
+    "op12_exact_top_k": lambda spark, d: topk.nearest_embeddings(table(spark, d, "embeddings")),
+    "op13_lexical_search": lambda spark, d: lexical.search(table(spark, d, "documents"), table(spark, d, "benchmark")),
 }
 
 ORACLES: dict[str, str] = dict(oracles.ORACLES)
