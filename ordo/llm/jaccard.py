@@ -21,10 +21,15 @@ without a probe have no partner.  So neither common shingles nor passages that
 many documents quote make candidates.
 
 Each probe is compared with the most central class of its signature (a star,
-linear in the group); components of those links are found, and only then each probe
-with the classes of other components that have its signature.
-
-Candidates are verified by exact set intersection.  Nothing is capped.
+linear in the group); components of those links are found, and only then each
+class with the members of the other components that hold its probes: one row for
+every class and component, whose members come in blocks, so that no pair is
+written out before it is likely.
+
+A class has a profile, its features counted by 256 buckets.  The profiles of two
+sets differ by no more than the sets do, so pairs whose profiles differ too much
+are no links; the others are verified by exact set intersection.  Nothing is
+capped.
 """
 
 from __future__ import annotations
@@ -47,6 +52,9 @@ SINGLES = (2 * SINGLE.bit_length() - 4, 2 * SINGLE.bit_length() - 1)  # their in
 LEAST_RANGE_BITS = 10
 LOW_BYTES = 5  # of a signature that travel beside its range; a clash only adds a candidate
 BROADCAST_CLASSES = 500_000
+SALTS = 16  # copies of a table too large to broadcast that hot keys are spread over
+BUCKETS = 256  # of a profile
+MEMBERS = 4096  # of a component that one task compares at a time
 ATTEMPTS = 8  # ways to deal the features to parts
 INSTANCE = np.uint64(63)  # low bits of a signature: its instance
 
@@ -111,28 +119,47 @@ def class_id(hashes: np.ndarray) -> int:
     return int(mix(np.array([total + np.uint64(len(hashes))]))[0] >> np.uint64(1))
 
 
+def profile(hashes: np.ndarray) -> bytes:
+    """Features by the first byte of their hash, at most 255 of each."""
+    return np.minimum(np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes()
+
+
+def profiles(column: pa.Array) -> np.ndarray:
+    """The rows' profiles as a matrix."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int16)
+
+
+def near(a: np.ndarray, b: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Whether profiles differ by no more than sets of these sizes together may."""
+    return np.abs(a - b).sum(axis=-1, dtype=np.int64) * (100 + percent) <= sizes * (100 - percent)
+
+
 def classes(docs: DataFrame, width: int, percent: int, attempt: int = 0) -> DataFrame:
     """doc_id, key, n_shingles, cid (null for an empty set), and how many parts the class can spare.
 
     ``spare_band`` and ``spare_window``: non-empty parts beyond k + 1 in the
     band and in the window around a border; negative if there are too few.
+    ``profile`` is null for sets that link with equal ones only.
     """
-    names = ["doc_id", "key", "n_shingles", "cid", "spare_band", "spare_window"]
+    names = ["doc_id", "key", "n_shingles", "cid", "spare_band", "spare_window", "profile"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, spare = np.zeros(len(batch), np.int64), np.zeros((2, len(batch)), np.int32)
             ids: list[int | None] = [None] * len(batch)
+            counts: list[bytes | None] = [None] * len(batch)
             for row, hashes in shingle_sets(batch.column(1), width):
                 sizes[row] = len(hashes)
                 ids[row] = class_id(hashes) if len(hashes) else None
+                counts[row] = profile(hashes) if len(hashes) >= LEAST else None
                 for number, k, sigs in signatures(hashes, percent, attempt) if len(hashes) >= LEAST else ():
                     spare[number % 2, row] = len(sigs) - k - 1
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(sizes), pa.array(ids, pa.int64()), pa.array(spare[0]), pa.array(spare[1])], names=names
+                [batch.column(0), batch.column(2), pa.array(sizes), pa.array(ids, pa.int64()), pa.array(spare[0]), pa.array(spare[1]), pa.array(counts, pa.binary())],
+                names=names,
             )
 
-    return docs.mapInArrow(run, "doc_id long, key long, n_shingles long, cid long, spare_band int, spare_window int")
+    return docs.mapInArrow(run, "doc_id long, key long, n_shingles long, cid long, spare_band int, spare_window int, profile binary")
 
 
 def packed_signatures(docs: DataFrame, width: int, percent: int, range_bits: int, block: int = 1 << 19, attempt: int = 0) -> DataFrame:
@@ -173,21 +200,17 @@ def packed_signatures(docs: DataFrame, width: int, percent: int, range_bits: int
 
 
 def shared_signatures(packed: DataFrame, n_tasks: int) -> DataFrame:
-    """(sig, cid, n) of every signature that n > 1 classes have."""
+    """(sig, cid, n) of every signature that n > 1 classes have; a task takes one range at a time."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shared(slot: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
         sigs, cids = [], []
-        for batch in batches:
-            for slot, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                n = len(blob) // (LOW_BYTES + 8)
-                low = np.zeros((n, 8), np.uint8)
-                low[:, :LOW_BYTES] = np.frombuffer(blob, np.uint8, LOW_BYTES * n).reshape(n, LOW_BYTES)
-                sigs.append(low.view("<u8").ravel() | np.uint64(slot) << np.uint64(8 * LOW_BYTES))
-                cids.append(np.frombuffer(blob, "<i8", n, LOW_BYTES * n))
-        if not sigs:
-            return
+        for blob in blobs:
+            n = len(blob) // (LOW_BYTES + 8)
+            low = np.zeros((n, 8), np.uint8)
+            low[:, :LOW_BYTES] = np.frombuffer(blob, np.uint8, LOW_BYTES * n).reshape(n, LOW_BYTES)
+            sigs.append(low.view("<u8").ravel() | np.uint64(slot) << np.uint64(8 * LOW_BYTES))
+            cids.append(np.frombuffer(blob, "<i8", n, LOW_BYTES * n))
         sig, cid = np.concatenate(sigs), np.concatenate(cids)
-        sigs, cids = [], []
         order = np.argsort(sig, kind="stable")
         ordered = sig[order]
         same = ordered[1:] == ordered[:-1]
@@ -202,46 +225,117 @@ def shared_signatures(packed: DataFrame, n_tasks: int) -> DataFrame:
         first = np.flatnonzero(np.insert(sig[1:] != sig[:-1], 0, True))
         counts = np.diff(np.append(first, len(sig)))
         n = np.repeat(counts, counts)
-        for lo in range(0, len(sig), 1 << 18):
-            part = slice(lo, lo + (1 << 18))
+        for lo in range(0, len(sig), 1 << 16):
+            part = slice(lo, lo + (1 << 16))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(x[part][n[part] > 1]) for x in (sig.view(np.int64), cid, n)], names=["sig", "cid", "n"]
             )
 
-    return packed.repartition(n_tasks, "range").mapInArrow(run, "sig long, cid long, n long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:
+            for slot, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                if slot != at and held:
+                    yield from shared(at, held)
+                    held = []
+                at = slot
+                held.append(blob.as_py())
+        if held:
+            yield from shared(at, held)
+
+    return packed.repartition(n_tasks, "range").sortWithinPartitions("range").mapInArrow(run, "sig long, cid long, n long")
 
 
-def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(cid, hashes) of the wanted classes, once each, from the texts."""
+def looked_up(rows: DataFrame, small: DataFrame, on: str, how: str = "left") -> DataFrame:
+    """``rows`` joined with ``small``: sent to all tasks if it is known to be small, else joined with hot keys spread."""
+    if small.count() <= BROADCAST_CLASSES:
+        return rows.join(F.broadcast(small), on, how)
+    salted = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    spread = rows.withColumn("_salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+    return spread.join(salted, [on, "_salt"], how).drop("_salt")
+
+
+def sets_of(docs: DataFrame, members: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(cid, hashes) of the wanted classes, from the text of one document of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, sets, n = [], [], 0
             for _, hashes in shingle_sets(batch.column(0), width):
-                if len(hashes) >= LEAST:
-                    ids.append(class_id(hashes))
-                    sets.append(hashes.view(np.int64))
-                    n += len(hashes)
+                ids.append(class_id(hashes))
+                sets.append(hashes.view(np.int64))
+                n += len(hashes)
                 if n >= 1 << 18:
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["cid", "hashes"])
                     ids, sets, n = [], [], 0
             if ids:
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["cid", "hashes"])
 
-    found = docs.select("text").mapInArrow(run, "cid long, hashes array<long>")
-    few = wanted.count() <= BROADCAST_CLASSES
-    return found.join(F.broadcast(wanted) if few else wanted, "cid", "left_semi").dropDuplicates(["cid"])
+    one = members.groupBy("cid").agg(F.min("key").alias("key")).join(wanted, "cid", "left_semi").select("key")
+    texts = looked_up(docs, materialize(one, "wanted"), "key", "left_semi").select("text")
+    # documents equal in id and text have one key
+    return texts.mapInArrow(run, "cid long, hashes array<long>").dropDuplicates(["cid"])
 
 
-def verified(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+def verified(docs: DataFrame, members: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough, by exact intersection."""
-    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "wanted")
-    sets = materialize(sets_of(docs, wanted, width), "sets")
+    wanted = pairs.select("a").union(pairs.select("b")).distinct().toDF("cid")
+    sets = materialize(sets_of(docs, members, wanted, width), "sets")
     both = F.size(F.array_intersect("x", "y"))
     met = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     return met.filter(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
+def likely(pairs: DataFrame, kinds: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose profiles are near enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                sizes = batch.column(4).to_numpy() + batch.column(5).to_numpy()
+                keep = near(profiles(batch.column(2)), profiles(batch.column(3)), sizes, percent)
+                yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:2]], names=["a", "b"])
+
+    sides = [kinds.select(F.col("cid").alias(c), F.col("profile").alias(f"p{c}"), F.col("size").alias(f"s{c}")) for c in "ab"]
+    met = pairs.join(sides[0], "a").join(sides[1], "b")
+    return met.select("a", "b", "pa", "pb", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
+def likely_members(visits: DataFrame, labels: DataFrame, kinds: DataFrame, percent: int) -> DataFrame:
+    """(a, b): classes that visit a component, and its members near enough by profile.
+
+    ``visits`` (cid, other), ``labels`` (cid, label) of the components with
+    several classes.  Members are dealt to blocks by hash, and every block of a
+    component meets its visitors, these in blocks as well.
+    """
+    about = kinds.select("cid", "size", "profile")
+    parts = labels.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("parts"))
+    guests = visits.groupBy("other").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("shares"))
+    grid = guests.join(parts.withColumnRenamed("label", "other"), "other", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    alone = grid.select(F.col("other").alias("cid"), F.col("other")).join(labels, "cid", "left_anti")
+    hosts = labels.select("cid", F.col("label").alias("other")).unionByName(alone).join(grid, "other").join(about, "cid")
+    hosts = hosts.withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
+    hosts = hosts.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).select("other", "part", "share", "cid", "size", "profile")
+    hosts = hosts.toDF("host", "host_part", "host_share", "id", "n", "counts")
+    asking = visits.join(grid, "other").join(about, "cid")
+    asking = asking.withColumn("share", F.pmod(F.xxhash64("cid"), F.col("shares")).cast("int"))
+    asking = asking.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("other", "part", "share", "cid", "size", "profile")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b = [], []
+        if len(left) and len(right):
+            ids, sizes, counts = right.column("id").to_numpy(), right.column("n").to_numpy(), profiles(right.column("counts"))
+            for cid, size, count in zip(left.column("cid").to_numpy(), left.column("size").to_numpy(), profiles(left.column("profile")), strict=True):
+                hit = ids[near(counts, count, sizes + size, percent)]
+                a.append(np.minimum(hit, cid))
+                b.append(np.maximum(hit, cid))
+        none = [np.zeros(0, np.int64)]
+        return pa.table({"a": np.concatenate(a or none), "b": np.concatenate(b or none)})
+
+    both = asking.groupBy("other", "part", "share").cogroup(hosts.groupBy("host", "host_part", "host_share"))
+    return both.applyInArrow(run, "a long, b long").filter("a != b").distinct()
+
+
 def ranked(shared: DataFrame, kinds: DataFrame, percent: int) -> DataFrame:
     """``shared`` with what is known of its class: size, number of shared signatures, and whether it is a probe.
 
@@ -269,10 +363,11 @@ def candidate_links(docs: DataFrame, members: DataFrame, width: int, percent: in
     range_bits = max(LEAST_RANGE_BITS, (4 * n_tasks).bit_length())
     packed = packed_signatures(docs, width, percent, range_bits, attempt=attempt)
     shared = materialize(shared_signatures(packed, n_tasks), "signatures")
-    kinds = members.groupBy("cid").agg(
-        F.first("n_shingles").alias("size"), F.first("spare_band").alias("spare_band"), F.first("spare_window").alias("spare_window")
+    kinds = members.filter("profile IS NOT NULL").groupBy("cid").agg(
+        F.first("n_shingles").alias("size"), F.first("spare_band").alias("spare_band"), F.first("spare_window").alias("spare_window"), F.first("profile").alias("profile")
     )
-    rows = materialize(ranked(shared, kinds, percent), "ranked")
+    kinds = materialize(kinds, "kinds")
+    rows = materialize(ranked(shared, kinds.drop("profile"), percent), "ranked")
     fits = f"{percent} * greatest(x.size, y.size) <= 100 * least(x.size, y.size)"
     # with parts of one feature the intersection is at most what either class shares with others
     may = f"(NOT x.single OR {100 + percent} * least(x.held, y.held) >= {percent} * (x.size + y.size))"
@@ -282,25 +377,26 @@ def candidate_links(docs: DataFrame, members: DataFrame, width: int, percent: in
     centre = materialize(centre.select("sig", "c.cid", "c.size", "c.held"), "centres")
     stars = rows.filter("probe").alias("x").join(centre.alias("y"), "sig").filter(f"x.cid != y.cid AND {fits} AND {may}")
     stars = stars.select(F.col("y.cid").alias("a"), F.col("x.cid").alias("b")).distinct()
-    links = materialize(verified(docs, materialize(stars, "stars"), width, percent), "links")
+    stars = materialize(likely(stars, kinds, percent), "stars")
+    links = materialize(verified(docs, members, stars, width, percent), "links")
 
     # classes of the probes' signatures, by component
-    labels = connected(links).withColumnRenamed("node", "cid")
+    labels = materialize(connected(links).withColumnRenamed("node", "cid"), "labels")
     placed = rows.join(centre.select("sig", F.col("cid").alias("rep")), "sig").join(labels, "cid", "left")
     placed = materialize(placed.withColumn("comp", F.coalesce("label", "cid")).drop("label", "common"), "placed")
     several = placed.groupBy("sig", "comp").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.max("held").alias("held"))
     mixed = several.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("sig")
     several = several.join(mixed, "sig", "left_semi").select("sig", F.col("comp").alias("other"), "low", "high", F.col("held").alias("most"))
-    # a probe is the smaller set of its pairs: first the components it has to meet, then their classes
+    # a probe is the smaller set of its pairs: the components it has to meet
     asking = placed.filter("probe").join(several, "sig").filter(
         f"comp != other AND high >= size AND {percent} * low <= 100 * size"
         f" AND (NOT single OR {100 + percent} * least(held, most) >= {2 * percent} * size)"
     )
-    answering = placed.select("sig", F.col("comp").alias("other"), "cid", "size", "held", "single")
-    met = asking.alias("x").join(answering.alias("y"), ["sig", "other"]).filter(f"y.size >= x.size AND y.cid != x.rep AND {fits} AND {may}")
-    pairs = met.select(F.least("x.cid", "y.cid").alias("a"), F.greatest("x.cid", "y.cid").alias("b")).distinct()
-    rest = materialize(pairs, "rest")
-    return links if rest.isEmpty() else links.union(verified(docs, rest, width, percent))
+    visits = materialize(asking.select("cid", "other").distinct(), "visits")
+    if visits.isEmpty():
+        return links
+    rest = materialize(likely_members(visits, labels, kinds, percent), "rest")
+    return links if rest.isEmpty() else links.union(verified(docs, members, rest, width, percent))
 
 
 def _placed(source: DataFrame, width: int, percent: int, task_bytes: int) -> DataFrame:
@@ -316,13 +412,13 @@ def _placed(source: DataFrame, width: int, percent: int, task_bytes: int) -> Dat
     least = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n_tasks = max(least, int(n * 0.65 * (LOW_BYTES + 8) / task_bytes) + 1)
     links = candidate_links(source, members.filter("cid IS NOT NULL"), width, percent, n_tasks, attempt)
-    labels = materialize(connected(links), "labels")
-    placed = members.join(labels.withColumnRenamed("node", "cid"), "cid", "left")
+    labels = materialize(connected(links).withColumnRenamed("node", "cid"), "labels")
+    placed = looked_up(members.select("doc_id", "key", "n_shingles", "cid"), labels, "cid")
     return placed.withColumn("comp", F.coalesce("label", "cid")).drop("label")
 
 
 def row_key(id_col: str, text_col: str):
-    return F.xxhash64(F.col(id_col), F.col(text_col))
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
 
 
 def jaccard_components(
@@ -339,9 +435,9 @@ def jaccard_components(
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("key"))
     placed = _placed(source, width, percent, task_bytes)
-    smallest = placed.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("_first"))
-    out = placed.join(smallest, "comp", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("comp").isNull(), F.col("doc_id")).otherwise(F.col("_first")).alias("component_id"))
+    several = placed.filter("comp IS NOT NULL").groupBy("comp").agg(F.min("doc_id").alias("_first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    out = looked_up(placed, materialize(several.select("comp", "_first"), "smallest"), "comp")
+    return out.select("doc_id", "n_shingles", F.coalesce("_first", "doc_id").alias("component_id"))
 
 
 def keep_one(
@@ -350,24 +446,24 @@ def keep_one(
     """``docs`` with one document of each component: the one with the smallest id.
 
     Documents without words all stay.  Of rows equal in id and text one stays;
-    null ids sort last.
+    null ids sort last.  Columns keep their names and values, whatever they are
+    called; an empty table gives no rows; null texts have no words.
     """
-    key = row_key(id_col, text_col)
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), key.alias("key"))
+    names = docs.columns
+    inner = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    doc_id, text = F.col(f"c{names.index(id_col)}").cast("long"), F.col(f"c{names.index(text_col)}")
+    inner = inner.withColumns({"key": F.xxhash64(doc_id, text), "doc_id": F.coalesce(doc_id, F.lit(-(1 << 63)))})
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
     placed = _placed(source, width, percent, task_bytes).filter("comp IS NOT NULL")
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("i"), F.col("key").alias("k"))
-    first = placed.groupBy("comp").agg(F.min(order).alias("first"))
-    rows = placed.join(first, "comp").select("doc_id", "key", (F.col("first.k") == F.col("key")).alias("same"), F.col("first.i").alias("i"))
-    gone = materialize(
-        rows.filter(~(F.col("same") & F.col("doc_id").eqNullSafe(F.col("i")))).select(F.col("key").alias("_key"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_id")).distinct(), "gone"
-    )
-    again = materialize(
-        placed.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("key").alias("_key")).distinct(), "again"
-    )
-    few = gone.count() <= BROADCAST_CLASSES
-    keyed = docs.withColumns({"_key": key, "_id": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))})
-    left = keyed.join(F.broadcast(gone) if few else gone, ["_key", "_id"], "left_anti")
-    if again.isEmpty():
-        return left.select(*docs.columns)
-    repeated = left.join(again, "_key", "left_semi").dropDuplicates(["_key", "_id"])
-    return left.join(again, "_key", "left_anti").unionByName(repeated).select(*docs.columns)
+    several = placed.groupBy("comp").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    several = materialize(several.select("comp", F.col("first.i").alias("i"), F.col("first.k").alias("k")), "several")
+    rows = looked_up(placed, several, "comp", "inner")
+    gone = rows.filter(~(F.col("k") == F.col("key")) | ~F.col("doc_id").eqNullSafe(F.col("i")))
+    gone = materialize(gone.select("key", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id")).distinct(), "gone")
+    again = materialize(placed.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key").distinct(), "again")
+    left = inner.join(F.broadcast(gone) if gone.count() <= BROADCAST_CLASSES else gone, ["key", "doc_id"], "left_anti")
+    if not again.isEmpty():
+        repeated = left.join(again, "key", "left_semi").dropDuplicates(["key", "doc_id"])
+        left = left.join(again, "key", "left_anti").unionByName(repeated)
+    return left.select(*[f"c{i}" for i in range(len(names))]).toDF(*names)

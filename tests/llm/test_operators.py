@@ -303,6 +303,42 @@ def test_jaccard_of_a_set_with_too_few_parts(shape):
     assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5}
 
 
+@pytest.mark.parametrize("members", [3, 4096])
+def test_jaccard_of_a_large_family(shape, monkeypatch, members):
+    """Copies with more and more edits, some near to each other only; a component is compared in several blocks."""
+    monkeypatch.setattr(jaccard, "MEMBERS", members)
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(120)]
+
+    def edited(n):
+        text = list(base)
+        for at in rng.sample(range(120), n):
+            text[at] = f"e{rng.randint(0, 10**9)}"
+        return text
+
+    rows = [(i, " ".join(edited(i % 6))) for i in range(60)]
+    for i in range(12):
+        far = edited(5)
+        rows += [(100 + 2 * i, " ".join(far)), (101 + 2 * i, " ".join([*far, "x", "y"]))]
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(shape(rows)).collect()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in rows if (w := t.split())}
+    label = {i: i for i in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if label[a] != label[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    label[a] = label[b] = min(label[a], label[b])
+    assert got == label and 1 < len(set(label.values())) < 60
+
+
+def test_keep_one_keeps_clashing_columns(spark):
+    rows = [(1, "a b c d e f", "k1", 1), (2, "a b c d e f", "k2", 2), (3, None, "k3", 3), (4, "", "k4", 4)]
+    for names in ("doc_id long, text string, _key string, _id int", "doc_id long, text string, key string, comp int", "doc_id long, text string, cid string, c0 int"):
+        table = spark.createDataFrame(rows, names)
+        assert sorted(map(tuple, jaccard.keep_one(table).collect())) == [rows[0], rows[2], rows[3]]
+    assert jaccard.keep_one(table.limit(0)).columns == table.columns
+
+
 def test_jaccard_edges(shape):
     got = jaccard.jaccard_components(shape([(None, "a b c d e f"), (None, "a b c d e f"), (7, "A b c d e f"), (None, "q")])).collect()
     assert sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in got) == [(-1, 1, -1), (-1, 2, 7), (-1, 2, 7), (7, 2, 7)]
