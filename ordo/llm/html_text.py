@@ -1,23 +1,26 @@
 """Main text of web pages: tag events, text-to-tag ratio, smoothing, clusters.
 
 The standard-library parser streams a page as events.  Block tags cut it into
-lines; each line knows its text, the tags seen since the line before, and the
-section it stands in.  The text-to-tag ratio per line is smoothed with a
-Gaussian and split into two clusters at the threshold halfway between their
-means (iterated); lines above it choose the content region: all ``article``
-and ``main`` elements if one of the lines stands in one, else the innermost
-``div``, ``section`` or the like that holds all of them that are dense by
-themselves, not only by their neighbours.  All lines of the region are kept,
-short ones too (list items, table cells, quotations), and so are lines above
-the threshold beside it, so nothing of an article is dropped.
+lines; each line knows its text, the tags seen since the line before, how much
+of it is links, and the section it stands in.  The text-to-tag ratio per line is
+smoothed with a Gaussian and split into two clusters at the threshold halfway
+between their means (iterated).
+
+All ``article`` and ``main`` elements are content.  What stands outside them
+comes along only where lines above the threshold hold more than ``OUTWEIGHS``
+times their text.  On a page without them the lines above the threshold that are
+dense by themselves choose the innermost ``div``, ``section`` or the like that
+holds them all, and every line in it is kept; beside it, so are lines above the
+threshold and all lines of sections that are not mostly links.  So nothing of an
+article is dropped, short parts included (list items, table cells, quotations).
 
 Parts that are never content are skipped while parsing: scripts, styles,
 forms, navigation, asides, page headers and footers, and elements whose class,
-id or role says advert, menu, notice, sidebar or comments (a whole class name,
-or one put together of such words only).  On a page without another ``article``
-or ``main``, those inside a marked element or form are read (not among
-comments).  A page of which nothing is left is read again with marks and forms
-ignored.
+id or role says advert, menu, notice, sidebar or comments: a name put together
+of such words, alone or with words of place and form (``ad-slot``,
+``site-footer``).  On a page without another ``article`` or ``main``, those
+inside a marked element or form are read (not among comments).  A page of which
+nothing is left is read again with marks and forms ignored.
 """
 
 from __future__ import annotations
@@ -55,6 +58,15 @@ NOT_CONTENT = frozenset(
 )
 #: Of these, the words that mark what readers wrote; an ``article`` inside is a comment.
 COMMENTS = frozenset("comment comments commentlist disqus replies respond".split())
+#: Words of place and form that a marking word may stand with.
+NEUTRAL = frozenset(
+    "site page main left right top bottom list box bar slot block unit item items link links area section container wrapper wrap "
+    "inner outer user users global primary secondary header head panel group row col zone space".split()
+)
+#: Names of headers of the whole site.
+SITE_HEADERS = (frozenset(("site", "header")), frozenset(("global", "header")), frozenset(("top", "header")))
+OUTWEIGHS = 2  # times the text of articles that other text must have to come along
+LINKS = 0.5  # share of a section's text in links from which it is a menu
 #: Elements of a head; any other one ends it.
 IN_HEAD = frozenset("base basefont bgsound link meta noscript script style template title head".split())
 WORD = re.compile(r"[A-Za-z]+")
@@ -78,8 +90,8 @@ def marked(attrs: list[tuple[str, str | None]], region: bool = False) -> int:
     for name, value in attrs:
         if name in ("class", "id", "role") and value:
             for token in value.split():
-                parts = [token.lower()] if region else WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", token).lower())
-                if parts and NOT_CONTENT.issuperset(parts):
+                parts = frozenset([token.lower()] if region else WORD.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", token).lower()))
+                if parts & NOT_CONTENT and parts <= NOT_CONTENT | NEUTRAL or any(parts >= h for h in SITE_HEADERS) and parts <= NEUTRAL:
                     found = max(found, MARKED if COMMENTS.isdisjoint(parts) else GONE)
         elif name in ("hidden",) or name == "aria-hidden" and value == "true":
             return GONE
@@ -87,7 +99,10 @@ def marked(attrs: list[tuple[str, str | None]], region: bool = False) -> int:
 
 
 class LineParser(HTMLParser):
-    """Collects lines (text, tags before it, in a region or not, section) from parser events.
+    """Collects lines (text, tags before it, in a region or not, section, characters in links) from parser events.
+
+    The places of open elements are kept by tag, so that no event searches the
+    stack, however many elements are left open.
 
     ``inner``: the lines that stand in a region inside a marked element, as
     places in ``lines``.  ``loose``: marks and forms are ignored.
@@ -97,9 +112,12 @@ class LineParser(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.loose = loose
         self.inner: list[int] = []
-        self.lines: list[tuple[str, int, bool, int]] = []
+        self.lines: list[tuple[str, int, bool, int, int]] = []
         self.open: list[tuple[str, int, int, int]] = []  # tag, element number, SHOWN, MARKED or GONE, marked elements it puts aside
+        self.at: dict[str, list[int]] = {}  # places in ``open`` of each tag
+        self.blocks: list[int] = []  # places in ``open`` of block elements
         self.pieces: list[str] = []
+        self.linked = 0  # characters in links since the last line
         self.n_elements = 0
         self.tags = 0
         self.gone = 0  # open elements that are GONE
@@ -119,16 +137,19 @@ class LineParser(HTMLParser):
 
     def end_line(self) -> None:
         if self.pieces:
-            text = " ".join("".join(self.pieces).split())
-            self.pieces = []
+            text, linked = " ".join("".join(self.pieces).split()), self.linked
+            self.pieces, self.linked = [], 0
             if text:
                 if self.aside:
                     self.inner.append(len(self.lines))
-                self.lines.append((text, self.tags, self.regions > 0, self.sections[-1]))
+                self.lines.append((text, self.tags, self.regions > 0, self.sections[-1], linked))
                 self.tags = 0
 
     def _pop(self) -> None:
         tag, number, kind, put_aside = self.open.pop()
+        self.at[tag].pop()
+        if tag in BLOCKS:
+            self.blocks.pop()
         self.gone -= kind == GONE
         self.marked -= kind == MARKED
         self.marked += put_aside
@@ -139,7 +160,7 @@ class LineParser(HTMLParser):
             self.sections.pop()
 
     def _end_head(self) -> None:
-        while any(t == "head" for t, *_ in self.open):
+        while self.at.get("head"):
             self._pop()
 
     def handle_starttag(self, tag, attrs) -> None:
@@ -152,9 +173,10 @@ class LineParser(HTMLParser):
             while self.open and tag in CLOSED_BY.get(self.open[-1][0], ()):
                 self._pop()
             # an unclosed inline element does not outlive its paragraph
-            inline = [i for i, (t, *_) in enumerate(self.open) if t == "p"]
-            if inline and tag in BLOCKS and not any(t in BLOCKS for t, *_ in self.open[inline[-1] + 1 :]):
-                while len(self.open) > inline[-1]:
+            paragraph = self.at.get("p")
+            if paragraph and tag in BLOCKS and self.blocks[-1] == paragraph[-1]:
+                end = paragraph[-1]
+                while len(self.open) > end:
                     self._pop()
         if tag == "br":
             self.pieces.append(" ")
@@ -172,6 +194,9 @@ class LineParser(HTMLParser):
                 kind = SHOWN
         # an article or main is read even inside a marked element
         put_aside = self.marked if tag in REGIONS and kind == SHOWN else 0
+        self.at.setdefault(tag, []).append(len(self.open))
+        if tag in BLOCKS:
+            self.blocks.append(len(self.open))
         self.open.append((tag, self.n_elements, kind, put_aside))
         self.gone += kind == GONE
         self.marked += (kind == MARKED) - put_aside
@@ -185,13 +210,14 @@ class LineParser(HTMLParser):
         self.tags += 1
         if tag in BLOCKS or tag in SKIPPED:
             self.end_line()
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                while len(self.open) > i:
-                    self._pop()
-                return
-            if self.open[i][0] in BLOCKS and tag not in BLOCKS and tag not in SKIPPED:
-                return  # an inline end tag does not close blocks
+        places = self.at.get(tag)
+        if not places:
+            return
+        if tag not in BLOCKS and tag not in SKIPPED and self.blocks and self.blocks[-1] > places[-1]:
+            return  # an inline end tag does not close blocks
+        end = places[-1]
+        while len(self.open) > end:
+            self._pop()
 
     def handle_startendtag(self, tag, attrs) -> None:
         self.handle_starttag(tag, attrs)
@@ -203,6 +229,8 @@ class LineParser(HTMLParser):
             self._end_head()  # text is no part of a head either
         if not self.gone and not self.marked:
             self.pieces.append(data)
+            if self.at.get("a"):
+                self.linked += len(data.strip())
 
 
 def smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:
@@ -236,7 +264,7 @@ def parsed(html: str, loose: bool = False) -> LineParser:
     parser.close()
     parser.end_line()
     inner = set(parser.inner)
-    if any(in_region and i not in inner for i, (_, _, in_region, _) in enumerate(parser.lines)):
+    if any(line[2] and i not in inner for i, line in enumerate(parser.lines)):
         parser.lines = [line for i, line in enumerate(parser.lines) if i not in inner]
         inner = set()
     parser.inner = sorted(inner)
@@ -253,17 +281,25 @@ def main_text(html: str | None, sigma: float = 1.0) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    ratio = np.array([len(text) / max(1, tags) for text, tags, _, _ in lines])
+    ratio = np.array([len(text) / max(1, tags) for text, tags, *_ in lines])
     score = smoothed(ratio, sigma)
     cut = two_clusters(score)
     chosen = score >= cut
-    regions = {in_region for (_, _, in_region, _), yes in zip(lines, chosen, strict=True) if yes}
+    inside = np.array([line[2] for line in lines])
+    sizes = np.array([len(line[0]) for line in lines])
     # an article inside a marked element does not displace other text
-    if regions == {True} or True in regions and not parser.inner:
-        return "\n".join(text for text, _, in_region, _ in lines if in_region)
+    if inside.any() and sizes[chosen & ~inside].sum() <= OUTWEIGHS * sizes[inside].sum() and not (parser.inner and (chosen & ~inside).any()):
+        return "\n".join(line[0] for line in lines if line[2])
     dense = chosen & (ratio >= cut)
     first, last = parser.common_section([lines[i][3] for i in np.flatnonzero(dense if dense.any() else chosen)])
-    return "\n".join(text for (text, _, _, section), yes in zip(lines, chosen, strict=True) if yes or first <= section <= last)
+    in_links: dict[int, list[int]] = {}
+    for text, _, _, section, linked in lines:
+        held = in_links.setdefault(section, [0, 0])
+        held[0] += linked
+        held[1] += len(text)
+    menus = {section for section, (linked, size) in in_links.items() if linked > LINKS * size}
+    kept = [line[2] or yes or first <= line[3] <= last or line[3] not in menus for line, yes in zip(lines, chosen, strict=True)]
+    return "\n".join(line[0] for line, yes in zip(lines, kept, strict=True) if yes)
 
 
 def extract_pages(

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import public_tokenizers
@@ -131,6 +132,36 @@ def test_main_text_of_marked_wrappers_and_open_heads():
     assert html_text.main_text(f"<div><p>{long}<p>end</div><div id=comments>{teaser}</div>") == f"{long}\nend"
 
 
+def test_main_text_without_clear_clusters():
+    """Paragraphs of about one length, short sections, short articles: nothing of them goes."""
+    long = ("word " * 40).strip()
+    for n in (2, 3, 4, 5):
+        parts = [f"{long} {'more ' * i}end" for i in range(n)]
+        assert html_text.main_text("<body>" + "".join(f"<div><p>{t}</p></div>" for t in parts)) == "\n".join(parts)
+    page = f"<body><div><h2>Head A</h2><p>{long}</p></div><div><h2>Head B</h2><p>short</p></div>"
+    assert html_text.main_text(page) == f"Head A\n{long}\nHead B\nshort"
+    page = "<body><article><h1>T</h1><p>short one</p></article><div><p>some text that is longer</p></div>"
+    assert html_text.main_text(page).startswith("T\nshort one")
+    assert html_text.main_text(f"<article><h1>T</h1><p>{long}</p></article><div><p>{long}</p></div>") == f"T\n{long}"
+
+
+def test_main_text_leaves_out_marked_names():
+    long = ("word " * 40).strip()
+    names = "site-header site-footer sidebar-left comment-list user-comments ad-slot advert-box cookie-bar main-nav siteFooter ad_unit".split()
+    for name in names:
+        for attr in ("class", "id"):
+            assert html_text.main_text(f"<body><div {attr}={name}><p>{long} no</p></div><div><p>{long}</p><p>end</p></div>") == f"{long}\nend", name
+    for name in ("entry-header", "article-list", "main", "container", "left-column", "read-more", "page-title"):
+        assert html_text.main_text(f"<body><div class={name}><p>{long}</p></div>") == long
+
+
+def test_main_text_of_unclosed_tags_is_linear():
+    for page in ("<ul><li>a" * 100_000, "<b>" * 100_000 + "</i>" * 100_000, "<i><div>" + "<b>" * 50_000 + "</i>" * 100_000, "<p><b>x" * 100_000 + "</div>" * 100_000):
+        began = time.process_time()
+        html_text.main_text(page)
+        assert time.process_time() - began < 8
+
+
 def test_pages_keep_rows(spark):
     rows = [(1, "u", "<article><p>some text of a page</article>"), (1, "u", None), (None, None, ""), (2, "u", "<p>cut &am")]
     got = html_text.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
