@@ -100,3 +100,74 @@ def csv_roundtrip(spark, sf):
     back = R.read_csv(spark, path, converters={"event_id": "long", "user_id": "long", "value": "double"},
                       parse_dates={"ts": "yyyy-MM-dd HH:mm:ss.SSSSSS"})
     return back.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+_PREV = "SELECT event_id, user_id, event_type, ts, value, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS prev, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS prev_type FROM events"
+_DAY = "PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 86399999999 MICROSECOND PRECEDING AND CURRENT ROW"
+
+
+def _previous(spark, sf):
+    from ..operators import windows as W
+
+    e = T(spark, sf, "events").select("event_id", "user_id", "event_type", "ts", "value")
+    return W.lagged(e, {"prev": (F.col("value"), 1, None), "prev_type": (F.col("event_type"), 1, None)}, "user_id", "event_id")
+
+
+@query(
+    "time_rolling_metric",
+    sql=f"""
+WITH p AS ({_PREV})
+SELECT event_id, {Q6("coalesce(avg(abs(value - prev)) OVER d, 0)")} AS mae, {Q6("coalesce(sqrt(avg(pow(value - prev, 2)) OVER d), 0)")} AS rmse,
+  {Q6("coalesce(avg(CASE WHEN prev_type IS NOT NULL THEN CAST(event_type = prev_type AS DOUBLE) END) OVER d, 0)")} AS accuracy
+FROM p WINDOW d AS ({_DAY})
+""",
+)
+def time_rolling_metric(spark, sf):
+    """Errors of the no-change forecast over each user's last day, as of every event."""
+    from ..operators import metrics as M
+
+    rows = _previous(spark, sf)
+    for name in ("mae", "rmse"):
+        rows = M.time_rolling_metric(rows, name, "value", "prev", "ts", 86_400_000_000, "user_id")
+    rows = M.time_rolling_metric(rows, "accuracy", "event_type", "prev_type", "ts", 86_400_000_000, "user_id")
+    return rows.select("event_id", q6("mae").alias("mae"), q6("rmse").alias("rmse"), q6("accuracy").alias("accuracy"))
+
+
+@query(
+    "rolling_binary_metrics",
+    sql=f"""
+WITH p AS ({_PREV}), c AS (SELECT event_id, event_type, CAST(event_type = 'click' AND prev_type = 'click' AS INT) AS tp, CAST(event_type <> 'click' AND prev_type = 'click' AS INT) AS fp,
+  CAST(event_type = 'click' AND prev_type <> 'click' AS INT) AS fn FROM p),
+s AS (SELECT event_id, coalesce(sum(tp) OVER w, 0) AS tp, coalesce(sum(fp) OVER w, 0) AS fp, coalesce(sum(fn) OVER w, 0) AS fn FROM c
+  WINDOW w AS (ORDER BY event_id ROWS BETWEEN 499 PRECEDING AND CURRENT ROW))
+SELECT event_id, {Q6("coalesce(tp / nullif(tp + fp, 0), 0)")} AS precision, {Q6("coalesce(tp / nullif(tp + fn, 0), 0)")} AS recall,
+  {Q6("coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0)")} AS f1 FROM s
+""",
+)
+def rolling_binary_metrics(spark, sf):
+    """Precision, recall and F1 of repeating the user's last event type, for clicks, over the last 500 events of all users."""
+    from ..operators import metrics as M
+
+    rows = _previous(spark, sf)
+    for name in ("precision", "recall", "f1"):
+        rows = M.rolling_metric(rows, name, "event_type", "prev_type", "event_id", 500, positive="click")
+    return rows.select("event_id", *[q6(n).alias(n) for n in ("precision", "recall", "f1")])
+
+
+@query(
+    "time_rolling_distribution",
+    sql=f"""
+SELECT event_id, {Q6(f"CAST(count(*) OVER (PARTITION BY user_id, event_type ORDER BY ts RANGE BETWEEN INTERVAL 86399999999 MICROSECOND PRECEDING AND CURRENT ROW) AS DOUBLE) / count(*) OVER ({_DAY})")} AS share,
+  {Q6(f"avg(value) OVER ({_DAY})")} AS mu, {Q6(f"coalesce(var_samp(value) OVER ({_DAY}), 0)")} AS sigma2
+FROM events
+""",
+)
+def time_rolling_distribution(spark, sf):
+    """Share of each event's type, and the mean and variance of the values, among its user's events of the last day."""
+    from ..functions.stats import Stat
+    from ..operators import distributions as D, windows as W
+
+    e = T(spark, sf, "events").select("event_id", "user_id", "event_type", "ts", "value")
+    rows = D.time_rolling_share(e, "event_type", 86_400_000_000, "ts", "user_id")
+    rows = W.time_rolling(rows, {"mu": Stat.of("mean", "value"), "sigma2": Stat.of("var", "value")}, 86_400_000_000, "ts", "user_id")
+    return rows.select("event_id", q6("share").alias("share"), q6("mu").alias("mu"), q6("sigma2").alias("sigma2"))

@@ -11,31 +11,60 @@ from ..queries import Q6, T, q6, query
 _TOK = f"regexp_extract_all(lower(text), '{TX.TOKEN_PATTERN}')"
 
 
-@query(
-    "naive_bayes_multinomial",
-    headline=True,
-    sql=f"""
-WITH b AS (SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest({_TOK}) AS term FROM documents) GROUP BY 1, 2),
-lab AS (SELECT b.*, d.lang FROM b JOIN documents d USING (doc_id)),
-tc AS (SELECT term, lang, sum(n) AS n_ct FROM lab GROUP BY 1, 2),
-v AS (SELECT count(DISTINCT term) AS V FROM b),
-cls AS (SELECT d.lang, count(*) AS docs_c, (SELECT sum(n) FROM lab WHERE lab.lang = d.lang) AS n_c FROM documents d GROUP BY d.lang),
-cl2 AS (SELECT lang, ln(docs_c / (SELECT sum(docs_c) FROM cls)) AS lp, ln(1.0 / (coalesce(n_c, 0) + 1.0 * (SELECT V FROM v))) AS lu FROM cls),
-nd AS (SELECT doc_id, sum(n) AS n_d FROM b GROUP BY 1),
-base AS (SELECT nd.doc_id, cl2.lang, cl2.lp + nd.n_d * cl2.lu AS base FROM nd, cl2),
-seen AS (SELECT b.doc_id, tc.lang, sum(b.n * (ln(tc.n_ct + 1.0) - ln(1.0))) AS seen FROM b JOIN tc USING (term) GROUP BY 1, 2),
-sc AS (SELECT base.doc_id, base.lang, base.base + coalesce(seen.seen, 0.0) AS score
-       FROM base LEFT JOIN seen ON base.doc_id = seen.doc_id AND base.lang = seen.lang)
-SELECT doc_id, arg_max(lang, score) AS y_pred, {Q6("max(score)")} AS score FROM sc GROUP BY doc_id
-""",
-)
-def naive_bayes_multinomial(spark, sf):
-    """Multinomial naive Bayes (alpha 1) on bag-of-words: language of each document."""
-    docs = T(spark, sf, "documents").select("doc_id", "text", "lang")
+_FOLDS = 3
+_COUNTS = f"""
+WITH b AS (SELECT doc_id, term, CAST(count(*) AS DOUBLE) AS n FROM (SELECT doc_id, unnest({_TOK}) AS term FROM documents) GROUP BY 1, 2),
+l AS (SELECT b.*, d.lang AS y, d.doc_id % {_FOLDS} AS fold FROM b JOIN documents d USING (doc_id)),
+fs AS (SELECT DISTINCT fold FROM l),
+p AS (SELECT fs.fold, term, y, sum(n) AS n, CAST(count(*) AS DOUBLE) AS d FROM l JOIN fs ON fs.fold <> l.fold GROUP BY 1, 2, 3),
+t AS (SELECT fold, term, sum(n) AS t FROM p GROUP BY 1, 2),
+z AS (SELECT fold, count(*) AS v, sum(t) AS t FROM t GROUP BY 1),
+c AS (SELECT fs.fold, lang AS y, CAST(count(*) AS DOUBLE) AS docs FROM documents d JOIN fs ON fs.fold <> d.doc_id % {_FOLDS} GROUP BY 1, 2),
+k AS (SELECT c.*, ln(docs / sum(docs) OVER (PARTITION BY c.fold)) AS prior, z.v, z.t, (SELECT sum(n) FROM p WHERE p.fold = c.fold AND p.y = c.y) AS n_c FROM c JOIN z USING (fold))"""
+_BEST = f"""
+SELECT doc_id, arg_max(y, score) AS y_pred, {Q6("max(score)")} AS score,
+  {Q6("1 / sum(exp(score - top))")} AS proba FROM (SELECT *, max(score) OVER (PARTITION BY doc_id) AS top FROM s) GROUP BY doc_id"""
+_NB_SQL = {
+    "multinomial": """,
+s AS (SELECT l.doc_id, k.y, any_value(prior) + sum(l.n * ln((coalesce(p.n, 0) + 1) / (k.n_c + k.v))) AS score
+      FROM l JOIN k ON k.fold = l.fold LEFT JOIN p ON p.fold = l.fold AND p.term = l.term AND p.y = k.y GROUP BY 1, 2)""",
+    "bernoulli": """,
+g AS (SELECT t.fold, t.term, k.y, (coalesce(p.d, 0) + 1) / (k.docs + 2) AS q FROM t JOIN k ON k.fold = t.fold
+      LEFT JOIN p ON p.fold = t.fold AND p.term = t.term AND p.y = k.y),
+a AS (SELECT fold, y, sum(ln(1e-9 + (1 - q))) AS absent FROM g GROUP BY 1, 2),
+w AS (SELECT l.doc_id, g.y, sum(ln(1e-9 + q) - ln(1e-9 + (1 - q))) AS won FROM l JOIN g ON g.fold = l.fold AND g.term = l.term GROUP BY 1, 2),
+s AS (SELECT d.doc_id, k.y, k.prior + a.absent + coalesce(won, 0) AS score FROM (SELECT DISTINCT doc_id, fold FROM l) d JOIN k ON k.fold = d.fold
+      JOIN a ON a.fold = k.fold AND a.y = k.y LEFT JOIN w ON w.doc_id = d.doc_id AND w.y = k.y)""",
+    "complement": """,
+s AS (SELECT l.doc_id, k.y, sum(-l.n * ln((coalesce(t.t, 0) - coalesce(p.n, 0) + 1) / (k.t + k.v - k.n_c))) AS score
+      FROM l JOIN k ON k.fold = l.fold LEFT JOIN t ON t.fold = l.fold AND t.term = l.term
+      LEFT JOIN p ON p.fold = l.fold AND p.term = l.term AND p.y = k.y GROUP BY 1, 2)""",
+}
+
+
+def _naive_bayes(spark, sf, kind):
+    docs = T(spark, sf, "documents").select("doc_id", "text", "lang", (F.col("doc_id") % _FOLDS).alias("fold"))
     bow = X.bag_of_words(docs, "doc_id", "text")
-    cls, tc = L.multinomial_nb_fit(bow, docs.select("doc_id", "lang"), "doc_id", "lang", alpha=1.0)
-    pred = L.multinomial_nb_predict(bow, cls, tc, "doc_id", "lang")
-    return pred.select("doc_id", "y_pred", q6("score").alias("score"))
+    pred = L.naive_bayes(bow, docs, "doc_id", "lang", kind, fold="fold")
+    return pred.select("doc_id", "y_pred", q6("score").alias("score"), q6("proba").alias("proba"))
+
+
+@query("naive_bayes_multinomial", headline=True, sql=_COUNTS + _NB_SQL["multinomial"] + _BEST)
+def naive_bayes_multinomial(spark, sf):
+    """Language of every document by multinomial naive Bayes over all terms, fitted on the other two thirds of the documents."""
+    return _naive_bayes(spark, sf, "multinomial")
+
+
+@query("naive_bayes_bernoulli", sql=_COUNTS + _NB_SQL["bernoulli"] + _BEST)
+def naive_bayes_bernoulli(spark, sf):
+    """The same with terms that are there or not."""
+    return _naive_bayes(spark, sf, "bernoulli")
+
+
+@query("naive_bayes_complement", sql=_COUNTS + _NB_SQL["complement"] + _BEST)
+def naive_bayes_complement(spark, sf):
+    """The same from the counts of all other classes."""
+    return _naive_bayes(spark, sf, "complement")
 
 
 @query(

@@ -205,7 +205,7 @@ def regression_metrics(spark, sf):
     return out.select(*[q6(c).alias(c) for c in ("mae", "mse", "rmse", "rmsle", "smape", "r2")])
 
 
-_CL_PRED = "(CASE WHEN embedding[1] > 0 THEN 1 ELSE 0 END + CASE WHEN embedding[2] > 0 THEN 2 ELSE 0 END)"
+_CL_PRED = "list_position(embedding, list_max(embedding))"
 
 
 @query(
@@ -237,9 +237,9 @@ FROM y
 """,
 )
 def clustering_metrics(spark, sf):
-    """Rand / ARI / MI / NMI / homogeneity / completeness / V / Fowlkes-Mallows."""
+    """Rand / ARI / MI / NMI / homogeneity / completeness / V / Fowlkes-Mallows of the greatest component as a cluster."""
     e = T(spark, sf, "embeddings").select("label", "embedding")
-    pred = (F.when(F.col("embedding")[0] > 0, 1).otherwise(0) + F.when(F.col("embedding")[1] > 0, 2).otherwise(0))
+    pred = F.array_position("embedding", F.array_max("embedding"))
     out = M.clustering_metrics(e.withColumn("pred", pred), "label", "pred")
     return out.select(*[q6(c).alias(c) for c in out.columns])
 

@@ -119,23 +119,19 @@ def row_transforms(spark, sf):
                      *[q6(F.col(f"`{c}`")).alias(c) for c in poly], "price_clipped")
 
 
-_TYPES = ["click", "error", "purchase", "signup", "view"]
-
-
 @query(
     "one_hot_running",
-    sql="SELECT event_id, event_type, "
-    + ", ".join(
-        f"CASE WHEN event_type = '{v}' THEN 1 WHEN max(CASE WHEN event_type = '{v}' THEN 1 ELSE 0 END) "
-        f"OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) > 0 THEN 0 END AS event_type_{v}"
-        for v in _TYPES)
-    + " FROM events",
+    sql="""
+WITH f AS (SELECT event_type AS category, min(event_id) AS first FROM events WHERE event_type IS NOT NULL GROUP BY 1)
+SELECT event_id, category, CAST(event_type = category AS INTEGER) AS value FROM events JOIN f ON event_id >= first
+""",
 )
 def one_hot_running(spark, sf):
-    """Dense one-hot: 1 for the row's type, 0 for types seen before, NULL otherwise."""
+    """Dense one-hot of all types: 1 for the row's type, 0 for types seen before, one row each."""
     e = T(spark, sf, "events").select("event_id", "event_type")
-    out = compose.one_hot_dense(e, "event_type", _TYPES, order=["event_id"])
-    return out.select("event_id", "event_type", *[f"event_type_{v}" for v in _TYPES])
+    out = compose.one_hot_dense(e, "event_type", order=["event_id"])
+    cells = [F.struct(F.lit(c.removeprefix("event_type_")).alias("category"), F.col(c).alias("value")) for c in out.columns[2:]]
+    return out.select("event_id", F.explode(F.array(*cells)).alias("c")).select("event_id", "c.*").filter("value IS NOT NULL")
 
 
 @query("one_hot_sparse_and_hash")

@@ -121,22 +121,44 @@ def _var_merged(st: Moments, ddof: int = 1) -> Column:
     return F.when(st.n > F.lit(ddof), st.m2 / (st.n - F.lit(ddof))).otherwise(F.lit(0.0))
 
 
+def _skew_bias(g: Column, n: Column, bias: bool) -> Column:
+    return g if bias else F.when(n > 2, F.sqrt((n - 1) * n) / (n - 2) * g).otherwise(g)
+
+
+def _kurt_bias(raw: Column, n: Column, bias: bool) -> Column:
+    if bias:
+        return raw - 3
+    corrected = ((n * n - 1) * raw - 3 * (n - 1) * (n - 1)) / ((n - 2) * (n - 3))
+    return F.when(n > 3, corrected).otherwise(raw - 3)
+
+
 def _skew_native(x: Column, bind: Bind, bias: bool = False) -> Column:
     n = bind(F.count(x)).cast("double")
     g = F.when(bind(F.var_pop(x)) == 0, F.lit(0.0)).otherwise(F.coalesce(bind(F.skewness(x)), F.lit(0.0)))
-    if bias:
-        return g
-    return F.when(n > 2, F.sqrt((n - 1) * n) / (n - 2) * g).otherwise(g)
+    return _skew_bias(g, n, bias)
 
 
 def _kurt_native(x: Column, bind: Bind, bias: bool = False) -> Column:
     n = bind(F.count(x)).cast("double")
     # Spark's kurtosis is the biased excess form; raw = excess + 3
     raw = F.when(bind(F.var_pop(x)) == 0, F.lit(0.0)).otherwise(F.coalesce(bind(F.kurtosis(x)), F.lit(-3.0)) + 3)
-    if bias:
-        return raw - 3
-    corrected = ((n * n - 1) * raw - 3 * (n - 1) * (n - 1)) / ((n - 2) * (n - 3))
-    return F.when(n > 3, corrected).otherwise(raw - 3)
+    return _kurt_bias(raw, n, bias)
+
+
+def shape_from_sums(stat: Stat, sums: list[Column], flat: Column) -> Column:
+    """Skewness or kurtosis from sums of the powers 0 to 4 around any number near the mean; ``flat``: all values equal."""
+    n, s1, s2, s3, s4 = sums
+    m = F.try_divide(s1, n)
+    m2 = s2 - n * m * m
+    m3 = s3 - 3 * m * s2 + 2 * n * m * m * m
+    m4 = s4 - 4 * m * s3 + 6 * m * m * s2 - 3 * n * m * m * m * m
+    none = flat | (n == 0) | (m2 <= 0)
+    bias = stat.params.get("bias", False)
+    if stat.how == "skew":
+        g = F.when(none, 0.0).otherwise(F.sqrt(n) * m3 / F.pow(m2, F.lit(1.5)))
+        return F.coalesce(_skew_bias(g, n, bias), F.lit(0.0))
+    raw = F.when(none, 0.0).otherwise(n * m4 / (m2 * m2))
+    return F.coalesce(_kurt_bias(raw, n, bias), F.lit(-3.0))
 
 
 def _cov_native(x: Column, y: Column, bind: Bind, ddof: int) -> Column:

@@ -109,9 +109,17 @@ def one_hot_map(df: DataFrame, cols: Sequence[str], name: str = "one_hot") -> Da
     return df.withColumn(name, F.map_from_arrays(keys, F.transform(keys, lambda _: F.lit(1))))
 
 
-def one_hot_dense(df: DataFrame, col: str, categories: Iterable, order: Sequence[str] | None = None,
+def categories_of(df: DataFrame, col: str, most: int = 1000) -> list:
+    """The values of a column in ascending order; an error if there are more than ``most``."""
+    found = [r[0] for r in df.filter(F.col(col).isNotNull()).select(col).distinct().orderBy(col).limit(most + 1).collect()]
+    if len(found) > most:
+        raise ValueError(f"{col} has more than {most} values; use one_hot_map")
+    return found
+
+
+def one_hot_dense(df: DataFrame, col: str, categories: Iterable | None = None, order: Sequence[str] | None = None,
                   by: Sequence[str] | None = None) -> DataFrame:
-    """Dense one-hot over a known category list.
+    """Dense one-hot over a known category list, by default all values of the column.
 
     With ``order`` the running semantics apply: a category's column is 0 once
     the category has been seen earlier in the stream (per ``by`` key if
@@ -122,7 +130,7 @@ def one_hot_dense(df: DataFrame, col: str, categories: Iterable, order: Sequence
     from ..functions.stats import Stat
     from .windows import running
 
-    cats = list(categories)
+    cats = categories_of(df, col) if categories is None else list(categories)
     if order is None:
         return df.withColumns({f"{col}_{v}": (F.col(col) == F.lit(v)).cast("int") for v in cats})
     ind = {f"_ordo_i_{i}": (F.col(col) == F.lit(v)).cast("double") for i, v in enumerate(cats)}

@@ -12,7 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import _as_list, _window
+from ..functions.stats import Stat
+from .windows import _as_list, lagged, time_rolling
 
 
 def gaussian_fit(df: DataFrame, x: str, by=None) -> DataFrame:
@@ -46,6 +47,20 @@ def multinomial_pmf(df: DataFrame, x: str, by=None) -> DataFrame:
     return both.withColumn("pmf", F.col("n") / F.col("_ordo_total")).drop("_ordo_total")
 
 
+def time_rolling_share(df: DataFrame, x: str, period_us: int, time_col: str, by=None, name: str = "share") -> DataFrame:
+    """``df`` with the share that each row's value has among the key's values later than ``period_us`` before it.
+
+    Rows of one time see each other; a null value has no share and counts
+    nowhere.
+    """
+    by = _as_list(by)
+    rows = df.withColumn("_ordo_one", F.when(F.col(x).isNotNull(), 1.0))
+    rows = time_rolling(rows, {"_ordo_all": Stat.of("sum", "_ordo_one")}, period_us, time_col, by)
+    rows = time_rolling(rows, {"_ordo_own": Stat.of("sum", "_ordo_one")}, period_us, time_col, [*by, x])
+    share = F.when(F.col(x).isNotNull(), F.col("_ordo_own") / F.col("_ordo_all"))
+    return rows.withColumn(name, share).drop("_ordo_one", "_ordo_all", "_ordo_own")
+
+
 def gaussian_nb_fit(df: DataFrame, features: Sequence[str], y: str) -> DataFrame:
     """One row per class: y, n, and (mu, sigma2) of every feature.  Rows without a class do not count."""
     aggs = [F.count(F.lit(1)).alias("n")]
@@ -91,12 +106,12 @@ def difference_weights(steps: Sequence[tuple[int, int]]) -> dict[int, int]:
 
 def difference(df: DataFrame, y: str, by, order, steps: Sequence[tuple[int, int]] = ((1, 1),), name: str | None = None) -> DataFrame:
     """Differences of a series, for (order d, season m) steps; lags before the start are skipped."""
-    w = _window(_as_list(by), _as_list(order))
+    weights = difference_weights(steps)
+    back = {f"_ordo_lag{lag}": (F.col(y), lag, None) for lag in weights if lag}
     out = F.lit(0.0)
-    for lag, weight in difference_weights(steps).items():
-        value = F.lag(F.col(y), lag).over(w) if lag else F.col(y)
-        out = out + (F.coalesce(value, F.lit(0.0)) if lag else value) * F.lit(float(weight))
-    return df.withColumn(name or f"{y}_diff", out)
+    for lag, weight in weights.items():
+        out = out + (F.coalesce(f"_ordo_lag{lag}", F.lit(0.0)) if lag else F.col(y)) * F.lit(float(weight))
+    return lagged(df, back, by, order).withColumn(name or f"{y}_diff", out).drop(*back)
 
 
 def label_powerset(df: DataFrame, labels: Sequence[str], name: str = "combination") -> tuple[DataFrame, DataFrame]:

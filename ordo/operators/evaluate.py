@@ -65,12 +65,19 @@ def progressive_metric(df: DataFrame, y_true: str, y_pred: str, time_col: str, i
 
 
 def horizon_eval(df: DataFrame, series: Sequence[str] | str, t_col: str, y: str, forecasts: DataFrame,
-                 grace_period: int = 1) -> DataFrame:
-    """Per-horizon MAE: forecasts (series, t, h, yhat) made at step t for
-    step t+h are joined to actuals at t+h; forecasts made during the grace
-    period are not scored."""
+                 grace_period: int = 1, complete: bool = False) -> DataFrame:
+    """(h, mae, n): per-horizon mean absolute error of forecasts (series, t, h, yhat).
+
+    A forecast of row t is set against the value of row t + h; rows before
+    ``grace_period`` are not scored.  ``complete``: only rows with values at
+    all their horizons are.
+    """
     series = _as_list(series)
-    actual = df.select(*series, F.col(t_col).alias("_target_t"), F.col(y).alias("_y"))
+    actual = df.select(*series, F.col(t_col).alias("_target_t"), F.col(y).alias("_y")).filter(F.col("_y").isNotNull())
     f = forecasts.filter(F.col(t_col) >= grace_period).withColumn("_target_t", F.col(t_col) + F.col("h"))
-    j = f.join(actual, [*series, "_target_t"])
-    return j.groupBy("h").agg(F.avg(F.abs(F.col("_y") - F.col("yhat"))).alias("mae"), F.count(F.lit(1)).alias("n"))
+    j = f.join(actual, [*series, "_target_t"]).select(*series, t_col, "h", F.abs(F.col("_y") - F.col("yhat")).alias("_e"))
+    if complete:
+        asked = forecasts.groupBy(*series, t_col).agg(F.count(F.lit(1)).alias("_n"))
+        met = j.groupBy(*series, t_col).agg(F.count(F.lit(1)).alias("_n"))
+        j = j.join(asked.join(met, [*series, t_col, "_n"], "left_semi"), [*series, t_col], "left_semi")
+    return j.groupBy("h").agg(F.avg("_e").alias("mae"), F.count(F.lit(1)).alias("n"))

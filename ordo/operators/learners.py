@@ -1,65 +1,130 @@
-"""Counting learners and baselines as joins and grouped aggregates.
-
-Multinomial naive Bayes over a (doc, term, n) table:
-    score(d, c) = ln prior_c + sum_t n_dt * ln((n_ct + a) / (n_c + a·V))
-rewritten so only (term, class) pairs that occur are joined:
-    = ln prior_c + n_d · ln(a / (n_c + a·V)) + sum_{t seen in c} n_dt · (ln(n_ct + a) - ln a)
-The class table is tiny (one row per class); the term join is an equi-join
-on the term (AQE splits skewed terms).
+"""Naive Bayes over term counts, and baselines, as joins and grouped aggregates.
+
+Documents are scored out of sample: with ``fold`` a document's model counts
+all documents of the other folds.  Counts are summed once per (term, class,
+fold) and each fold's own part is taken off again, so several folds cost one
+pass.  A class's score splits into a part that depends on the class alone, one
+on the document alone, and gains of the (term, class) pairs that occur, so only
+those are joined.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import Stat
-from .windows import _as_list, _window, running
-
-
-def multinomial_nb_fit(bow: DataFrame, labels: DataFrame, id_col: str, y: str, alpha: float = 1.0):
-    """Returns (class table, term-class table)."""
-    lab = bow.join(labels.select(id_col, y), id_col)
-    tc = lab.groupBy("term", y).agg(F.sum("n").alias("n_ct"))
-    vocab = bow.select("term").distinct().agg(F.count(F.lit(1)).alias("V"))
-    docs = labels.groupBy(y).agg(F.count(F.lit(1)).alias("docs_c"))
-    tot = lab.groupBy(y).agg(F.sum("n").alias("n_c"))
-    cls = docs.join(tot, y, "left").fillna({"n_c": 0})
-    cls = cls.withColumn("_k", F.lit(0)).join(vocab.withColumn("_k", F.lit(0)), "_k").drop("_k")
-    wall = Window.partitionBy(F.lit(0))  # over the class table only (one row per class)
-    cls = cls.withColumn("log_prior", F.log(F.col("docs_c") / F.sum("docs_c").over(wall)))
-    cls = cls.withColumn("log_unseen", F.log(F.lit(alpha) / (F.col("n_c") + F.lit(alpha) * F.col("V"))))
-    tc = tc.withColumn("gain", F.log(F.col("n_ct") + F.lit(alpha)) - F.log(F.lit(alpha)))
-    return cls, tc
-
-
-def multinomial_nb_predict(bow: DataFrame, cls: DataFrame, tc: DataFrame, id_col: str, y: str) -> DataFrame:
-    """(id, y_pred, score): arg-max joint log-likelihood per document."""
-    n_d = bow.groupBy(id_col).agg(F.sum("n").alias("n_d"))
-    # the label set is model metadata (one row per class): fan each document
-    # out to the classes through a literal array rather than a cartesian join
-    classes = cls.select(y, "log_prior", "log_unseen").collect()
-    arr = F.array(*[F.struct(F.lit(r[y]).alias(y), F.lit(r["log_prior"]).alias("lp"), F.lit(r["log_unseen"]).alias("lu"))
-                    for r in classes])
-    base = n_d.select(id_col, "n_d", F.explode(arr).alias("_c"))
-    base = base.select(id_col, F.col(f"_c.{y}").alias(y), (F.col("_c.lp") + F.col("n_d") * F.col("_c.lu")).alias("base"))
-    seen = bow.join(tc.select("term", y, "gain"), "term").groupBy(id_col, y).agg(
-        F.sum(F.col("n") * F.col("gain")).alias("seen"))
-    sc = base.join(seen, [id_col, y], "left").select(id_col, y, (F.col("base") + F.coalesce("seen", F.lit(0.0))).alias("score"))
-    best = sc.groupBy(id_col).agg(F.max(F.struct(F.col("score"), F.col(y))).alias("_b"))
-    return best.select(id_col, F.col(f"_b.{y}").alias("y_pred"), F.col("_b.score").alias("score"))
+from ..plans.rows import written
+from .windows import lagged, running
+
+EPSILON = 10e-10  # fixed value: added to probabilities of the Bernoulli form
+MAX_CLASSES = 10_000  # classes times folds up to which their table is sent to all tasks
+
+
+def _others(counts: DataFrame, keys: list[str], sums: list[str], folds: list) -> DataFrame:
+    """For each key and fold, the sums over all other folds (rows without any are left out)."""
+    total = counts.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums])
+    own = counts.groupBy(*keys, "fold").agg(*[F.sum(c).alias(f"own_{c}") for c in sums])
+    # a key seen in one fold only has nothing left there; elsewhere nothing is taken off
+    grid = total.withColumn("fold", F.explode(F.array(*[F.lit(f) for f in folds]))).join(own, [*keys, "fold"], "left")
+    out = grid.select(*keys, "fold", *[(F.col(c) - F.coalesce(f"own_{c}", F.lit(0))).alias(c) for c in sums])
+    return out.filter(" OR ".join(f"{c} > 0" for c in sums))
+
+
+def naive_bayes(
+    bow: DataFrame,
+    docs: DataFrame,
+    id_col: str,
+    y: str,
+    kind: str = "multinomial",
+    alpha: float = 1.0,
+    fold: str | None = None,
+) -> DataFrame:
+    """(id, y_pred, score, proba): the class of greatest joint log-likelihood of every document with a term.
+
+    ``kind``: ``multinomial``, ``bernoulli`` (a term is there or not) or
+    ``complement`` (the counts of all other classes).  ``fold``: an integer
+    column of ``docs``; without it documents are scored by a model that has
+    seen them.  Documents with a null class are scored, not learnt from; ties
+    go to the greater class; ``proba`` is the class's share of the likelihoods.
+    """
+    if kind not in ("multinomial", "bernoulli", "complement"):
+        raise ValueError(f"unknown kind {kind}")
+    about = docs.select(id_col, F.col(y).alias("y"), (F.col(fold).cast("int") if fold else F.lit(0)).alias("fold"))
+    folds = [r[0] for r in about.select("fold").distinct().orderBy("fold").limit(1001).collect()] if fold else [-1]
+    if len(folds) > 1000:
+        raise ValueError(f"{fold} has more than 1000 folds")
+    rows = written(bow.select(id_col, "term", F.col("n").cast("double").alias("n")).join(about, id_col), "counts")
+    if not fold:  # no document is in the fold that is left out
+        rows = rows.withColumn("fold", F.lit(-1))
+        about = about.withColumn("fold", F.lit(-1))
+    seen = rows.filter("y IS NOT NULL")
+    learnt = seen if fold else seen.withColumn("fold", F.lit(0))
+    pairs = written(_others(learnt.groupBy("term", "y", "fold").agg(F.sum("n").alias("n"), F.count(F.lit(1)).cast("double").alias("d")), ["term", "y"], ["n", "d"], folds), "pairs")
+    terms = pairs.groupBy("term", "fold").agg(F.sum("n").alias("t"))
+    sizes = terms.groupBy("fold").agg(F.count(F.lit(1)).alias("v"), F.sum("t").alias("t"))
+    labelled = about.filter("y IS NOT NULL")
+    labelled = labelled if fold else labelled.withColumn("fold", F.lit(0))
+    classes = _others(labelled.groupBy("y", "fold").agg(F.count(F.lit(1)).cast("double").alias("docs")), ["y"], ["docs"], folds)
+    totals = pairs.groupBy("y", "fold").agg(F.sum("n").alias("n_c"), F.count(F.lit(1)).alias("terms_c"))
+    classes = classes.join(totals, ["y", "fold"], "left").fillna({"n_c": 0.0, "terms_c": 0}).join(sizes, "fold", "left").fillna({"v": 0, "t": 0.0})
+    prior = F.log(F.col("docs") / F.sum("docs").over(Window.partitionBy("fold")))
+    a = F.lit(float(alpha))
+    if kind == "multinomial":
+        below = F.log(F.col("n_c") + a * F.col("v"))
+        classes = classes.select("fold", "y", prior.alias("at_class"), (math.log(alpha) - below).alias("at_word"), F.lit(0.0).alias("at_term"))
+        gains = pairs.select("term", "fold", "y", (F.log(F.col("n") + a) - math.log(alpha)).alias("gain"))
+    elif kind == "bernoulli":
+        there, absent = _bernoulli(F.lit(0.0), F.col("docs"), a)
+        known = pairs.join(classes.select("fold", "y", "docs"), ["fold", "y"])
+        one, none = _bernoulli(F.col("d"), F.col("docs"), a)
+        zero_one, zero_none = _bernoulli(F.lit(0.0), F.col("docs"), a)
+        rest = known.groupBy("fold", "y").agg(F.sum(none - zero_none).alias("rest"))
+        classes = classes.join(rest, ["fold", "y"], "left").fillna({"rest": 0.0})
+        classes = classes.select("fold", "y", (prior + F.col("v") * absent + F.col("rest")).alias("at_class"), F.lit(0.0).alias("at_word"), (there - absent).alias("at_term"))
+        gains = known.select("term", "fold", "y", (one - none - zero_one + zero_none).alias("gain"))
+    else:
+        left = F.col("t") + a * F.col("v") - F.col("n_c")
+        classes = classes.select("fold", "y", F.lit(0.0).alias("at_class"), F.log(left).alias("at_word"), F.lit(0.0).alias("at_term"))
+        both = pairs.select("term", "fold", "y", "n").join(terms, ["term", "fold"])
+        gains = both.select("term", "fold", "y", (F.log(F.col("t") + a) - F.log(F.col("t") - F.col("n") + a)).alias("gain"))
+    classes = written(classes, "classes")
+
+    # what a document's terms give whatever the class
+    common = -F.sum(F.col("n") * F.log(F.coalesce("t", F.lit(0.0)) + a)) if kind == "complement" else F.lit(0.0)
+    texts = rows.join(terms, ["term", "fold"], "left").groupBy(id_col, "fold").agg(
+        F.sum("n").alias("words"), F.count("t").alias("known"), common.alias("common")
+    )
+    weight = F.lit(1.0) if kind == "bernoulli" else F.col("n")
+    won = rows.select(id_col, "term", "fold", "n").join(gains, ["term", "fold"]).groupBy(id_col, "y").agg(F.sum(weight * F.col("gain")).alias("won"))
+    few = classes.count() <= MAX_CLASSES
+    scores = texts.join(F.broadcast(classes) if few else classes, "fold")
+    base = F.col("at_class") + F.col("words") * F.col("at_word") + F.col("known") * F.col("at_term") + F.col("common")
+    scores = scores.select(id_col, "y", base.alias("base")).join(won, [id_col, "y"], "left")
+    scores = scores.select(id_col, "y", (F.col("base") + F.coalesce("won", F.lit(0.0))).alias("score"))
+    held = scores.groupBy(id_col).agg(F.max(F.struct("score", "y")).alias("best"), F.collect_list("score").alias("all"))
+    share = 1.0 / F.aggregate("all", F.lit(0.0), lambda acc, s: acc + F.exp(s - F.col("best.score")))
+    return held.select(id_col, F.col("best.y").alias("y_pred"), F.col("best.score").alias("score"), share.alias("proba"))
+
+
+def _bernoulli(there: Column, docs: Column, alpha: Column) -> tuple[Column, Column]:
+    """Logarithms of the probabilities that a term is in a document of a class, and that it is not."""
+    p = (there + alpha) / (docs + 2 * alpha)
+    return F.log(EPSILON + p), F.log(EPSILON + (1.0 - p))
 
 
 def no_change(df: DataFrame, y: str, by, order, name: str = "y_pred") -> DataFrame:
     """Predict the previous label of the key."""
-    return df.withColumn(name, F.lag(F.col(y)).over(_window(_as_list(by), _as_list(order))))
+    return lagged(df, {name: (F.col(y), 1, None)}, by, order)
 
 
 def prior_classifier(df: DataFrame, y: str, by, order, name: str = "y_pred") -> DataFrame:
     """Predict the most frequent earlier label (ties: the label seen first)."""
     from .sequence import running_mode
 
-    d = df.withColumn("_ordo_prev", F.lag(F.col(y)).over(_window(_as_list(by), _as_list(order))))
+    d = lagged(df, {"_ordo_prev": (F.col(y), 1, None)}, by, order)
     return running_mode(d, "_ordo_prev", by, order, k=-1, name=name).drop("_ordo_prev")
 
 

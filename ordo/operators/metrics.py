@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import Stat
 from ..plans.session import cut_lineage
-from .windows import _as_list, running
+from .windows import _as_list, rolling, running, time_rolling
 
 
 def _div(a: Column, b: Column, default: float = 0.0) -> Column:
@@ -208,8 +208,6 @@ def regression_metrics(df: DataFrame, y_true: str, y_pred: str, by=None) -> Data
         F.count(y).alias("_n"),
     ]
     g = df.groupBy(*by).agg(*agg) if by else df.agg(*agg)
-    r2 = F.when(F.col("_n") > 1, _div(F.col("_ssr"), (F.col("_n") - 1) * F.col("_vy"), float("nan"))).otherwise(
-        F.lit(None))
     r2 = F.when(F.col("_n") > 1, F.when((F.col("_n") - 1) * F.col("_vy") == 0, F.lit(0.0))
                 .otherwise(1 - F.col("_ssr") / ((F.col("_n") - 1) * F.col("_vy")))).otherwise(F.lit(0.0))
     return g.withColumn("r2", r2).drop("_ssr", "_vy", "_n")
@@ -324,16 +322,62 @@ def running_metric_counts(df: DataFrame, y_true: str, y_pred: str, order, by=Non
     return d.drop("_ordo_ok")
 
 
-def rolling_accuracy(df: DataFrame, y_true: str, y_pred: str, order, window: int, by=None) -> DataFrame:
-    from .windows import rolling
+#: Metrics that are formulas of means or sums of per-row terms: (terms of y and p, formula of their totals).
+#: Binary ones count the class ``positive``.
+_PLAIN = {
+    "mae": lambda y, p: F.abs(y - p),
+    "mse": lambda y, p: (y - p) * (y - p),
+    "rmse": lambda y, p: (y - p) * (y - p),
+    "smape": lambda y, p: F.when((y == 0) & (p == 0), 0.0).otherwise(200.0 * F.abs(y - p) / (F.abs(y) + F.abs(p))),
+}
+_BINARY = {
+    "precision": lambda tp, fp, fn: _div(tp, tp + fp),
+    "recall": lambda tp, fp, fn: _div(tp, tp + fn),
+    "f1": lambda tp, fp, fn: _div(2 * tp, 2 * tp + fp + fn),
+    "jaccard": lambda tp, fp, fn: _div(tp, tp + fp + fn),
+}
+
+
+def window_metric(df: DataFrame, metric: str, y_true: str, y_pred: str, frame, positive=True, name: str | None = None) -> DataFrame:
+    """``df`` with a metric over a frame of rows up to each.
+
+    ``frame(df, outputs)`` appends statistics of columns: ``running``,
+    ``rolling`` or ``time_rolling`` with their other arguments given.  Rows
+    with a null target or prediction do not count; the metric is 0 before any.
+    """
+    name = name or metric
+    y, p = F.col(y_true), F.col(y_pred)
+    known = y.isNotNull() & p.isNotNull()
+    if metric == "accuracy" or metric in _PLAIN:
+        term = (y == p).cast("double") if metric == "accuracy" else _PLAIN[metric](y.cast("double"), p.cast("double"))
+        out = frame(df.withColumn("_ordo_e", F.when(known, term)), {name: Stat.of("mean", "_ordo_e")}).drop("_ordo_e")
+        return out.withColumn(name, F.sqrt(name)) if metric == "rmse" else out
+    if metric not in _BINARY:
+        raise ValueError(f"unknown metric {metric}")
+    hit, said = y == F.lit(positive), p == F.lit(positive)
+    cells = {"_ordo_tp": hit & said, "_ordo_fp": ~hit & said, "_ordo_fn": hit & ~said}
+    rows = df.withColumns({n: F.when(known, c.cast("double")).otherwise(0.0) for n, c in cells.items()})
+    out = frame(rows, {f"{n}_s": Stat.of("sum", n) for n in cells})
+    return out.withColumn(name, _BINARY[metric](*[F.col(f"{n}_s") for n in cells])).drop(*cells, *[f"{n}_s" for n in cells])
 
-    d = df.withColumn("_ordo_ok", (F.col(y_true) == F.col(y_pred)).cast("double"))
-    d = rolling(d, {"rolling_accuracy": Stat.of("mean", "_ordo_ok")}, window=window, by=by, order=order)
-    return d.drop("_ordo_ok")
+
+def rolling_metric(df: DataFrame, metric: str, y_true: str, y_pred: str, order, window: int, by=None, **more) -> DataFrame:
+    """A metric over the last ``window`` rows of the key."""
+    return window_metric(df, metric, y_true, y_pred, lambda d, outs: rolling(d, outs, window=window, by=by, order=order), **more)
+
+
+def time_rolling_metric(df: DataFrame, metric: str, y_true: str, y_pred: str, time_col: str, period_us: int, by=None, **more) -> DataFrame:
+    """A metric over the key's rows later than ``period_us`` before each; rows of one time see each other."""
+    return window_metric(df, metric, y_true, y_pred, lambda d, outs: time_rolling(d, outs, period_us, time_col, by), **more)
+
+
+def rolling_accuracy(df: DataFrame, y_true: str, y_pred: str, order, window: int, by=None) -> DataFrame:
+    return rolling_metric(df, "accuracy", y_true, y_pred, order, window, by, name="rolling_accuracy")
 
 
 __all__ = [
     "confusion_matrix", "class_table", "per_class", "multiclass_metrics", "binary_metrics", "clustering_metrics",
     "regression_metrics", "log_loss", "cross_entropy", "roc_auc_binned", "curve_metrics", "summarise_runs",
-    "running_metric_counts", "rolling_accuracy", "Window",
+    "running_metric_counts", "window_metric", "rolling_metric",
+    "time_rolling_metric", "rolling_accuracy",
 ]

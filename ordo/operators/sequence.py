@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import Stat
-from .windows import _as_list, _window, running
+from .windows import _as_list, _window, framed, lagged, running
 
 _UNB = Window.unboundedPreceding
 
@@ -111,9 +111,9 @@ def rolling_mode(df: DataFrame, on: str, window: int, by, order, name: str | Non
     array with higher-order functions (JVM side, O(window^2) per row)."""
     by, order = _as_list(by), _as_list(order)
     name = name or f"{on}_rmode"
-    w = _window(by, order).rowsBetween(-(window - 1), 0)
-    arr = F.collect_list(F.col(on)).over(w)
-    d = df.withColumn("_ordo_arr", arr)
+    rows, w, finish = framed(df, by, order, window)
+    arr = F.collect_list(F.col(on)).over(w.rowsBetween(-(window - 1), 0))
+    d = finish(rows.withColumn("_ordo_arr", arr))
     distinct = F.array_distinct(F.col("_ordo_arr"))  # keeps first-occurrence order
     counts = F.transform(distinct, lambda v: F.size(F.filter(F.col("_ordo_arr"), lambda a: a == v)))
     d = d.withColumn("_ordo_d", distinct).withColumn("_ordo_n", counts)
@@ -124,7 +124,7 @@ def rolling_mode(df: DataFrame, on: str, window: int, by, order, name: str | Non
 def shift(df: DataFrame, on: str, by, order, amount: int = 1, fill=None, name: str | None = None) -> DataFrame:
     by, order = _as_list(by), _as_list(order)
     name = name or f"{on}_shift_{amount}"
-    return df.withColumn(name, F.lag(F.col(on), amount, fill).over(_window(by, order)))
+    return lagged(df, {name: (F.col(on), amount, fill)}, by, order)
 
 
 def link(df: DataFrame, on: str, by, order, left: str, right: str, amount: int = 1, name: str | None = None,
@@ -139,7 +139,7 @@ def link(df: DataFrame, on: str, by, order, left: str, right: str, amount: int =
     name = name or f"{on}_{left}_{right}"
     tmp = "_ordo_left"
     if left == "shift":
-        d = df.withColumn(tmp, F.lag(F.col(on), amount).over(_window(by, order)))
+        d = lagged(df, {tmp: (F.col(on), amount, None)}, by, order)
     else:
         d = running(df, {tmp: Stat.of(left, on)}, by=by, order=order)
     d = running(d, {name: Stat.of(right, tmp, **params)}, by=by, order=order)
@@ -151,7 +151,7 @@ def autocorr(df: DataFrame, on: str, by, order, lag: int = 1, name: str | None =
     by, order = _as_list(by), _as_list(order)
     name = name or f"{on}_autocorr_{lag}"
     tmp = "_ordo_lagged"
-    d = df.withColumn(tmp, F.lag(F.col(on), lag).over(_window(by, order)))
+    d = lagged(df, {tmp: (F.col(on), lag, None)}, by, order)
     d = running(d, {name: Stat.of("pearson", on, tmp)}, by=by, order=order)
     return d.drop(tmp)
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as TX
 from ..functions.stats import Stat
+from ..plans.rows import written
 from .sequence import row_number
 from .windows import running
 
@@ -22,17 +23,18 @@ from .windows import running
 def bag_of_words(df: DataFrame, id_col: str, text_col: str, lowercase: bool = True, accents: bool = False,
                  ngram_range: tuple[int, int] = (1, 1)) -> DataFrame:
     """(id, term, n): term counts per document."""
-    # tokens are materialised once as a column: an n-gram lambda that
-    # captured the tokenizer expression would re-tokenise per n-gram
-    d = df.select(id_col, TX.tokens(F.col(text_col), lowercase, accents).alias("_toks"))
-    toks = TX.ngrams(F.col("_toks"), ngram_range)
-    return (d.select(id_col, F.explode(toks).alias("term"))
-            .groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("n")))
+    toks = TX.tokens(F.col(text_col), lowercase, accents)
+    if ngram_range != (1, 1):
+        # a lambda variable is computed once, so an n-gram does not tokenise again
+        toks = F.flatten(F.transform(F.array(toks), lambda t: TX.ngrams(t, ngram_range)))
+    # the outer form, since Spark guards the inner one with a filter that tokenises once more
+    terms = df.select(id_col, F.explode_outer(toks).alias("term")).filter(F.col("term").isNotNull())
+    return terms.groupBy(id_col, "term").agg(F.count(F.lit(1)).alias("n"))
 
 
 def tfidf_batch(df: DataFrame, id_col: str, text_col: str, normalize: bool = True, **kw) -> DataFrame:
     """TF-IDF over the whole corpus: idf = ln((1+N)/(1+df)) + 1."""
-    bow = bag_of_words(df, id_col, text_col, **kw)
+    bow = written(bag_of_words(df, id_col, text_col, **kw), "terms")
     n_docs = df.select(id_col).distinct().agg(F.count(F.lit(1)).alias("n_docs"))
     dfs = bow.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     t = bow.join(dfs, "term").join(n_docs.withColumn("_k", F.lit(0)), F.lit(0) == F.col("_k")).drop("_k")
@@ -42,7 +44,7 @@ def tfidf_batch(df: DataFrame, id_col: str, text_col: str, normalize: bool = Tru
 def tfidf_running(df: DataFrame, id_col: str, text_col: str, order, normalize: bool = True, **kw) -> DataFrame:
     """Online TF-IDF of each document as it arrives (counts include it)."""
     docs = row_number(df.select(id_col, *([order] if isinstance(order, str) else order)), None, order, "n_docs")
-    bow = bag_of_words(df, id_col, text_col, **kw)
+    bow = written(bag_of_words(df, id_col, text_col, **kw), "terms")
     t = bow.join(docs.select(id_col, "n_docs"), id_col)
     t = t.withColumn("_one", F.lit(1.0))
     t = running(t, {"df": Stat.of("count", "_one")}, by="term", order="n_docs").drop("_one")

@@ -10,19 +10,25 @@
 Running shapes split hot keys (and the key-less case) into order-range
 blocks when every requested statistic is mergeable: in-block windows run in
 parallel, block partials get a tiny per-key prefix, and the two are merged
-with Chan's formulas.  Nothing is sent to the driver but quantile cut points.
+with Chan's formulas.  Skewness and kurtosis are sums of powers around the
+mean of a hot key's rows.  Nothing is sent to the driver but quantile cut
+points.
+
+Rolling shapes and lags cut hot keys (and the key-less case) into blocks of a
+fixed number of rows, each with the rows before it that its own look back to.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.stats import CoMoments, Moments, Stat
-from ..plans.blocks import BLOCK, HOT, assign_blocks, order_number
-from ..plans.session import CONF_BROADCAST_ROWS, conf_int
+from ..functions.stats import CoMoments, Moments, Stat, shape_from_sums
+from ..plans import rows as R
+from ..plans.blocks import BLOCK, HOT, ROWS_PER_TASK, assign_blocks, hot_keys, order_number
+from ..plans.session import CONF_BROADCAST_ROWS, CONF_HOT_ROWS, conf_int
 
 Outputs = Mapping[str, Stat]
 _UNB = Window.unboundedPreceding
@@ -63,6 +69,9 @@ def running(
         raise ValueError("running statistics need an order column")
     end = -1 if lagged else 0
     mergeable = all(s.mergeable for s in outputs.values())
+    if split_hot and not mergeable and all(s.mergeable or s.how in ("skew", "kurtosis") for s in outputs.values()):
+        if not by or hot_keys(df, by) is not None:
+            return _running_shape(df, outputs, by, order, lagged, blocks)
     if split_hot and mergeable:
         tagged, pairs = assign_blocks(df, by, order[0], blocks)
         if pairs:
@@ -76,6 +85,58 @@ def running(
     return df.withColumns({name: stat.native(lambda a: a.over(w)) for name, stat in outputs.items()})
 
 
+def _running_shape(df: DataFrame, outputs: Outputs, by: list[str], order: list[str], lagged: bool, blocks: int | None) -> DataFrame:
+    """Running statistics with skewness or kurtosis among them, from running sums of powers around one number.
+
+    That number is the mean of all hot rows, so the sums lose little to
+    cancellation unless the means of hot keys are far apart for their spread.
+    """
+    shapes = {name: stat for name, stat in outputs.items() if not stat.mergeable}
+    hot = hot_keys(df, by) if by else None
+    rows = df.join(hot[0], by, "left_semi") if hot else df
+    columns = sorted({stat.cols[0] for stat in shapes.values()})
+    centres = rows.agg(*[F.avg(F.col(c).cast("double")).alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    sums: dict[str, Stat] = {name: stat for name, stat in outputs.items() if stat.mergeable}
+    powers = {}
+    for i, c in enumerate(columns):
+        x = F.col(c).cast("double") - F.lit(float(centres[i] or 0.0))
+        for k in range(1, 5):
+            powers[f"_ordo_x{i}_{k}"] = F.pow(x, F.lit(float(k)))
+            sums[f"_ordo_s{i}_{k}"] = Stat.of("sum", f"_ordo_x{i}_{k}")
+        powers[f"_ordo_x{i}_0"] = F.when(x.isNotNull(), 1.0)
+        sums[f"_ordo_s{i}_0"] = Stat.of("sum", f"_ordo_x{i}_0")
+        sums[f"_ordo_s{i}_lo"], sums[f"_ordo_s{i}_hi"] = Stat.of("min", c), Stat.of("max", c)
+    out = running(df.withColumns(powers), sums, by, order, lagged, blocks)
+    final = {}
+    for name, stat in shapes.items():
+        tag = f"_ordo_s{columns.index(stat.cols[0])}"
+        flat = F.col(f"{tag}_lo") >= F.col(f"{tag}_hi")
+        final[name] = shape_from_sums(stat, [F.col(f"{tag}_{k}") for k in range(5)], flat)
+    keep = [c for c in df.columns if c not in outputs]
+    return out.withColumns(final).select(*keep, *outputs)
+
+
+def framed(df: DataFrame, by: Sequence[str], order: Sequence[str], before: int) -> tuple[DataFrame, WindowSpec, Callable[[DataFrame], DataFrame]]:
+    """(rows, window, finish) for frames that look back at most ``before`` rows of a key.
+
+    ``window`` orders the rows of a key; where a key is hot, or there is none,
+    it orders those of a block of it, which holds the rows that its own look
+    back to, and ``finish`` drops these again.
+    """
+    if by and hot_keys(df, by) is None:
+        return df, Window.partitionBy(*by).orderBy(*order), lambda d: d
+    size = max(conf_int(df.sparkSession, CONF_HOT_ROWS, ROWS_PER_TASK), before, 1)
+    cut = R.overlapping(R.placed(df, by, order), size, before)
+    return cut, Window.partitionBy(*by, R.BLOCK).orderBy(R.PLACE), lambda d: R.own(d, size).drop(R.BLOCK, R.PLACE)
+
+
+def lagged(df: DataFrame, lags: Mapping[str, tuple[Column, int, object]], by: Sequence[str] | str | None, order: Sequence[str] | str) -> DataFrame:
+    """Append columns of earlier rows of the key: name -> (expression, rows back, value where there is no such row)."""
+    by, order = _as_list(by), _as_list(order)
+    rows, w, finish = framed(df, by, order, max((n for _, n, _ in lags.values()), default=0))
+    return finish(rows.withColumns({name: F.lag(c, n, fill).over(w) for name, (c, n, fill) in lags.items()}))
+
+
 def rolling(
     df: DataFrame,
     outputs: Outputs,
@@ -86,11 +147,9 @@ def rolling(
 ) -> DataFrame:
     """Statistic over the last ``window`` rows of each key (ROWS frame)."""
     by, order = _as_list(by), _as_list(order)
-    if lagged:
-        w = _window(by, order).rowsBetween(-window, -1)
-    else:
-        w = _window(by, order).rowsBetween(-(window - 1), 0)
-    return df.withColumns({name: stat.native(lambda a: a.over(w)) for name, stat in outputs.items()})
+    rows, w, finish = framed(df, by, order, window)
+    w = w.rowsBetween(-window, -1) if lagged else w.rowsBetween(-(window - 1), 0)
+    return finish(rows.withColumns({name: stat.native(lambda a: a.over(w)) for name, stat in outputs.items()}))
 
 
 def time_image(df: DataFrame, time_col: str) -> Column:
@@ -114,9 +173,14 @@ def time_rolling(
     by = _as_list(by)
     tcol = "_ordo_t_us"
     d = df.withColumn(tcol, time_image(df, time_col))
-    w = _window(by, [tcol]).rangeBetween(-(period_us - 1), 0)
-    d = d.withColumns({name: stat.native(lambda a: a.over(w)) for name, stat in outputs.items()})
-    return d.drop(tcol)
+    if by and hot_keys(df, by) is None:
+        w = _window(by, [tcol]).rangeBetween(-(period_us - 1), 0)
+        return d.withColumns({name: stat.native(lambda a: a.over(w)) for name, stat in outputs.items()}).drop(tcol)
+    size = conf_int(df.sparkSession, CONF_HOT_ROWS, ROWS_PER_TASK)
+    cut = R.overlapping_time(R.placed(d, by, [tcol]), by, tcol, size, period_us)
+    w = Window.partitionBy(*by, R.BLOCK).orderBy(tcol).rangeBetween(-(period_us - 1), 0)
+    cut = cut.withColumns({name: stat.native(lambda a: a.over(w)) for name, stat in outputs.items()})
+    return cut.filter(R.OWN).drop(R.BLOCK, R.PLACE, R.OWN, tcol)
 
 
 # ------------------------------------------------------------ blocked path

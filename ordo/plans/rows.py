@@ -22,6 +22,7 @@ from .session import ensure_checkpoint_dir
 
 PLACE = "_ordo_place"
 BLOCK = "_ordo_block"
+OWN = "_ordo_is_own"
 ROWS_PER_TASK = 500_000
 
 
@@ -66,6 +67,27 @@ def overlapping(df: DataFrame, rows: int, before: int) -> DataFrame:
     return df.select("*", F.explode(blocks).alias(BLOCK))
 
 
+def overlapping_time(df: DataFrame, by: Sequence[str], time: str, rows: int, period: int) -> DataFrame:
+    """``df`` (placed by ``time``, a number) with ``BLOCK`` and ``OWN``.
+
+    A block's halo are all rows less than ``period`` before its first, however
+    many; rows of the block's last time that fell in the next block come along,
+    as peers.
+    """
+    block = F.expr(f"{PLACE} div {rows}")
+    names = [f"_ordo_k{i}" for i in range(len(by))]
+    ends = df.groupBy(*[F.col(c).alias(n) for c, n in zip(by, names, strict=True)], block.alias("b")).agg(F.min(time).alias("lo"), F.max(time).alias("hi"))
+    # one entry a block of the key
+    ends = ends.groupBy(*names).agg(F.sort_array(F.collect_list(F.struct("b", "lo", "hi"))).alias("_ordo_ends"))
+    same = F.lit(True)
+    for c, n in zip(by, names, strict=True):
+        same = same & F.col(c).eqNullSafe(F.col(n))
+    joined = df.join(ends, same).drop(*names) if by else df.crossJoin(F.broadcast(ends))  # one row without a key
+    met = F.filter("_ordo_ends", lambda e: (e["b"] == block) | ((F.col(time) > e["lo"] - period) & (F.col(time) <= e["hi"])))
+    out = joined.withColumn(BLOCK, F.explode(F.transform(met, lambda e: e["b"]))).drop("_ordo_ends")
+    return out.withColumn(OWN, F.col(BLOCK) == block)
+
+
 def own(df: DataFrame, rows: int) -> DataFrame:
     """The rows of blocks that are not there to be looked back to."""
     return df.filter(F.col(BLOCK) == F.expr(f"{PLACE} div {rows}"))

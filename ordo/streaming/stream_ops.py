@@ -18,17 +18,22 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.stats import Stat
 from ..plans.session import ensure_checkpoint_dir
 
 
+BATCH = "_ordo_batch"
+
+
 def read_stream(spark: SparkSession, path: str, schema, max_files: int = 1) -> DataFrame:
-    """Parquet file stream; a single file is read through a glob rooted at its folder."""
+    """Parquet stream of a folder, or of one file, which is read as its folder with just that name."""
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
-    if os.path.isfile(path):
-        reader = reader.option("basePath", os.path.dirname(path))
-        path = path + "*"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if store.getFileStatus(folder).isFile():
+        return reader.option("pathGlobFilter", folder.getName()).parquet(folder.getParent().toString())
     return reader.parquet(path)
 
 
@@ -55,16 +60,28 @@ def label_join_stream(questions: DataFrame, labels: DataFrame, id_col: str, q_ti
     return q.join(lab, cond, "inner")
 
 
-def run_available_now(sdf: DataFrame, name: str | None = None, mode: str = "update") -> DataFrame:
-    """Run the streaming plan over all data present now into a memory table
-    and return it as a batch DataFrame."""
+def run_available_now(sdf: DataFrame, keys: Sequence[str], name: str | None = None) -> DataFrame:
+    """Run the streaming plan in update mode over all data present now; the last row of each key.
+
+    Every trigger's changed rows are written to the shared folder under its
+    number, once more if the trigger is repeated, and none pass through the
+    driver.
+    """
     spark = sdf.sparkSession
-    name = name or f"ordo_stream_{uuid.uuid4().hex[:8]}"
-    ckpt = os.path.join(ensure_checkpoint_dir(spark), "streams", name)
-    q = (sdf.writeStream.outputMode(mode).format("memory").queryName(name)
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+    root = ensure_checkpoint_dir(spark).rstrip("/") + f"/streams/{name or uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{root}/out/{BATCH}={number}")
+
+    q = (sdf.writeStream.outputMode("update").foreachBatch(keep)
+         .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.table(name)
+    if q.lastProgress is None:
+        return spark.createDataFrame([], sdf.schema)
+    found = spark.read.schema(T.StructType([*sdf.schema.fields, T.StructField(BATCH, T.LongType())])).option("basePath", f"{root}/out").parquet(f"{root}/out/*")
+    rest = [c for c in sdf.columns if c not in keys]
+    last = found.groupBy(*keys).agg(F.max_by(F.struct(*rest), BATCH).alias("_last"))
+    return last.select(*keys, "_last.*").select(*sdf.columns)
 
 
 def run_to_parquet(sdf: DataFrame, path: str, mode: str = "append") -> None:
