@@ -28,22 +28,22 @@ def _counts(cond: str, c: str) -> str:
 
 _SPLITS = " UNION ALL ".join(
     [
-        f"SELECT '{f}' AS feature, k, any_value(lo + (hi - lo) / 11.0 * k) AS threshold, {_counts(f'{f} <= lo + (hi - lo) / 11.0 * k', 'l')}, {_counts(f'{f} > lo + (hi - lo) / 11.0 * k', 'r')} "
+        f"SELECT '{f}' AS feature, k, any_value(lo + (hi - lo) / 11.0 * k) AS threshold, {_counts(f'{f} <= lo + (hi - lo) / 11.0 * k', 'lc_')}, {_counts(f'{f} > lo + (hi - lo) / 11.0 * k', 'rc_')} "
         f"FROM lineitem, (SELECT CAST(min({f}) AS DOUBLE) AS lo, CAST(max({f}) AS DOUBLE) AS hi FROM lineitem), (SELECT unnest(range(1, 11)) AS k) GROUP BY k"
         for f in _NUMERIC
     ]
 )
-_LEFT, _RIGHT = (" + ".join(f"{c}{v}" for v in _CLASSES) for c in "lr")
-_BOTH = _ent("(l{0} + r{0})").replace("(l{0} + r{0})", "b")
+_LEFT, _RIGHT = (" + ".join(f"{c}{v}" for v in _CLASSES) for c in ("lc_", "rc_"))
+_BOTH = _ent("b")
 
 
 @query(
     "split_criteria",
     sql=f"""
-WITH s AS ({_SPLITS}), t AS (SELECT *, {", ".join(f"l{v} + r{v} AS b{v}" for v in _CLASSES)}, {_LEFT} AS ln, {_RIGHT} AS rn FROM s)
+WITH s AS ({_SPLITS}), t AS (SELECT *, {", ".join(f"lc_{v} + rc_{v} AS b{v}" for v in _CLASSES)}, {_LEFT} AS ln, {_RIGHT} AS rn FROM s)
 SELECT feature, {Q6("threshold")} AS threshold, ln AS n_left,
-  {Q6(f"1 - (ln / (ln + rn) * {_gini('l')} + rn / (ln + rn) * {_gini('r')})")} AS gini,
-  CASE WHEN ln > 0.01 * (ln + rn) AND rn > 0.01 * (ln + rn) THEN {Q6(f"{_BOTH} - (ln * {_ent('l')} + rn * {_ent('r')}) / (ln + rn)")} END AS info_gain
+  {Q6(f"1 - (ln / (ln + rn) * {_gini('lc_')} + rn / (ln + rn) * {_gini('rc_')})")} AS gini,
+  CASE WHEN ln > 0.01 * (ln + rn) AND rn > 0.01 * (ln + rn) THEN {Q6(f"{_BOTH} - (ln * {_ent('lc_')} + rn * {_ent('rc_')}) / (ln + rn)")} END AS info_gain
 FROM t
 """,
 )
