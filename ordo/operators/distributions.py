@@ -13,8 +13,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import Stat
+from .compose import categories_of
 from .windows import _as_list, lagged, time_rolling
 
+MAX_CLASSES = 10_000  # classes times folds up to which a fitted model is sent to all tasks
+
 
 def gaussian_fit(df: DataFrame, x: str, by=None) -> DataFrame:
     """(by..., n, mu, sigma2): count, mean and sample variance (0 below two values)."""
@@ -61,24 +64,48 @@ def time_rolling_share(df: DataFrame, x: str, period_us: int, time_col: str, by=
     return rows.withColumn(name, share).drop("_ordo_one", "_ordo_all", "_ordo_own")
 
 
-def gaussian_nb_fit(df: DataFrame, features: Sequence[str], y: str) -> DataFrame:
-    """One row per class: y, n, and (mu, sigma2) of every feature.  Rows without a class do not count."""
-    aggs = [F.count(F.lit(1)).alias("n")]
-    for f in features:
-        var = F.coalesce(F.nullif(F.var_samp(f), F.lit(float("nan"))), F.lit(0.0))
-        aggs.append(F.struct(F.avg(f).alias("mu"), var.alias("sigma2")).alias(f))
-    return df.filter(F.col(y).isNotNull()).groupBy(y).agg(*aggs)
-
+def gaussian_nb_fit(df: DataFrame, features: Sequence[str], y: str, fold: str | None = None) -> DataFrame:
+    """One row per class: y, n, and (mu, sigma2) of every feature.  Rows without a class do not count.
 
-def gaussian_nb_predict(df: DataFrame, model: DataFrame, features: Sequence[str], y: str) -> DataFrame:
+    With ``fold``, an integer column: one row per class and fold, fitted on the
+    rows of all other folds.  Each fold is summed up once; the sums of the
+    others are merged in a table of classes times folds.
+    """
+    known = df.filter(F.col(y).isNotNull())
+    if fold is None:
+        aggs = [F.count(F.lit(1)).alias("n")]
+        for f in features:
+            var = F.coalesce(F.nullif(F.var_samp(f), F.lit(float("nan"))), F.lit(0.0))
+            aggs.append(F.struct(F.avg(f).alias("mu"), var.alias("sigma2")).alias(f))
+        return known.groupBy(y).agg(*aggs)
+    folds = categories_of(df, fold)
+    parts = [F.count(F.lit(1)).alias("n")]
+    for f in features:
+        parts.append(F.struct(F.count(f).alias("k"), F.avg(f).alias("m"), (F.var_pop(f) * F.count(f)).alias("q")).alias(f))
+    parts = known.groupBy(y, F.col(fold).alias("_ordo_own")).agg(*parts)
+    grid = parts.withColumn(fold, F.explode(F.array(*[F.lit(v) for v in folds]))).filter(f"_ordo_own <> {fold}")
+    # means of the merged parts first, then the spread of the parts around them
+    over = Window.partitionBy(y, fold)
+    grid = grid.withColumns({f"_ordo_mu{i}": F.try_divide(F.sum(F.col(f)["k"] * F.col(f)["m"]).over(over), F.sum(F.col(f)["k"]).over(over)) for i, f in enumerate(features)})
+    aggs = [F.sum("n").alias("n")]
+    for i, f in enumerate(features):
+        gap = F.col(f)["m"] - F.col(f"_ordo_mu{i}")
+        spread = F.sum(F.col(f)["q"] + F.col(f)["k"] * gap * gap) / (F.sum(F.col(f)["k"]) - 1)
+        var = F.when(F.sum(F.col(f)["k"]) > 1, spread).otherwise(0.0)
+        aggs.append(F.struct(F.first(f"_ordo_mu{i}").alias("mu"), var.alias("sigma2")).alias(f))
+    return grid.groupBy(y, fold).agg(*aggs)
+
+
+def gaussian_nb_predict(df: DataFrame, model: DataFrame, features: Sequence[str], y: str, fold: str | None = None) -> DataFrame:
     """``df`` with y_pred and score, the greatest joint log-likelihood.
 
     ln prior + the sum of ln(1e-9 + density) over the features a row has; a
-    null feature adds nothing.  The classes travel as one row, which grows
-    with the number of classes only.
+    null feature adds nothing.  The classes (of the row's fold) travel as one
+    row; with ``fold``, a row of a fold without a model has no prediction.
     """
     total = F.aggregate("_ordo_classes", F.lit(0).cast("bigint"), lambda acc, c: acc + c["n"])
-    classes = model.agg(F.collect_list(F.struct(y, "n", *features)).alias("_ordo_classes"))
+    keys = [fold] if fold else []
+    classes = model.groupBy(*keys).agg(F.collect_list(F.struct(y, "n", *features)).alias("_ordo_classes"))
     classes = classes.withColumn("_ordo_total", total)
 
     def score(c: Column) -> Column:
@@ -89,7 +116,9 @@ def gaussian_nb_predict(df: DataFrame, model: DataFrame, features: Sequence[str]
         return F.struct(out.alias("score"), c[y].alias("label"))
 
     best = F.array_max(F.transform("_ordo_classes", score))
-    out = df.crossJoin(F.broadcast(classes)).withColumn("_ordo_best", best)
+    if model.count() <= MAX_CLASSES:
+        classes = F.broadcast(classes)
+    out = (df.join(classes, fold, "left") if fold else df.crossJoin(classes)).withColumn("_ordo_best", best)
     out = out.withColumns({"y_pred": F.col("_ordo_best.label"), "score": F.col("_ordo_best.score")})
     return out.drop("_ordo_classes", "_ordo_total", "_ordo_best")
 

@@ -47,6 +47,22 @@ def test_gaussian_nb_matches_plain_version(spark):
         assert got[u][0] == want[1] and math.isclose(got[u][1], want[0], rel_tol=1e-9)
 
 
+def test_gaussian_nb_of_other_folds(spark):
+    """A fold's model equals one fitted on the other rows."""
+    rows = [("p" if i % 3 else "q", 1e4 + (i * 7 % 11), float(i % 5) if i % 4 else None, i % 3 + i % 2) for i in range(60)] + [(None, 1.0, 1.0, 0)]
+    df = spark.createDataFrame(rows, "y string, u double, v double, fold int")
+    model = {(r.fold, r.y): r for r in D.gaussian_nb_fit(df, ["u", "v"], "y", "fold").collect()}
+    for fold in range(4):
+        plain = {r.y: r for r in D.gaussian_nb_fit(df.filter(f"fold <> {fold}"), ["u", "v"], "y").collect()}
+        for y, want in plain.items():
+            got = model[fold, y]
+            assert got.n == want.n
+            for f in "uv":
+                assert math.isclose(got[f].mu, want[f].mu) and math.isclose(got[f].sigma2, want[f].sigma2, rel_tol=1e-9)
+    out = D.gaussian_nb_predict(df, D.gaussian_nb_fit(df, ["u", "v"], "y", "fold"), ["u", "v"], "y", "fold")
+    assert out.count() == 61 and out.filter("y_pred IS NULL").count() == 0
+
+
 def test_pmf_and_label_combinations(spark):
     df = spark.createDataFrame([(1, 0, 0), (2, 1, 0), (3, None, 1), (4, 1, 0)], "i int, a int, b int")
     coded, codes = D.label_powerset(df, ["a", "b"])
