@@ -49,22 +49,52 @@ def threshold_quantile(spark, sf):
     return A.threshold_quantile(e, "value", 0.9, "user_id", "event_id").select("event_id", "user_id", "is_anomaly")
 
 
-@query("drift_page_hinkley")
+_NUMBERED = """e AS (SELECT event_id, user_id, value AS x, CAST(event_type = 'error' AS DOUBLE) AS miss, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events)"""
+
+
+@query(
+    "drift_page_hinkley",
+    sql=f"""
+WITH RECURSIVE {_NUMBERED},
+s(user_id, r, event_id, n, total, level, drift, estimate) AS (
+  SELECT user_id, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0.0::DOUBLE, 0.0::DOUBLE, false, 0.0::DOUBLE FROM (SELECT DISTINCT user_id FROM e)
+  UNION ALL
+  SELECT user_id, r, event_id, CASE WHEN hit THEN 0 ELSE n END, CASE WHEN hit THEN 0.0 ELSE total END, CASE WHEN hit THEN 0.0 ELSE level END, hit, total / n
+  FROM (SELECT *, n + 1 >= 30 AND level >= 200 AS hit FROM (
+    SELECT e.user_id, e.r, e.event_id, s.n + 1 AS n, s.total + e.x AS total,
+      greatest(0.9999 * s.level + e.x - (s.total + e.x) / (s.n + 1) - 0.005, 0.0) AS level FROM s JOIN e ON e.user_id = s.user_id AND e.r = s.r + 1)))
+SELECT event_id, user_id, drift, false AS warning, {Q6("estimate")} AS estimate FROM s WHERE r > 0
+""",
+)
 def drift_page_hinkley(spark, sf):
     """Page-Hinkley drift flags on each user's event values."""
     from ..operators import drift as D
 
     e = T(spark, sf, "events").select("event_id", "user_id", "value")
-    return D.detect_drift(e, "value", "user_id", "event_id", detector="page_hinkley", threshold=200.0)
+    found = D.detect_drift(e, "value", "user_id", "event_id", detector="page_hinkley", threshold=200.0)
+    return found.select("event_id", "user_id", "drift", "warning", q6("estimate").alias("estimate"))
 
 
-@query("drift_ddm")
+@query(
+    "drift_ddm",
+    sql=f"""
+WITH RECURSIVE {_NUMBERED},
+s(user_id, r, event_id, n, total, low, low_rate, low_dev, drift, warning, estimate) AS (
+  SELECT user_id, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0.0::DOUBLE, 'inf'::DOUBLE, 'inf'::DOUBLE, 'inf'::DOUBLE, false, false, 0.0::DOUBLE FROM (SELECT DISTINCT user_id FROM e)
+  UNION ALL
+  SELECT user_id, r, event_id, CASE WHEN hit THEN 0 ELSE n END, CASE WHEN hit THEN 0.0 ELSE total END, CASE WHEN hit THEN 'inf'::DOUBLE ELSE low END,
+    CASE WHEN hit THEN 'inf'::DOUBLE ELSE low_rate END, CASE WHEN hit THEN 'inf'::DOUBLE ELSE low_dev END, hit, NOT hit AND n >= 30 AND rate + dev > low_rate + 2 * low_dev, rate
+  FROM (SELECT *, n >= 30 AND rate + dev > low_rate + 3 * low_dev AS hit FROM (
+    SELECT user_id, r, event_id, n, total, rate, dev, CASE WHEN new THEN rate + dev ELSE low END AS low, CASE WHEN new THEN rate ELSE low_rate END AS low_rate, CASE WHEN new THEN dev ELSE low_dev END AS low_dev
+    FROM (SELECT *, n >= 30 AND rate + dev <= low AS new FROM (SELECT *, sqrt(greatest(rate * (1 - rate), 0) / n) AS dev FROM (
+      SELECT e.user_id, e.r, e.event_id, s.n + 1 AS n, s.total + e.miss AS total, (s.total + e.miss) / (s.n + 1) AS rate, s.low, s.low_rate, s.low_dev
+      FROM s JOIN e ON e.user_id = s.user_id AND e.r = s.r + 1))))))
+SELECT event_id, user_id, drift, warning, {Q6("estimate")} AS estimate FROM s WHERE r > 0
+""",
+)
 def drift_ddm(spark, sf):
     """DDM on each user's error stream (an 'error' event counts as a miss)."""
-    from ..operators import drift as D
-
-    e = T(spark, sf, "events").select("event_id", "user_id", (F.col("event_type") == "error").cast("double").alias("miss"))
-    return D.detect_drift(e, "miss", "user_id", "event_id", detector="ddm")
+    return _user_drift(spark, sf, "ddm", "miss").select("event_id", "user_id", "drift", "warning", q6("estimate").alias("estimate"))
 
 
 def _user_drift(spark, sf, detector, on="value", **params):

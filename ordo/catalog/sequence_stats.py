@@ -223,7 +223,14 @@ def rolling_cov_pearson(spark, sf):
     return out.select("event_id", "user_id", q6("rcov").alias("rcov"), q6("rpearson").alias("rpearson"))
 
 
-@query("rolling_mode")
+@query(
+    "rolling_mode",
+    sql="""
+WITH e AS (SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events),
+c AS (SELECT a.event_id, a.user_id, b.event_type, count(*) AS n, min(b.r) AS first FROM e a JOIN e b ON b.user_id = a.user_id AND b.r BETWEEN a.r - 9 AND a.r GROUP BY 1, 2, 3)
+SELECT event_id, user_id, event_type AS event_type_rmode FROM c QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY n DESC, first) = 1
+""",
+)
 def rolling_mode(spark, sf):
     """Most frequent event type among each user's last 10 events (ties: earliest in window)."""
     e = _events(spark, sf, "event_type")
