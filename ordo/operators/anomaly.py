@@ -1,18 +1,13 @@
 """Anomaly scorers and thresholders.
 
 Half-space trees: the score of a row depends only on the node masses of the
-*previous* window of ``window_size`` rows, so every window is independent
-once masses are known.  The plan is
-
-1. global row number (blocked running count) -> window id;
-2. ``mapInPandas``: each row descends every tree with vectorised numpy
-   (trees are parameters, broadcast once) -> one leaf id per tree;
-3. leaf counts per (window, tree, leaf): a partial+final aggregate, shifted
-   to the window that uses them;
-4. ``cogroup`` rows of window w with leaf counts of window w-1; in pandas the
-   internal node masses are leaf-count sums and the score is the
-   depth-weighted mass along each path (stop once the mass drops below
-   0.1·window).  The first window scores 0.
+*previous* window of ``window_size`` rows.  Rows are numbered once and cut into
+blocks of many windows, each with the window before its first (``plans.rows``);
+one call scores a block.  Each row descends every tree in numpy to one leaf; a
+node's mass is the number of the previous window's leaves below it, two binary
+searches among that window's sorted leaves, and the score is the depth-weighted
+mass along each path (it stops once the mass drops below 0.1·window).  The
+first window scores 0.  A null or NaN feature goes left.
 
 Trees are drawn from a seeded generator on the driver (their size is set by
 the parameters, not the data).
@@ -29,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.stats import Stat
-from .sequence import row_number
+from ..plans.rows import PLACE, blockwise, placed, plus
 from .windows import _as_list, _window, running
 
 
@@ -112,49 +107,34 @@ def hst_score_window(leaves: np.ndarray, prev_leaves: np.ndarray | None, n_trees
     return 1.0 - score / max_score
 
 
+def hst_scores(leaves: np.ndarray, windows: np.ndarray, own: int, n_trees: int, height: int, window_size: int) -> np.ndarray:
+    """Scores of the rows from ``own`` on, given the leaves and the window number of all rows in order."""
+    out = np.zeros(len(leaves) - own)
+    edges = [own, *(own + 1 + np.flatnonzero(np.diff(windows[own:]))).tolist(), len(leaves)]
+    for a, z in zip(edges[:-1], edges[1:]):
+        if windows[a] > 0:
+            first, end = np.searchsorted(windows, [windows[a] - 1, windows[a]])
+            out[a - own : z - own] = hst_score_window(leaves[a:z], leaves[first:end], n_trees, height, window_size)
+    return out
+
+
 def half_space_trees(df: DataFrame, features: Sequence[str], order: Sequence[str] | str, n_trees: int = 10,
                      height: int = 8, window_size: int = 250,
                      limits: Mapping[str, tuple[float, float]] | None = None, seed: int = 0,
-                     id_col: str = "_rn", name: str = "hst_score") -> DataFrame:
-    """Test-then-train half-space-tree anomaly score of every row (1 = anomalous)."""
-    order = _as_list(order)
-    spark = df.sparkSession
-    feat, thr = hst_trees(features, n_trees, height, limits, seed)
-    b_feat, b_thr = spark.sparkContext.broadcast(feat), spark.sparkContext.broadcast(thr)
-    d = row_number(df, None, order, id_col)
-    d = d.withColumn("_w", F.floor((F.col(id_col) - 1) / window_size).cast("long"))
-    fcols = list(features)
-    # Each row is sent twice: to its own window (to be scored, with every
-    # column riding along) and to the next window (features only, as mass).
-    # One shuffle, one pass over the upstream plan, no join back.
-    others = [c for c in d.columns if c not in ("_w",)]
-    roles = F.explode(F.array(
-        F.struct(F.col("_w").alias("_g"), F.lit(0).alias("_role")),
-        F.struct((F.col("_w") + 1).alias("_g"), F.lit(1).alias("_role"))))
-    x = d.select(*others, roles.alias("_r")).select(
-        "_r._g", "_r._role", *[F.col(c) if c in fcols else F.when(F.col("_r._role") == 0, F.col(c)).alias(c)
-                               for c in others])
-    out_fields = [f for f in d.schema.fields if f.name != "_w"] + [T.StructField(name, T.DoubleType())]
-    out_schema = T.StructType(out_fields)
-    out_cols = [f.name for f in out_fields]
-
-    def score_fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf[pdf["_role"] == 0]
-        if len(rows) == 0:
-            return pd.DataFrame({c: pd.Series([], dtype=object) for c in out_cols})
-        fe, th = b_feat.value, b_thr.value
-        L = hst_leaves(rows[fcols].to_numpy(dtype=float), fe, th, height)
-        prev = pdf[pdf["_role"] == 1]
-        if int(rows["_g"].iloc[0]) == 0 or len(prev) == 0:
-            s = np.zeros(len(rows))
-        else:
-            P = hst_leaves(prev[fcols].to_numpy(dtype=float), fe, th, height)
-            s = hst_score_window(L, P, n_trees, height, window_size)
-        out = rows.drop(columns=["_g", "_role"])
-        out[name] = s
-        return out[out_cols]
-
-    return x.groupBy("_g").applyInPandas(score_fn, out_schema)
+                     id_col: str = "_rn", name: str = "hst_score", windows_per_block: int = 40) -> DataFrame:
+    """Test-then-train half-space-tree anomaly score of every row (1 = anomalous); ``id_col`` numbers the rows from 1."""
+    order, fcols = _as_list(order), list(features)
+    trees = df.sparkSession.sparkContext.broadcast(hst_trees(features, n_trees, height, limits, seed))
+    rows = placed(df, [], order)
+    schema = plus(rows, (id_col, T.LongType()), (name, T.DoubleType()))
+
+    def run(frame: pd.DataFrame, own: int) -> pd.DataFrame:
+        places = frame[PLACE].to_numpy()
+        leaves = hst_leaves(frame[fcols].to_numpy(dtype=float), *trees.value, height)
+        found = hst_scores(leaves, places // window_size, own, n_trees, height, window_size)
+        return frame.iloc[own:].assign(**{id_col: places[own:] + 1, name: found})[schema.names]
+
+    return blockwise(rows, [], max(1, windows_per_block) * window_size, window_size, run, schema)
 
 
 def threshold_constant(df: DataFrame, score: str, threshold: float, name: str = "is_anomaly") -> DataFrame:

@@ -102,8 +102,9 @@ def blockwise(df: DataFrame, by: Sequence[str], rows: int, before: int, fn: Call
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(PLACE, ignore_index=True)
-        first = int(frame[BLOCK].iloc[0]) * rows
-        return fn(frame, int(frame[PLACE].searchsorted(first)))
+        own = int(frame[PLACE].searchsorted(int(frame[BLOCK].iloc[0]) * rows))
+        # past the last row there may be a block of rows to look back to only
+        return fn(frame, own) if own < len(frame) else pd.DataFrame(columns=schema.names)
 
     if before > rows:
         raise ValueError("blocks must have at least as many rows as they look back")
