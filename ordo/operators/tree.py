@@ -83,7 +83,6 @@ def candidates(rows: DataFrame, numeric: Sequence[str], nominal: Sequence[str],
     ``rows`` has ``NODE`` and ``Y``, an array of ``size`` numbers whose sums
     are the statistics.  Nulls and NaN of a feature are in neither branch.
     """
-    sums = F.array(*[F.sum(F.col(Y)[i]) for i in range(size)])
     parts = []
     if numeric:
         ends = []
@@ -103,21 +102,20 @@ def candidates(rows: DataFrame, numeric: Sequence[str], nominal: Sequence[str],
                 over = over + (x > F.col(f"lo{i}") + step * (k + 1)).cast("int")
             found.append(F.struct(F.lit(i).alias("f"), F.when(~F.isnan(x), over).alias("bin"), F.col(f"lo{i}").alias("lo"), step.alias("step")))
         bins = met.select(NODE, Y, F.explode(F.array(*found)).alias("c")).select(NODE, Y, "c.*").filter("bin IS NOT NULL")
-        bins = bins.groupBy(NODE, "f", "bin", "lo", "step").agg(sums.alias("part"))
-        grid = bins.groupBy(NODE, "f", "lo", "step").agg(F.map_from_entries(F.collect_list(F.struct("bin", "part"))).alias("parts"))
-        zero = F.array(*[F.lit(0.0)] * size)
-        add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-        part = lambda k: F.coalesce(F.col("parts")[k], zero)
-        lefts, upto = [], zero
-        for k in range(n_splits + 1):
-            upto = add(upto, part(F.lit(k)))
-            lefts.append(upto)
-        whole = grid.select(NODE, "f", "lo", "step", lefts[-1].alias("whole"), F.explode(F.array(*[F.struct((F.col("lo") + F.col("step") * (k + 1)).alias("at"), lefts[k].alias("left")) for k in range(n_splits)])).alias("s"))
-        right = F.zip_with("whole", "s.left", lambda a, b: a - b)
+        bins = bins.groupBy(NODE, "f", "bin", "lo", "step").agg(*[F.sum(F.col(Y)[i]).alias(f"p{i}") for i in range(size)])
+        whole = Window.partitionBy(NODE, "f")
+        upto = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+        left = F.array(*[F.sum(f"p{i}").over(upto) for i in range(size)])
+        right = F.array(*[F.sum(f"p{i}").over(whole) - F.sum(f"p{i}").over(upto) for i in range(size)])
         names = F.array(*[F.lit(c) for c in numeric])
-        parts.append(whole.filter("step > 0").select(NODE, F.get(names, F.col("f")).alias("feature"), F.col("s.at").cast("string").alias("at"), F.col("s.left").alias("left"), right.alias("right")))
+        # thresholds of the empty ranges that follow split as this one
+        end = F.coalesce(F.lead("bin").over(whole.orderBy("bin")), F.lit(n_splits))
+        splits = bins.select(NODE, "f", "bin", "lo", "step", left.alias("left"), right.alias("right"), end.alias("end"))
+        splits = splits.filter(f"bin < {n_splits} AND step > 0").withColumn("k", F.explode(F.sequence("bin", F.col("end") - 1)))
+        at = (F.col("lo") + F.col("step") * (F.col("k") + 1)).cast("string")
+        parts.append(splits.select(NODE, F.get(names, F.col("f")).alias("feature"), at.alias("at"), "left", "right"))
     for c in nominal:
-        values = rows.filter(F.col(c).isNotNull()).groupBy(NODE, F.col(c).cast("string").alias("at")).agg(sums.alias("left"))
+        values = rows.filter(F.col(c).isNotNull()).groupBy(NODE, F.col(c).cast("string").alias("at")).agg(F.array(*[F.sum(F.col(Y)[i]) for i in range(size)]).alias("left"))
         everything = values.groupBy(NODE).agg(F.array(*[F.sum(F.col("left")[i]) for i in range(size)]).alias("whole"))
         right = F.zip_with("whole", "left", lambda a, b: a - b)
         parts.append(values.join(everything, NODE).select(NODE, F.lit(c).alias("feature"), "at", "left", right.alias("right")))

@@ -12,7 +12,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Mapping, Sequence
 
