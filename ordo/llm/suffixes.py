@@ -200,57 +200,54 @@ def segments(docs: DataFrame, length: int) -> DataFrame:
     return docs.select("key", "text", "runs").mapInArrow(run, "gram long, key long, run int, known boolean, at int, bytes binary")
 
 
-def _spread(old: np.ndarray, kept: np.ndarray, spots: np.ndarray, value) -> np.ndarray:
-    out = np.empty(len(kept) + len(spots), old.dtype)
-    out[kept], out[spots] = old, value
-    return out
-
-
 def suffix_order(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(segment, start) of all non-empty suffixes of a collection in order, built column by column.
 
-    ``symbols`` is the Burrows-Wheeler transform of the suffixes inserted so
-    far: before each suffix, the symbol that the next round inserts (0) or the
-    one inserted.  Symbols are kept as 1 to 256, so 0 marks a suffix whose
-    left symbol is still to come.  Equal suffixes follow the segments' order.
+    The Burrows-Wheeler transform of the suffixes inserted so far holds, before
+    each suffix, the symbol that was inserted there; it is kept as the places of
+    each symbol, symbol after symbol.  A round inserts one symbol of every
+    segment: how often it stands before the place of the segment's latest suffix
+    gives the new suffix's place, and all places after it move up.  Symbols are
+    1 to 256; equal suffixes follow the segments' order.
     """
     m = len(texts)
     sizes = np.array([len(t) for t in texts])
-    pool = np.frombuffer(b"".join(texts), np.uint8).astype(np.int16) + 1
+    pool = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + 1
     ends = np.cumsum(sizes)
-    symbols = np.zeros(m, np.int16)  # the empty suffixes, in the segments' order
-    owner, start = np.arange(m, dtype=np.int32), sizes.astype(np.int32)
+    names = np.arange(m, dtype=np.int32)  # of the suffixes in order, by when they came; first the empty ones
+    owners, starts = [np.arange(m, dtype=np.int32)], [sizes.astype(np.int32)]
     place = np.arange(m)  # of each segment's latest suffix
+    places = np.zeros(0, np.int64)  # of the symbols in the transform, by symbol
     counts = np.zeros(258, np.int64)  # suffixes by first symbol; 0: the empty ones
-    counts[0] = m
+    counts[0] = made = m
     for column in range(1, int(sizes.max(initial=0)) + 1):
         live = np.flatnonzero(sizes >= column)
-        new = pool[ends[live] - column]
-        at = place[live]
+        new, at = pool[ends[live] - column], place[live]
+        by = np.lexsort((at, new))  # new suffixes with one place keep the order of symbol and of what follows
+        live, new, at = live[by], new[by], at[by]
         below = np.cumsum(counts) - counts  # C: suffixes that begin with a lesser symbol
-        # rank: how often the symbol stands in the transform before the place of the segment's latest suffix
-        order = np.argsort(symbols, kind="stable")
-        ordered = symbols[order].astype(np.int64) * (len(symbols) + 1) + order
-        wanted = new.astype(np.int64) * (len(symbols) + 1) + at
-        rank = np.searchsorted(ordered, wanted) - np.searchsorted(ordered, new.astype(np.int64) * (len(symbols) + 1))
-        target = below[new] + rank
-        symbols[at] = new
-        # new suffixes with one target keep the order of symbol and of what follows
-        by = np.lexsort((at, new))
-        live, target = live[by], target[by]
-        # all arrays shift to make room, in one pass each
-        spots = target + np.arange(len(target))
-        room = np.ones(len(symbols) + len(target), bool)
+        first = below - m  # of each symbol in ``places``
+        rank = np.empty(len(live), np.int64)
+        lo = 0
+        for hi in [*(np.flatnonzero(np.diff(new)) + 1).tolist(), len(new)]:
+            own = places[first[new[lo]] : first[new[lo]] + counts[new[lo]]]
+            rank[lo:hi] = np.searchsorted(own, at[lo:hi])
+            lo = hi
+        spots = below[new] + rank + np.arange(len(live))
+        room = np.ones(len(names) + len(live), bool)
         room[spots] = False
         kept = np.flatnonzero(room)
-        symbols, owner, start = (
-            _spread(old, kept, spots, value) for old, value in ((symbols, 0), (owner, live), (start, sizes[live] - column))
-        )
+        places = kept[np.insert(places, first[new] + rank, at)]
+        grown = np.empty(len(room), np.int32)
+        grown[kept], grown[spots] = names, np.arange(made, made + len(live))
+        names = grown
+        owners.append(live.astype(np.int32))
+        starts.append((sizes[live] - column).astype(np.int32))
+        made += len(live)
         place = kept[place]
         place[live] = spots
         counts += np.bincount(new, minlength=258)
-    full = counts[0]
-    return owner[full:], start[full:]
+    return np.concatenate(owners)[names[m:]], np.concatenate(starts)[names[m:]]
 
 
 def repeated_windows(texts: list[bytes], known: np.ndarray, length: int) -> Iterator[tuple[int, np.ndarray]]:
