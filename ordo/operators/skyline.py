@@ -11,6 +11,11 @@ so a row can only be dominated by one before it: the front of the first block
 is final, prunes the rest, and the next block follows.  A block is what the
 driver and each task hold of the front at a time; a front of any size is found
 in as many rounds as it has blocks.
+
+With keys, rows of different keys never meet: each task sorts what it reads by
+key and score and thins it out, survivors are dealt by key, and a task finds
+the front of one key after the other.  Only keys with more survivors than a
+block holds go through the rounds.
 """
 
 from __future__ import annotations
@@ -32,6 +37,7 @@ KEY, SCORE = "_ordo_key", "_ordo_score"
 CELLS = 1 << 21  # comparisons held at a time
 FIRST = 1024  # rows of the best scores that prune the whole table
 LOCAL = 4096  # rows of the front that a task keeps to prune what it reads
+STEP = 256  # rows, sorted by key, that are compared with each other at a time
 
 
 def image(df: DataFrame, name: str, falling: bool = False) -> Column:
@@ -84,6 +90,31 @@ def front_of(points: list[np.ndarray], keys: np.ndarray, score: np.ndarray) -> n
     return kept
 
 
+def fronts_of_keys(batches: Iterator[pa.RecordBatch], names: Sequence[str], most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Undominated rows of every key; the rows come by key, score and criteria.
+
+    Of the last key's front up to ``most`` rows are kept for those that follow.
+    """
+    front, front_keys = None, np.zeros(0, np.int64)
+    for batch in batches:
+        for at in range(0, batch.num_rows, STEP):
+            part = batch.slice(at, STEP)
+            data, keys = [part.column(n).to_numpy() for n in names], part.column(KEY).to_numpy()
+            live = np.arange(len(keys))
+            if len(front_keys) and front_keys[0] == keys[0]:
+                met = int(np.searchsorted(keys, keys[0], "right"))
+                gone = dominated([d[:met] for d in data], keys[:met], front, front_keys)
+                live = np.concatenate([np.flatnonzero(~gone), np.arange(met, len(keys))])
+            live = live[~dominated([d[live] for d in data], keys[live], [d[live] for d in data], keys[live])]
+            last = live[keys[live] == keys[-1]]
+            if len(front_keys) and front_keys[0] == keys[-1]:
+                front = [np.concatenate([f, d[last]])[:most] for f, d in zip(front, data, strict=True)]
+                front_keys = np.concatenate([front_keys, keys[last]])[:most]
+            else:
+                front, front_keys = [d[last][:most] for d in data], keys[last][:most]
+            yield part.take(pa.array(live))
+
+
 def skyline(
     df: DataFrame,
     minimize: Sequence[str] | str | None = None,
@@ -161,9 +192,20 @@ def _front(points: DataFrame, names: list[str], kept: list[str], block_rows: int
 
         return rows.mapInArrow(run, rows.schema)
 
-    # the best few scores prune most rows before anything is shuffled
-    left = written(pruned(points, block(points, FIRST), True).distinct(), "front")
+    def by_key(rows: DataFrame, most: int | None) -> DataFrame:
+        return rows.sortWithinPartitions(KEY, *order).mapInArrow(lambda batches: fronts_of_keys(batches, names, most), rows.schema)
+
     found = []
+    if kept:
+        left = written(by_key(points, LOCAL).distinct(), "front")
+        large = left.groupBy(KEY).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block_rows).select(KEY)
+        if large.isEmpty():
+            return by_key(left.repartition(KEY), None)
+        found.append(by_key(left.join(large, KEY, "left_anti").repartition(KEY), None))
+        left = written(left.join(large, KEY, "left_semi"), "front")
+    else:
+        # the best few scores prune most rows before anything is shuffled
+        left = written(pruned(points, block(points, FIRST), True).distinct(), "front")
     while True:
         best = block(left, block_rows)
         found.append(written(spark.createDataFrame(best, left.schema), "front"))

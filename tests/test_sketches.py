@@ -39,6 +39,22 @@ def test_skyline_by_key_with_odd_values(spark):
         K.skyline(df, minimize="k")
 
 
+@pytest.mark.parametrize("block_rows,local", [(8, 4096), (20_000, 7)])
+def test_skyline_of_many_keys_takes_no_round_a_block(spark, monkeypatch, block_rows, local):
+    """Fronts of small keys are found side by side; only a key with more survivors than a block takes rounds."""
+    monkeypatch.setattr(K, "LOCAL", local)
+    monkeypatch.setattr(K, "STEP", 5)
+    names, write = [], K.written
+    monkeypatch.setattr(K, "written", lambda df, name: names.append(name) or write(df, name))
+    rng = random.Random(3)
+    rows = [(k if k else None, rng.randint(0, 9), rng.randint(0, 9)) for k in range(90) for _ in range(12)] + [(500, i, i) for i in range(30)] * 2
+    df = spark.createDataFrame(rows, "k long, a long, b long").repartition(3)
+    got = [tuple(r) for r in K.skyline(df, minimize="a", maximize="b", by="k", block_rows=block_rows).collect()]
+    want = [y for y in rows if not any(x[0] == y[0] and x[1] <= y[1] and x[2] >= y[2] and x != y for x in rows)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert len(names) <= (12 if block_rows == 8 else 1)
+
+
 def cdf_of(h, x):
     total = 0.0
     for b in h.bins:
