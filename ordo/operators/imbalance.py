@@ -10,8 +10,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from ..functions.stats import Stat
 from .windows import _as_list, running
@@ -26,20 +29,34 @@ def draw(key: str | Column, seed: int = 0) -> Column:
     return (h.bitwiseXOR(F.shiftright(h, 16)).cast("double") + 0.5) / 2.0**32
 
 
+@F.pandas_udf(IntegerType())
+def _least(rate: pd.Series, none: pd.Series, end: pd.Series, u: pd.Series) -> pd.Series:
+    """The search of ``poisson`` for a whole batch; ``none`` is the chance of 0."""
+    found = np.zeros(len(rate), np.int32)
+    known = np.flatnonzero(rate.notna())
+    r, p, last, v = (s.to_numpy(float)[known] for s in (rate, none, end, u))
+    at, cdf, k = known, p, 0
+    while len(at):
+        k += 1
+        on = (cdf < v) & (k <= last)
+        at, r, p, cdf, last, v = at[on], r[on], p[on], cdf[on], last[on], v[on]
+        found[at] = k
+        p = p * r / k
+        cdf = cdf + p
+    return pd.Series(found, dtype="Int32").mask(rate.isna())
+
+
+# so that neither the filter nor the explode after it computes the draws once more
+_least = _least.asNondeterministic()
+
+
 def poisson(rate: Column, u: Column) -> Column:
     """Poisson draw for a uniform number: the least k whose distribution function reaches it.
 
     The search ends 12 standard deviations above the mean, beyond any u that
     a double can tell from 1.
     """
-    end = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
-    step = lambda s, k: F.struct(
-        (s["p"] * rate / k).alias("p"),
-        (s["cdf"] + s["p"] * rate / k).alias("cdf"),
-        F.when(s["cdf"] < u, k).otherwise(s["n"]).cast("int").alias("n"),
-    )
-    start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("cdf"), F.lit(0).alias("n"))
-    return F.aggregate(F.sequence(F.lit(1), end), start, step, lambda s: s["n"])
+    return _least(rate, F.exp(-rate), F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int"), u)
 
 
 def class_rates(df: DataFrame, y: str, wished: Mapping, order: Sequence[str] | str) -> DataFrame:
@@ -80,7 +97,7 @@ def oversample(df: DataFrame, y: str, wished: Mapping, key: str, order: Sequence
     A row of the class least wanted comes once, others a Poisson number of times.
     """
     rows = class_rates(df, y, wished, order)
-    rate = F.col("_ordo_own") / F.col("_ordo_low")
+    rate = F.when(F.col("_ordo_own") > F.col("_ordo_low"), F.col("_ordo_own") / F.col("_ordo_low"))
     times = F.when(F.col("_ordo_own") <= F.col("_ordo_low"), 1).otherwise(poisson(rate, draw(key, seed)))
     return _repeated(rows.withColumn("_ordo_n", times), copy)
 

@@ -33,6 +33,25 @@ def test_poisson(spark, rate):
     assert n.count(0) / len(n) == pytest.approx(math.exp(-rate), abs=0.01)
 
 
+def test_poisson_is_searched_once_a_row(spark, rows):
+    """The draws are a batch's work, not computed again by the filter and the explode."""
+    def plain(rate, u):
+        p = cdf = math.exp(-rate)
+        n, end = 0, math.ceil(rate + 12 * math.sqrt(rate) + 30)
+        while cdf < u and n < end:
+            n += 1
+            p = p * rate / n
+            cdf += p
+        return n
+
+    given = [(0.3, 0.9), (2.0, 0.5), (700.0, 0.2), (1.0, 0.1), (None, 0.5), (2.0, None), (900.0, 0.5)]
+    df = spark.createDataFrame(given, "rate double, u double").coalesce(1)
+    got = [r.n for r in df.select(I.poisson(F.col("rate"), F.col("u")).alias("n")).collect()]
+    assert got == [None if rate is None else 0 if u is None else plain(rate, u) for rate, u in given]
+    plan = I.oversample(rows, "y", {"a": 0.5, "b": 0.5}, "i", "i")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [") == 1 and "aggregate(sequence(" not in plan
+
+
 @pytest.mark.parametrize("hot", [None, "50"])
 def test_classes_reach_what_is_wished(spark, rows, hot):
     wished = {"a": 0.5, "b": 0.5}
