@@ -4,8 +4,8 @@ Half-space trees: the score of a row depends only on the node masses of the
 *previous* window of ``window_size`` rows.  Rows are numbered once and cut into
 blocks of many windows, each with the window before its first (``plans.rows``);
 one call scores a block.  Each row descends every tree in numpy to one leaf; a
-node's mass is the number of the previous window's leaves below it, two binary
-searches among that window's sorted leaves, and the score is the depth-weighted
+node's mass is the number of the previous window's leaves below it, counted for
+all windows of the block at once, and the score is the depth-weighted
 mass along each path (it stops once the mass drops below 0.1·window).  The
 first window scores 0.  A null or NaN feature goes left.
 
@@ -72,12 +72,11 @@ def hst_leaves(X: np.ndarray, feat: np.ndarray, thr: np.ndarray, height: int) ->
     """Leaf heap ids (n_rows, n_trees): go right when x >= threshold."""
     n = X.shape[0]
     out = np.empty((n, feat.shape[0]), dtype=np.int64)
-    rows = np.arange(n)
+    flat, rows = np.ascontiguousarray(X).ravel(), np.arange(n) * X.shape[1]
     for t in range(feat.shape[0]):
         node = np.ones(n, dtype=np.int64)
         for _ in range(height):
-            f = feat[t, node]
-            node = 2 * node + (X[rows, f] >= thr[t, node])
+            node = 2 * node + (flat.take(rows + feat[t].take(node)) >= thr[t].take(node))
         out[:, t] = node
     return out
 
@@ -108,13 +107,41 @@ def hst_score_window(leaves: np.ndarray, prev_leaves: np.ndarray | None, n_trees
 
 
 def hst_scores(leaves: np.ndarray, windows: np.ndarray, own: int, n_trees: int, height: int, window_size: int) -> np.ndarray:
-    """Scores of the rows from ``own`` on, given the leaves and the window number of all rows in order."""
-    out = np.zeros(len(leaves) - own)
-    edges = [own, *(own + 1 + np.flatnonzero(np.diff(windows[own:]))).tolist(), len(leaves)]
-    for a, z in zip(edges[:-1], edges[1:]):
-        if windows[a] > 0:
-            first, end = np.searchsorted(windows, [windows[a] - 1, windows[a]])
-            out[a - own : z - own] = hst_score_window(leaves[a:z], leaves[first:end], n_trees, height, window_size)
+    """Scores of the rows from ``own`` on, given the leaves and the window number of all rows in order.
+
+    As ``hst_score_window`` for all windows at once: a level is looked at only
+    for rows whose path still has mass, in a table of counts while it is small
+    and by binary search below.
+    """
+    size_limit = 0.1 * window_size
+    max_score = n_trees * window_size * (2 ** (height + 1) - 1)
+    at = (windows - windows[0]).astype(np.int64) if len(windows) else windows
+    count = int(at[-1]) + 1 if len(at) else 0
+    earlier = at[own:] - 1  # the window that a row is judged by
+    score = np.zeros(len(leaves) - own)
+    held = np.bincount(at, minlength=count)
+    judged = np.flatnonzero(earlier >= 0)
+    judged = judged[held[earlier[judged]] > 0]
+    for t in range(n_trees):
+        leaf = np.ascontiguousarray(leaves[:, t])
+        rows, mine, before, keys = judged, leaf[own:][judged], earlier[judged], None
+        for depth in range(height + 1):
+            shift = height - depth
+            if 2**depth <= window_size:  # nodes of a level are numbered from 2 ** depth
+                masses = np.bincount((at << depth) + (leaf >> shift) - 2**depth, minlength=count << depth)
+                m = masses[(before << depth) + (mine >> shift) - 2**depth]
+            else:
+                if keys is None:
+                    keys = np.sort((at << (height + 2)) + leaf)
+                first = (before << (height + 2)) + ((mine >> shift) << shift)
+                m = np.searchsorted(keys, first + (1 << shift)) - np.searchsorted(keys, first)
+            score[rows] += m * 2.0**depth
+            alive = np.flatnonzero(m >= size_limit)
+            if not len(alive):
+                break
+            rows, mine, before = rows[alive], mine[alive], before[alive]
+    out = np.zeros(len(score))
+    out[judged] = 1.0 - score[judged] / max_score
     return out
 
 

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from ordo.operators import anomaly as A
 from ordo.operators import drift as D
 from ordo.operators.anomaly import hst_leaves, hst_score_window, hst_trees
 
@@ -114,3 +115,19 @@ def test_hst_window_scores_equal_online_algorithm():
         rows = L[w * W:(w + 1) * W]
         got += [0.0] * W if w == 0 else list(hst_score_window(rows, L[(w - 1) * W:w * W], n_trees, h, W))
     assert np.allclose(got, expected, atol=1e-12)
+
+
+def test_hst_scores_of_many_windows_in_one_go(monkeypatch):
+    """Equal to window after window, first windows and halves of windows included, without a call for each."""
+    rng = np.random.default_rng(5)
+    for n_trees, h, W, n, own, first in [(4, 6, 20, 210, 20, 3), (4, 6, 20, 207, 0, 0), (3, 5, 4, 33, 4, 1), (2, 1, 7, 7, 0, 5)]:
+        X = rng.random((n, 3))
+        X[: n // 2, 1] = 0.0
+        L = A.hst_leaves(X, *hst_trees("abc", n_trees, h, seed=2), h)
+        windows = first + np.arange(n) // W
+        want = np.zeros(n)
+        for w in range(max(1, first), windows[-1] + 1):
+            want[windows == w] = hst_score_window(L[windows == w], L[windows == w - 1], n_trees, h, W)
+        with monkeypatch.context() as m:
+            m.delattr(A, "hst_score_window")
+            assert (A.hst_scores(L, windows, own, n_trees, h, W) == want[own:]).all()
