@@ -5,7 +5,8 @@ all documents of the other folds.  Counts are summed once per (term, class,
 fold) and each fold's own part is taken off again, so several folds cost one
 pass.  A class's score splits into a part that depends on the class alone, one
 on the document alone, and gains of the (term, class) pairs that occur, so only
-those are joined.
+those are joined: a term's gains are one row, and a document's terms meet them
+where the document is, but for seldom terms.
 """
 
 from __future__ import annotations
@@ -17,9 +18,12 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import Stat
 from ..plans.rows import written
+from ..plans.session import CONF_BROADCAST_ROWS, conf_int
 from .windows import lagged, running
 
 EPSILON = 10e-10  # fixed value: added to probabilities of the Bernoulli form
+SENT_TERMS = 150_000  # terms times folds that are sent to all tasks, those of the most documents
+WIDE = 50  # classes up to which a document's sums are columns, one a class
 MAX_CLASSES = 10_000  # classes times folds up to which their table is sent to all tasks
 
 
@@ -33,6 +37,48 @@ def _others(counts: DataFrame, keys: list[str], sums: list[str], folds: list) ->
     return out.filter(" OR ".join(f"{c} > 0" for c in sums))
 
 
+def _known(rows: DataFrame, classes: DataFrame, folds: list) -> DataFrame:
+    """(term, fold, t, d, met, of): each term of the other folds with its counts there, ``of`` an array of (y, n, d, docs) by class.
+
+    ``met`` tells whether the fold itself has the term.  All counts of a term
+    meet in one task once; what follows needs no further shuffle.
+    """
+    counts = rows.groupBy("term", "y", "fold").agg(F.sum("n").alias("n"), F.count(F.lit(1)).cast("double").alias("d"))
+    cells = counts.groupBy("term").agg(F.collect_list(F.struct("y", F.col("fold").alias("from"), "n", "d")).alias("cells"))
+    grid = cells.withColumn("fold", F.explode(F.array(*[F.lit(f) for f in folds if f is not None]).cast("array<int>")))
+    others = F.filter("cells", lambda c: c["y"].isNotNull() & ~c["from"].eqNullSafe(F.col("fold")))
+    met = F.exists("cells", lambda c: c["from"].eqNullSafe(F.col("fold")))
+    pairs = grid.select("term", "fold", met.alias("met"), F.explode(others).alias("c"))
+    pairs = pairs.groupBy("term", "fold", "met", F.col("c.y").alias("y")).agg(F.sum("c.n").alias("n"), F.sum("c.d").alias("d"))
+    pairs = pairs.join(classes.select("y", "fold", "docs"), ["y", "fold"])
+    return pairs.groupBy("term", "fold", "met").agg(F.sum("n").alias("t"), F.sum("d").alias("d"), F.collect_list(F.struct("y", "n", "d", "docs")).alias("of"))
+
+
+def _met(rows: DataFrame, gains: DataFrame) -> DataFrame:
+    """``rows`` with the gains of their term, null where the other folds do not know it.
+
+    Terms of the most documents are sent to all tasks, so that only rows of
+    other terms are shuffled.
+    """
+    most = conf_int(rows.sparkSession, CONF_BROADCAST_ROWS, SENT_TERMS)
+    size = F.floor(F.log2("d"))
+    held, least, whole = 0, math.inf, True
+    for r in gains.groupBy(size.alias("size")).count().orderBy(F.desc("size")).collect():  # one row a power of two
+        held += r["count"]
+        if held > most:
+            whole = False
+            break
+        least = 2.0 ** r["size"]
+    keys = ["term", "fold"]
+    if whole:
+        return rows.join(F.broadcast(gains), keys, "left")
+    if least == math.inf:
+        return rows.join(gains, keys, "left")
+    often = F.broadcast(gains.filter(F.col("d") >= least))
+    seldom = rows.join(often.select(*keys), keys, "left_anti").join(gains.filter(F.col("d") < least), keys, "left")
+    return rows.join(often, keys).unionByName(seldom)
+
+
 def naive_bayes(
     bow: DataFrame,
     docs: DataFrame,
@@ -60,14 +106,13 @@ def naive_bayes(
     if not fold:  # no document is in the fold that is left out
         rows = rows.withColumn("fold", F.lit(-1))
         about = about.withColumn("fold", F.lit(-1))
-    seen = rows.filter("y IS NOT NULL")
-    learnt = seen if fold else seen.withColumn("fold", F.lit(0))
-    pairs = written(_others(learnt.groupBy("term", "y", "fold").agg(F.sum("n").alias("n"), F.count(F.lit(1)).cast("double").alias("d")), ["term", "y"], ["n", "d"], folds), "pairs")
-    terms = pairs.groupBy("term", "fold").agg(F.sum("n").alias("t"))
-    sizes = terms.groupBy("fold").agg(F.count(F.lit(1)).alias("v"), F.sum("t").alias("t"))
     labelled = about.filter("y IS NOT NULL")
     labelled = labelled if fold else labelled.withColumn("fold", F.lit(0))
-    classes = _others(labelled.groupBy("y", "fold").agg(F.count(F.lit(1)).cast("double").alias("docs")), ["y"], ["docs"], folds)
+    classes = written(_others(labelled.groupBy("y", "fold").agg(F.count(F.lit(1)).cast("double").alias("docs")), ["y"], ["docs"], folds), "docs")
+    few = classes.count() <= MAX_CLASSES
+    known = written(_known(rows if fold else rows.withColumn("fold", F.lit(0)), F.broadcast(classes) if few else classes, folds), "pairs")
+    sizes = known.groupBy("fold").agg(F.count(F.lit(1)).alias("v"), F.sum("t").alias("t"))
+    pairs = known.select("term", "fold", F.explode("of").alias("c")).select("term", "fold", "c.*")
     totals = pairs.groupBy("y", "fold").agg(F.sum("n").alias("n_c"), F.count(F.lit(1)).alias("terms_c"))
     classes = classes.join(totals, ["y", "fold"], "left").fillna({"n_c": 0.0, "terms_c": 0}).join(sizes, "fold", "left").fillna({"v": 0, "t": 0.0})
     prior = F.log(F.col("docs") / F.sum("docs").over(Window.partitionBy("fold")))
@@ -75,31 +120,46 @@ def naive_bayes(
     if kind == "multinomial":
         below = F.log(F.col("n_c") + a * F.col("v"))
         classes = classes.select("fold", "y", prior.alias("at_class"), (math.log(alpha) - below).alias("at_word"), F.lit(0.0).alias("at_term"))
-        gains = pairs.select("term", "fold", "y", (F.log(F.col("n") + a) - math.log(alpha)).alias("gain"))
+        gain = lambda c: F.log(c["n"] + a) - math.log(alpha)
     elif kind == "bernoulli":
         there, absent = _bernoulli(F.lit(0.0), F.col("docs"), a)
-        known = pairs.join(classes.select("fold", "y", "docs"), ["fold", "y"])
-        one, none = _bernoulli(F.col("d"), F.col("docs"), a)
-        zero_one, zero_none = _bernoulli(F.lit(0.0), F.col("docs"), a)
-        rest = known.groupBy("fold", "y").agg(F.sum(none - zero_none).alias("rest"))
+        _, none = _bernoulli(F.col("d"), F.col("docs"), a)
+        rest = pairs.groupBy("fold", "y").agg(F.sum(none - absent).alias("rest"))
         classes = classes.join(rest, ["fold", "y"], "left").fillna({"rest": 0.0})
         classes = classes.select("fold", "y", (prior + F.col("v") * absent + F.col("rest")).alias("at_class"), F.lit(0.0).alias("at_word"), (there - absent).alias("at_term"))
-        gains = known.select("term", "fold", "y", (one - none - zero_one + zero_none).alias("gain"))
+
+        def gain(c):
+            one, none = _bernoulli(c["d"], c["docs"], a)
+            zero_one, zero_none = _bernoulli(F.lit(0.0), c["docs"], a)
+            return one - none - zero_one + zero_none
     else:
         left = F.col("t") + a * F.col("v") - F.col("n_c")
         classes = classes.select("fold", "y", F.lit(0.0).alias("at_class"), F.log(left).alias("at_word"), F.lit(0.0).alias("at_term"))
-        both = pairs.select("term", "fold", "y", "n").join(terms, ["term", "fold"])
-        gains = both.select("term", "fold", "y", (F.log(F.col("t") + a) - F.log(F.col("t") - F.col("n") + a)).alias("gain"))
+        gain = lambda c: F.log(F.col("t") + a) - F.log(F.col("t") - c["n"] + a)
     classes = written(classes, "classes")
 
-    # what a document's terms give whatever the class
-    common = -F.sum(F.col("n") * F.log(F.coalesce("t", F.lit(0.0)) + a)) if kind == "complement" else F.lit(0.0)
-    texts = rows.join(terms, ["term", "fold"], "left").groupBy(id_col, "fold").agg(
-        F.sum("n").alias("words"), F.count("t").alias("known"), common.alias("common")
-    )
+    # what a document's terms give whatever the class, and to each class
+    gains = known.filter("met") if fold else known
+    gains = gains.select("term", "fold", "t", "d", F.transform("of", lambda c: F.struct(c["y"].alias("y"), gain(c).alias("gain"))).alias("gains"))
+    labels = [r[0] for r in classes.select("y").distinct().orderBy("y").limit(WIDE + 1).collect()]
+    wide = len(labels) <= WIDE
+    if wide:  # one number a class, by its place
+        of = lambda y: F.coalesce(F.get(F.filter("gains", lambda g: g["y"] == y), F.lit(0))["gain"], F.lit(0.0))
+        gains = gains.select("term", "fold", "t", "d", *[of(F.lit(y)).alias(f"g{i}") for i, y in enumerate(labels)])
+    met = _met(rows.select(id_col, "term", "fold", "n"), gains)
+    common = -F.col("n") * F.log(F.coalesce("t", F.lit(0.0)) + a) if kind == "complement" else F.lit(0.0)
     weight = F.lit(1.0) if kind == "bernoulli" else F.col("n")
-    won = rows.select(id_col, "term", "fold", "n").join(gains, ["term", "fold"]).groupBy(id_col, "y").agg(F.sum(weight * F.col("gain")).alias("won"))
-    few = classes.count() <= MAX_CLASSES
+    about_doc = [F.sum("n").alias("words"), F.count("t").alias("known"), F.sum(common).alias("common")]
+    if wide:
+        sums = [F.coalesce(F.sum(weight * F.col(f"g{i}")), F.lit(0.0)).alias(f"g{i}") for i in range(len(labels))]
+        texts = written(met.groupBy(id_col, "fold").agg(*about_doc, *sums), "sums")
+        each = F.array(*[F.struct(F.lit(y).alias("y"), F.col(f"g{i}").alias("won")) for i, y in enumerate(labels)])
+        parts = texts.select(id_col, F.explode(each).alias("c")).select(id_col, "c.*") if labels else texts.select(id_col, F.lit(None).alias("y"), F.lit(0.0).alias("won")).limit(0)
+    else:
+        met = written(met, "met")
+        texts = met.groupBy(id_col, "fold").agg(*about_doc)
+        parts = met.select(id_col, weight.alias("w"), F.explode("gains").alias("g")).select(id_col, "g.y", (F.col("w") * F.col("g.gain")).alias("won"))
+    won = parts.groupBy(id_col, "y").agg(F.sum("won").alias("won"))
     scores = texts.join(F.broadcast(classes) if few else classes, "fold")
     base = F.col("at_class") + F.col("words") * F.col("at_word") + F.col("known") * F.col("at_term") + F.col("common")
     scores = scores.select(id_col, "y", base.alias("base")).join(won, [id_col, "y"], "left")
