@@ -93,3 +93,19 @@ def test_join_with_too_few_rows(spark):
     got = {r.i: [n.id for n in r.neighbors] for r in N.knn_join(df, df, ["x"], "i", "i", "y", k=5).collect()}
     assert got == {1: [2], 2: [1]}
     assert N.knn_join(df, df.limit(0), ["x"], "i", "i", "y").count() == 0
+
+
+def test_outlier_factors_share_the_order_of_a_chunk(monkeypatch):
+    """Rows are sorted once a chunk, not once a row; windows that start and slide give what brute force gives, ties included."""
+    rng = random.Random(7)
+    calls = []
+    argsort = np.argsort
+    monkeypatch.setattr(N.np, "argsort", lambda *a, **kw: calls.append(1) or argsort(*a, **kw))
+    for k, window, own in ((3, 20, 0), (10, 250, 249), (5, 6, 40), (5, 5, 0), (40, 90, 0)):
+        points = [(float(rng.randint(0, 6)), rng.choice([0.0, 1.0, rng.random()])) for _ in range(330)]
+        calls.clear()
+        got = N.local_outlier_factors(np.array(points), own, k, window)
+        assert len(calls) <= 330 // N.CHUNK + 1
+        some = list(range(0, 330 - own, 23))
+        want = [plain_lof(points[max(0, own + i - window + 1) : own + i + 1], k, window)[-1] for i in some]
+        assert np.allclose(got[some], want)
