@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -57,8 +58,8 @@ class Tree:
             return F.lit(node)
         x = F.col(n.feature).cast("string" if n.feature in self.nominal else "double")
         hit = x == F.lit(n.at) if n.feature in self.nominal else F.when(~F.isnan(x), x) <= F.lit(n.at)
-        left, right = self.leaf(n.left), self.leaf(n.right)
-        return F.when(hit, left).when(~hit, right).otherwise(left if n.null_left else right)
+        # each branch stands in it once, so it grows with the number of nodes
+        return F.when(F.coalesce(hit, F.lit(n.null_left)), self.leaf(n.left)).otherwise(self.leaf(n.right))
 
     def leaves(self) -> list[int]:
         return [i for i, n in enumerate(self.nodes) if n.feature is None]
@@ -100,9 +101,10 @@ def candidates(rows: DataFrame, numeric: Sequence[str], nominal: Sequence[str],
             over = F.lit(0)
             for k in range(n_splits):
                 over = over + (x > F.col(f"lo{i}") + step * (k + 1)).cast("int")
-            found.append(F.struct(F.lit(i).alias("f"), F.when(~F.isnan(x), over).alias("bin"), F.col(f"lo{i}").alias("lo"), step.alias("step")))
-        bins = met.select(NODE, Y, F.explode(F.array(*found)).alias("c")).select(NODE, Y, "c.*").filter("bin IS NOT NULL")
-        bins = bins.groupBy(NODE, "f", "bin", "lo", "step").agg(*[F.sum(F.col(Y)[i]).alias(f"p{i}") for i in range(size)])
+            # a small aggregate each: rows are read once a feature, never multiplied
+            ranged = met.select(NODE, Y, F.lit(i).alias("f"), F.when(~F.isnan(x), over).alias("bin"), F.col(f"lo{i}").alias("lo"), step.alias("step"))
+            found.append(ranged.filter("bin IS NOT NULL").groupBy(NODE, "f", "bin", "lo", "step").agg(*[F.sum(F.col(Y)[j]).alias(f"p{j}") for j in range(size)]))
+        bins = reduce(DataFrame.unionByName, found)
         whole = Window.partitionBy(NODE, "f")
         upto = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
         left = F.array(*[F.sum(f"p{i}").over(upto) for i in range(size)])

@@ -131,3 +131,37 @@ def test_empty_and_bound(spark):
     assert TR.predict(spark.createDataFrame([(1.0, "a")], "x double, y string"), tree).first().y_pred is None
     assert TR.fit_regressor(spark.createDataFrame([], "x double, y double"), ["x"], "y").nodes[0].feature is None
     assert TR.hoeffding_bound(1.0, 1e-7, 200) == pytest.approx(0.2007, abs=1e-4)
+
+
+def test_work_grows_with_nodes_and_rows_alone(spark):
+    """A tree's expression holds every node once, nulls and NaN find their branch, and features do not multiply rows."""
+    tree = TR.Tree(["x"], ["s"], ["a"])
+
+    def grow(depth, low, high):
+        at = len(tree.nodes)
+        tree.nodes.append(TR.Node(depth, [1.0]))
+        if depth < 6:
+            n, n.feature, n.at, n.null_left = (tree.nodes[at], "x", (low + high) / 2, depth % 2 == 0)
+            n.left = grow(depth + 1, low, n.at)
+            n.right = grow(depth + 1, n.at, high)
+        return at
+
+    def leaf(x):
+        at = 0
+        while tree.nodes[at].feature:
+            n = tree.nodes[at]
+            left = n.null_left if x is None or x != x else x <= n.at
+            at = n.left if left else n.right
+        return at
+
+    grow(0, 0.0, 64.0)
+    values = [None, float("nan"), *[float(v) for v in range(-1, 67)]]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double")
+    got = {r.i: r.leaf for r in df.select("i", tree.leaf().alias("leaf")).collect()}
+    assert got == {i: leaf(v) for i, v in enumerate(values)}
+    plan = df.select(tree.leaf().alias("leaf"))._jdf.queryExecution().analyzed().toString()
+    assert plan.upper().count("CASE WHEN") <= 2 * 63 + 1
+
+    rows = spark.createDataFrame([(0, [1.0, 0.0], 1.0, 2.0), (0, [0.0, 1.0], 2.0, None)], f"{TR.NODE} int, {TR.Y} array<double>, x double, z double")
+    found = TR.candidates(rows, ["x", "z"], [], 2, CRITERIA["info_gain"])
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1  # of thresholds, not of rows
