@@ -21,10 +21,11 @@ without a probe have no partner.  So neither common shingles nor passages that
 many documents quote make candidates.
 
 Each probe is compared with the most central class of its signature (a star,
-linear in the group); components of those links are found, and only then each
-class with the members of the other components that hold its probes: one row for
-every class and component, whose members come in blocks, so that no pair is
-written out before it is likely.
+linear in the group); components of those links are found.  Classes that still
+may have partners in other components, and those that may be these, are then
+looked at feature by feature: a class meets the components that hold one of the
+rarest features it cannot spare, one row for every class and component, whose
+members come in blocks, so that no pair is written out before it is likely.
 
 A class has a profile, its features counted by 256 buckets.  The profiles of two
 sets differ by no more than the sets do, so pairs whose profiles differ too much
@@ -162,7 +163,7 @@ def classes(docs: DataFrame, width: int, percent: int, attempt: int = 0) -> Data
     return docs.mapInArrow(run, "doc_id long, key long, n_shingles long, cid long, spare_band int, spare_window int, profile binary")
 
 
-def packed_signatures(docs: DataFrame, width: int, percent: int, range_bits: int, block: int = 1 << 19, attempt: int = 0) -> DataFrame:
+def packed_signatures(docs: DataFrame, width: int, percent: int, range_bits: int, block: int = 1 << 18, attempt: int = 0) -> DataFrame:
     """(range, pairs): signatures and classes packed as bytes, by range of the signature."""
 
     def emit(sigs: list[np.ndarray], cids: list[np.ndarray]) -> pa.RecordBatch:
@@ -351,11 +352,51 @@ def ranked(shared: DataFrame, kinds: DataFrame, percent: int) -> DataFrame:
         {
             "held": F.count(F.lit(1)).over(one),
             "common": F.sum("n").over(one) / F.col("size"),
+            "spared": spared,
             "probe": F.row_number().over(one.orderBy(F.desc("n"), "sig")) > spared,
             "single": number.isin(*SINGLES),
         }
     )
-    return rows.filter(f"NOT single OR 100 * held >= {percent} * size").select("sig", "cid", "size", "held", "common", "probe", "single")
+    return rows.filter(f"NOT single OR 100 * held >= {percent} * size").select("sig", "cid", "size", "held", "common", "spared", "probe", "single")
+
+
+def meeting(placed: DataFrame) -> DataFrame:
+    """(cid, comp, size) of the classes that may have a partner in another component, and of the classes that may be it.
+
+    Only signatures that several components have count for a class now.  One
+    row of each signature and class; no pair is made.
+    """
+    mixed = placed.groupBy("sig").agg(F.min("comp").alias("first"), F.max("comp").alias("last")).filter("first != last").select("sig")
+    rows = materialize(placed.join(mixed, "sig", "left_semi"), "mixed")
+    one = Window.partitionBy("cid", F.col("sig").bitwiseAND(int(INSTANCE)))
+    asking = rows.withColumn("held", F.count(F.lit(1)).over(one)).filter("probe AND held > spared").select("sig").distinct()
+    return rows.join(asking, "sig", "left_semi").select("cid", "comp", "size").distinct()
+
+
+def visiting(sets: DataFrame, percent: int) -> DataFrame:
+    """(cid, other): classes and the components they have to meet, by the features themselves.
+
+    ``sets`` (cid, hashes, comp, size).  A class shares at least ``percent`` of
+    its features with a partner; the smaller one of a pair as many as
+    ``need``, so one of the rarest held - need + 1 is among them.  Of copies
+    edited each in its own way, those too far from their original hold too few
+    features that others have, and meet nobody.
+    """
+    features = sets.select("cid", "comp", "size", F.explode("hashes").alias("feature"))
+    spread = features.groupBy("feature").agg(F.min("comp").alias("first"), F.max("comp").alias("last"), F.count(F.lit(1)).alias("n"))
+    rows = features.join(spread.filter("first != last").select("feature", "n"), "feature")
+    one = Window.partitionBy("cid")
+    need = F.ceil(2 * percent * F.col("size") / (100 + percent))
+    rows = rows.withColumns({"held": F.count(F.lit(1)).over(one), "probe": F.row_number().over(one.orderBy(F.desc("n"), "feature")) >= need})
+    rows = materialize(rows.filter(f"100 * held >= {percent} * size"), "held")
+    several = rows.groupBy("feature", "comp").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.max("held").alias("most"))
+    mixed = several.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("feature")
+    several = several.join(mixed, "feature", "left_semi").select("feature", F.col("comp").alias("other"), "low", "high", "most")
+    # a probe is the smaller set of its pairs: the components it has to meet
+    asking = rows.filter("probe").join(several, "feature").filter(
+        f"comp != other AND high >= size AND {percent} * low <= 100 * size AND {100 + percent} * most >= {2 * percent} * size"
+    )
+    return asking.select("cid", "other").distinct()
 
 
 def candidate_links(docs: DataFrame, members: DataFrame, width: int, percent: int, n_tasks: int, attempt: int = 0) -> DataFrame:
@@ -380,19 +421,14 @@ def candidate_links(docs: DataFrame, members: DataFrame, width: int, percent: in
     stars = materialize(likely(stars, kinds, percent), "stars")
     links = materialize(verified(docs, members, stars, width, percent), "links")
 
-    # classes of the probes' signatures, by component
+    # all shared signatures, those that nobody probes too, by component
     labels = materialize(connected(links).withColumnRenamed("node", "cid"), "labels")
-    placed = rows.join(centre.select("sig", F.col("cid").alias("rep")), "sig").join(labels, "cid", "left")
-    placed = materialize(placed.withColumn("comp", F.coalesce("label", "cid")).drop("label", "common"), "placed")
-    several = placed.groupBy("sig", "comp").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.max("held").alias("held"))
-    mixed = several.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("sig")
-    several = several.join(mixed, "sig", "left_semi").select("sig", F.col("comp").alias("other"), "low", "high", F.col("held").alias("most"))
-    # a probe is the smaller set of its pairs: the components it has to meet
-    asking = placed.filter("probe").join(several, "sig").filter(
-        f"comp != other AND high >= size AND {percent} * low <= 100 * size"
-        f" AND (NOT single OR {100 + percent} * least(held, most) >= {2 * percent} * size)"
-    )
-    visits = materialize(asking.select("cid", "other").distinct(), "visits")
+    placed = rows.join(labels, "cid", "left").select("sig", "cid", "size", F.coalesce("label", "cid").alias("comp"), "spared", "probe")
+    involved = materialize(meeting(placed), "involved")
+    if involved.isEmpty():
+        return links
+    sets = materialize(sets_of(docs, members, involved, width), "features")
+    visits = materialize(visiting(sets.join(involved, "cid"), percent), "visits")
     if visits.isEmpty():
         return links
     rest = materialize(likely_members(visits, labels, kinds, percent), "rest")

@@ -361,6 +361,30 @@ def test_jaccard_of_a_large_family(shape, monkeypatch):
     assert got == label and 1 < len(set(label.values())) < 60
 
 
+def test_jaccard_of_copies_that_meet_nobody(shape, monkeypatch):
+    """Copies edited each in its own way, too far from their original: no visits by the square of the family."""
+    rng = random.Random(6)
+    base = [f"b{i}" for i in range(400)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 31):
+        text = list(base)
+        for at in rng.sample(range(400), 6 if i % 3 == 0 else 16):
+            text[at] = f"e{i}x{at}"
+        rows.append((i, " ".join(text)))
+    seen = {}
+
+    def counted(df, name):
+        seen[name] = materialize(df, name)
+        return seen[name]
+
+    materialize = jaccard.materialize
+    monkeypatch.setattr(jaccard, "materialize", counted)
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(shape(rows)).collect()}
+    sets, label = plain_components(rows)
+    assert got == {i: min(j for (j, _), y in zip(rows, label, strict=True) if x == y) for (i, _), x in zip(rows, label, strict=True)}
+    assert 15 < len(set(label)) and ("visits" not in seen or seen["visits"].count() < 10)
+
+
 def test_keep_one_keeps_clashing_columns(spark):
     rows = [(1, "a b c d e f", "k1", 1), (2, "a b c d e f", "k2", 2), (3, None, "k3", 3), (4, "", "k4", 4)]
     for names in ("doc_id long, text string, _key string, _id int", "doc_id long, text string, key string, comp int", "doc_id long, text string, cid string, c0 int"):
