@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 20  # bytes hashed together; a longer text is a block of its own
+BLOCK = (1 << 18) - 1  # bytes hashed together, small beside a worker's memory (powers of one block fit 2^18); a longer text is a block of its own
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)

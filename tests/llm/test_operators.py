@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import public_tokenizers
@@ -385,6 +386,17 @@ def test_jaccard_of_copies_that_meet_nobody(shape, monkeypatch):
     assert 15 < len(set(label)) and ("visits" not in seen or seen["visits"].count() < 10)
 
 
+def test_shingle_sets_hold_little_at_once():
+    texts = pa.array([prose(1500) for _ in range(200)])
+    for value in (None, *texts[:3].to_pylist()):
+        list(jaccard.shingle_sets(pa.array([value], pa.string())))  # powers are kept
+    tracemalloc.start()
+    assert sum(1 for _ in jaccard.shingle_sets(texts)) == 200
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert texts.nbytes > 1 << 20 and peak < 24 << 20
+
+
 def test_keep_one_keeps_clashing_columns(spark):
     rows = [(1, "a b c d e f", "k1", 1), (2, "a b c d e f", "k2", 2), (3, None, "k3", 3), (4, "", "k4", 4)]
     for names in ("doc_id long, text string, _key string, _id int", "doc_id long, text string, key string, comp int", "doc_id long, text string, cid string, c0 int"):
