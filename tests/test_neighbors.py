@@ -109,3 +109,35 @@ def test_outlier_factors_share_the_order_of_a_chunk(monkeypatch):
         some = list(range(0, 330 - own, 23))
         want = [plain_lof(points[max(0, own + i - window + 1) : own + i + 1], k, window)[-1] for i in some]
         assert np.allclose(got[some], want)
+
+
+def test_join_compares_few_rows(spark, monkeypatch):
+    """Rows searched for a query stay near a box of them, wherever the query is."""
+    rng = random.Random(5)
+    points = [[rng.uniform(0, 1), rng.uniform(0, 4), rng.uniform(0, 9)] for _ in range(6000)]
+    df = spark.createDataFrame([(i, i % 7, *v) for i, v in enumerate(points)], "i long, y int, a double, b double, c double").repartition(4)
+    searched, compared = N._searched, []
+
+    def counted(wanted, held, *rest):
+        keys = [c for c in ("box", "cell", "ring") if c in held.columns]
+        compared.append(wanted.join(held.groupBy(*keys).count(), keys).agg({"count": "sum"}).first()[0] or 0)
+        return searched(wanted, held, *rest)
+
+    monkeypatch.setattr(N, "_searched", counted)
+    got = {r.i: [n.id for n in r.neighbors] for r in N.knn_join(df.filter("i % 20 = 0"), df, ["a", "b", "c"], "i", "i", "y", 3, 2, 16, 50).collect()}
+    assert len(got) == 300 and sum(compared) / len(got) < 500
+    for i in list(got)[::10]:
+        assert got[i] == [j for _, j in sorted((math.dist(points[i], v), j) for j, v in enumerate(points) if j != i)[:3]]
+
+
+def test_join_of_queries_with_one_id(spark):
+    """Rows of one id share their k nearest; ids that come twice and one place of many rows among them."""
+    rng = random.Random(9)
+    points = [(f"k{j % 150:03d}", [float(rng.randint(0, 30)), float(rng.randint(0, 30))]) for j in range(260)] + [(f"z{j:03d}", [7.0, 7.0]) for j in range(200)]
+    rows = [(i, None if n % 9 == 4 else n, *v) for n, (i, v) in enumerate(points)]
+    df = spark.createDataFrame(rows, "i string, y int, a double, b double").repartition(3)
+    got = {r.i: [(round(n.d, 9), n.id) for n in r.neighbors] for r in N.knn_join(df, df, ["a", "b"], "i", "i", "y", 6, 2, 2, 20).collect()}
+    assert set(got) == {i for i, _ in points}
+    for i, found in got.items():
+        mine = [v for j, v in points if j == i]
+        assert found == sorted((round(math.dist(v, w), 9), j) for v in mine for j, w in points if j != i)[:6]
