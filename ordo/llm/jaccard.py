@@ -23,9 +23,11 @@ many documents quote make candidates.
 Each probe is compared with the most central class of its signature (a star,
 linear in the group); components of those links are found.  Classes that still
 may have partners in other components, and those that may be these, are then
-looked at feature by feature: a class meets the components that hold one of the
-rarest features it cannot spare, one row for every class and component, whose
-members come in blocks, so that no pair is written out before it is likely.
+looked at by the features that several components have: of these a pair can
+differ in few, so parts of them make signatures once more, with few and large
+parts where little can differ.  A class meets the components that have one of
+its signatures, one row for every class and component, whose members come in
+blocks, so that no pair is written out before it is likely.
 
 A class has a profile, its features counted by 256 buckets.  The profiles of two
 sets differ by no more than the sets do, so pairs whose profiles differ too much
@@ -373,28 +375,73 @@ def meeting(placed: DataFrame) -> DataFrame:
     return rows.join(asking, "sig", "left_semi").select("cid", "comp", "size").distinct()
 
 
-def visiting(sets: DataFrame, percent: int) -> DataFrame:
-    """(cid, other): classes and the components they have to meet, by the features themselves.
+def limits(most: int, percent: int) -> list[int]:
+    """Bounds of the levels of slack, up to the one that ``most`` falls in."""
+    out = [100 + percent]
+    while out[-1] < most:
+        out.append(out[-1] * 7 // 5)
+    return out
+
 
-    ``sets`` (cid, hashes, comp, size).  A class shares at least ``percent`` of
-    its features with a partner; the smaller one of a pair as many as
-    ``need``, so one of the rarest held - need + 1 is among them.  Of copies
-    edited each in its own way, those too far from their original hold too few
-    features that others have, and meet nobody.
+def held_signatures(hashes: np.ndarray, size: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Signatures that a class is found by, and those that it looks for others by.
+
+    ``hashes`` are the held features of a set of ``size`` features, sorted.
+    """
+    unit = 100 + percent
+    slack = unit * len(hashes) - 2 * percent * size
+    most = (100 - percent) * min(100 * size, unit * len(hashes) - percent * size) // percent  # slack of any partner
+    mixed = mix(hashes)
+    hosts, guests, below = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], -1
+    for level, limit in enumerate(limits(most, percent)):
+        is_host, below = below < slack <= limit, limit
+        if slack > limit or slack + limit < 0:
+            continue
+        n = math.ceil(1.3 * (2 * limit // unit + 1)) + 2
+        starts = np.searchsorted(hashes, np.arange(n, dtype=np.uint64) * np.uint64((1 << 64) // n))
+        counts = np.diff(np.append(starts, len(hashes)))
+        contents, full = np.zeros(n, np.uint64), np.flatnonzero(counts)
+        contents[full] = np.add.reduceat(mixed, starts[full])
+        sigs = mix(mix(contents + np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) + np.uint64(level))
+        if is_host:
+            hosts.append(sigs)
+        wanted = (slack + min(limit, most)) // unit + 1
+        guests.append(sigs[full[:wanted]] if len(full) >= wanted else sigs)
+    return np.concatenate(hosts), np.concatenate(guests)
+
+
+def visiting(sets: DataFrame, percent: int) -> DataFrame:
+    """(cid, other): classes and the components they have to meet, by the features that several components have.
+
+    ``sets`` (cid, hashes, comp, size).  A pair in two components shares held
+    features only, so the held ones of both differ in no more than the sum of
+    what each holds beyond its part of the least intersection: its slack.  The
+    one with less slack visits.  Sets with like slack have one level, that cuts
+    the features to more parts than a pair can differ in; the visitor has some
+    non-empty part equal to its partner's, among as many as they can differ in
+    and one more (with fewer, it looks for all parts, empty ones too).  Copies
+    edited each in its own way that are far from their original have little
+    slack, so few large parts, which hardly any others share.
     """
     features = sets.select("cid", "comp", "size", F.explode("hashes").alias("feature"))
-    spread = features.groupBy("feature").agg(F.min("comp").alias("first"), F.max("comp").alias("last"), F.count(F.lit(1)).alias("n"))
-    rows = features.join(spread.filter("first != last").select("feature", "n"), "feature")
-    one = Window.partitionBy("cid")
-    need = F.ceil(2 * percent * F.col("size") / (100 + percent))
-    rows = rows.withColumns({"held": F.count(F.lit(1)).over(one), "probe": F.row_number().over(one.orderBy(F.desc("n"), "feature")) >= need})
-    rows = materialize(rows.filter(f"100 * held >= {percent} * size"), "held")
-    several = rows.groupBy("feature", "comp").agg(F.min("size").alias("low"), F.max("size").alias("high"), F.max("held").alias("most"))
-    mixed = several.groupBy("feature").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("feature")
-    several = several.join(mixed, "feature", "left_semi").select("feature", F.col("comp").alias("other"), "low", "high", "most")
-    # a probe is the smaller set of its pairs: the components it has to meet
-    asking = rows.filter("probe").join(several, "feature").filter(
-        f"comp != other AND high >= size AND {percent} * low <= 100 * size AND {100 + percent} * most >= {2 * percent} * size"
+    spread = features.groupBy("feature").agg(F.min("comp").alias("first"), F.max("comp").alias("last"))
+    held = features.join(spread.filter("first != last").select("feature"), "feature").groupBy("cid")
+    held = held.agg(F.first("comp").alias("comp"), F.first("size").alias("size"), F.collect_list("feature").alias("hashes"))
+    names = ["sig", "cid", "comp", "size", "held", "host"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cid, comp, size, hashes in zip(*[c.to_pylist() for c in batch.columns[:3]], batch.column(3), strict=True):
+                found = held_signatures(np.sort(hashes.values.to_numpy(zero_copy_only=False).view(np.uint64)), size, percent)
+                sigs, n = np.concatenate(found).view(np.int64), sum(map(len, found))
+                same = [pa.array(np.full(n, v)) for v in (cid, comp, size, len(hashes))]
+                yield pa.RecordBatch.from_arrays([pa.array(sigs), *same, pa.array(np.arange(n) < len(found[0]))], names=names)
+
+    held = held.filter(f"100 * size(hashes) >= {percent} * size").select("cid", "comp", "size", "hashes")
+    rows = materialize(held.mapInArrow(run, "sig long, cid long, comp long, size long, held long, host boolean"), "held")
+    hosts = rows.filter("host").groupBy("sig", F.col("comp").alias("other")).agg(F.min("size").alias("low"), F.max("size").alias("high"), F.max("held").alias("most"))
+    asking = rows.filter("NOT host").drop("host").join(hosts, "sig").filter(
+        f"comp != other AND 100 * high >= {percent} * size AND {percent} * low <= 100 * size AND {100 + percent} * least(held, most) >= {percent} * (size + low)"
     )
     return asking.select("cid", "other").distinct()
 

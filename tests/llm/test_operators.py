@@ -8,6 +8,7 @@ import time
 import tracemalloc
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
@@ -386,6 +387,49 @@ def test_jaccard_of_copies_that_meet_nobody(shape, monkeypatch):
     assert 15 < len(set(label)) and ("visits" not in seen or seen["visits"].count() < 10)
 
 
+def test_jaccard_of_copies_next_to_a_family(shape, monkeypatch):
+    """Copies a little too far from a family and from each other meet the family, not each other one by one."""
+    rng = random.Random(8)
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(90):
+        text, n = list(base), 1 if i < 6 else 2 if i < 36 else 3
+        for k in range(n):
+            at = 5 + k * 140 // n + rng.randrange(140 // n - 5)
+            text[at] = f"e{i}x{at}"
+        rows.append((i, " ".join(text)))
+    seen, materialize = {}, jaccard.materialize
+
+    def counted(df, name):
+        seen[name] = materialize(df, name)
+        return seen[name]
+
+    monkeypatch.setattr(jaccard, "materialize", counted)
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(shape(rows)).collect()}
+    sets, label = plain_components(rows)
+    assert got == {i: min(j for (j, _), y in zip(rows, label, strict=True) if x == y) for (i, _), x in zip(rows, label, strict=True)}
+    assert 15 < len(set(label)) and seen["visits"].count() < 150
+
+
+def test_held_signatures_find_every_near_pair():
+    """The one with less slack of two sets that share enough looks for a part its partner is found by."""
+    rng = np.random.default_rng(4)
+    met = 0
+    for trial in range(3000):
+        a = rng.integers(0, 1 << 63, int(rng.choice([4, 9, 30, 146, 700])), dtype=np.uint64) * np.uint64(2)
+        size = {0: int(len(a) * rng.uniform(1, 1.25)), 1: 0}
+        lost = rng.random(len(a)) < rng.choice([0.0, 0.02, 0.08])
+        b = np.concatenate([a[~lost], rng.integers(0, 1 << 63, int(rng.integers(0, 1 + len(a) // 9)), dtype=np.uint64)])
+        size[1] = int(len(b) * rng.uniform(1, 1.15))
+        if 180 * len(np.intersect1d(a, b)) < 80 * (size[0] + size[1]):
+            continue
+        met += 1
+        sides = [(180 * len(h) - 160 * n, *jaccard.held_signatures(np.sort(h), n, 80)) for h, n in ((a, size[0]), (b, size[1]))]
+        (_, _, guest), (_, host, _) = sorted(sides, key=lambda x: x[0])
+        assert len(np.intersect1d(guest, host))
+    assert met > 500
+
+
 def test_shingle_sets_hold_little_at_once():
     texts = pa.array([prose(1500) for _ in range(200)])
     for value in (None, *texts[:3].to_pylist()):
